@@ -6,9 +6,15 @@ from importlib import import_module
 
 #: Query, its module.
 NAMES = {
+    "op3_topk_kdtree": "topk",
+    "op4_warc_zip": "warc",
     "op5_pack_differencing": "packing",
+    "op8_vector_collisions": "vecdedup",
+    "op9_mix_sources": "mixing",
     "op10_id_store": "idstore",
 }
+#: Query, the name of its SQL in that module.
+SQL = {"op3_topk_kdtree": "OP3_SQL", "op4_warc_zip": "OP4_SQL"}
 
 
 def queries() -> dict:
@@ -16,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(import_module(f".{NAMES[name]}", __package__), sql) for name, sql in SQL.items()}
