@@ -17,10 +17,25 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Ends each document.
 END_ID = 2
 #: Words whose ids a Python worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 1_000_000
 #: White space to Python's str only, or to the library's patterns only: such texts are encoded as they are.
-_ODD = "[\x1c-\x1f\x85\u180e\ufeff]"
+_ODD = "[\x1c-\x1f\x85\u0130\u180e\ufeff]"
 _WITH_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Where lower case is the same to Python and to the library.
+_LATIN = re.compile("[^\x00-\u024f]")
+
+
+#: The characters that byte-level models write bytes as.
+_KEPT = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _KEPT)}
+
+
+def _mapped(word: str) -> str:
+    return word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(_BYTES)
+
+
+def _lower_words(text: str) -> list[str]:
+    return (text if _LATIN.search(text) else text.lower()).split()
 
 
 class Encoder:
@@ -31,8 +46,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         pre = str(self.tokenizer.pre_tokenizer)
+        lowers = "Lowercase" in str(self.tokenizer.normalizer)
+        # Latin letters, with or without a space before them, reach the model as one piece and unchanged
+        self.plain = lambda w: (x := w.removeprefix(" ")).isalpha() and not _LATIN.search(x) and (not lowers or x == x.lower())
         if "use_regex=False" in pre and "Split" in pre:
-            self.split = str.split  # white space is dropped
+            self.split = _lower_words if lowers else str.split  # white space is dropped
         elif pre.startswith("ByteLevel") and "use_regex=True" in pre and "add_prefix_space=False" in pre:
             self.split = _WITH_SPACE.findall  # one space goes with the word behind it
         else:
@@ -45,11 +63,20 @@ class Encoder:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.ids) > self.kept_words:
-            self.ids.clear()
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
+        """Keep the ids of new words. Those of letters with one mark behind them are the ids of both, as both patterns cut there."""
+        marked = [w for w in words if w[-1] in ".,!?;:" and w[:-1].removeprefix(" ").isalpha()]
+        alone = {w[:-1] for w in marked} | {w[-1] for w in marked} | set(words).difference(marked)
+        rest = []
+        for w in alone - self.ids.keys():
+            if self.plain(w):
+                self.ids[w] = _packed([t.id for t in self.tokenizer.model.tokenize(_mapped(w))])
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
             self.ids.update(zip(part, self._direct(part)))
+        for w in marked:
+            self.ids[w] = self.ids[w[:-1]] + self.ids[w[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
