@@ -9,6 +9,7 @@ NAMES = {
     "op3_topk_kdtree": "topk",
     "op4_warc_zip": "warc",
     "op5_pack_differencing": "packing",
+    "op6_hyperminhash": "hyperminhash",
     "op8_vector_collisions": "vecdedup",
     "op9_mix_sources": "mixing",
     "op10_id_store": "idstore",
