@@ -10,12 +10,13 @@ NAMES = {
     "op4_warc_zip": "warc",
     "op5_pack_differencing": "packing",
     "op6_hyperminhash": "hyperminhash",
+    "op7_line_runs": "linededup",
     "op8_vector_collisions": "vecdedup",
     "op9_mix_sources": "mixing",
     "op10_id_store": "idstore",
 }
 #: Query, the name of its SQL in that module.
-SQL = {"op3_topk_kdtree": "OP3_SQL", "op4_warc_zip": "OP4_SQL"}
+SQL = {"op3_topk_kdtree": "OP3_SQL", "op4_warc_zip": "OP4_SQL", "op7_line_runs": "OP7_SQL"}
 
 
 def queries() -> dict:
