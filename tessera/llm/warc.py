@@ -258,7 +258,10 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     archive is read by many tasks.
     """
     runs = archives.select("path").mapInArrow(_runs, "path string, start long, offsets array<long>, lengths array<long>")
-    return runs.repartition("path", "start").mapInArrow(lambda b: _read(b, payloads), "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    # a run is a row of a few bytes here but up to RUN_BYTES to read, so the number of tasks follows the archives' size
+    total = archives.agg(F.sum("bytes")).first()[0] if "bytes" in archives.columns else None
+    tasks = [max(1, min(100_000, -(-total // (4 * RUN_BYTES))))] if total else []
+    return runs.repartition(*tasks, "path", "start").mapInArrow(lambda b: _read(b, payloads), "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
