@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, forest
 from .vectors import usable
 
 COSINE, PROJECTIONS, RECALL, SPREAD = 0.9, 16, 0.9999, 2.5
@@ -113,22 +113,6 @@ def links_between(a: np.ndarray, b: np.ndarray, cosine: float, projections: np.n
     return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Each of n nodes' smallest connected node."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        while (new[new] != new).any():
-            new = new[new]
-        label = new[label]
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-    return label
-
-
 def _meet(batches: common.Batches, cosine: float, spread: float, least: int) -> common.Batches:
     for batch in batches:
         for row in range(batch.num_rows):
