@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: Query, its module.
 NAMES = {
+    "op1_toxicity": "toxicity",
+    "op2_pii_surrogates": "surrogates",
     "op3_topk_kdtree": "topk",
     "op4_warc_zip": "warc",
     "op5_pack_differencing": "packing",

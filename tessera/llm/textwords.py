@@ -66,12 +66,17 @@ def bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def word_hashes(data: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Each word's hash, and each text's first word (one more at the end); ``fold``: A-Z as a-z."""
     starts, ends, first = bounds(data, at)
+    return bytes_hash(data, starts, ends, fold), first
+
+
+def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """The hash of each range of ``data``."""
     if not len(starts):
-        return np.zeros(0, np.uint64), first
+        return np.zeros(0, np.uint64)
     up, down = _powers(len(data))
     sums = np.cumsum((_FOLDED if fold else _BYTE)[data] * up[: len(data)], dtype=np.uint64)
     before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
-    return mixed((sums[ends - 1] - before) * down[starts]), first
+    return mixed((sums[ends - 1] - before) * down[starts])
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.ndarray]:
