@@ -81,7 +81,8 @@ class Model:
 
     def __init__(self, rows: dict[str, np.ndarray]):
         """rows: toxic, word, head (slots) and n, the number of documents of that class with the word."""
-        klass, word, head, n = (rows[k].astype(np.int64) for k in ("toxic", "word", "head", "n"))
+        self.rows = {k: rows[k].astype(t) for k, t in (("toxic", np.int8), ("word", np.int32), ("head", np.int32), ("n", np.int32))}
+        klass, word, head, n = (self.rows[k].astype(np.int64) for k in ("toxic", "word", "head", "n"))
         table = lambda slot, bits, weight=None: np.bincount(slot * 2 + klass, weight, 2 << bits).astype(np.float32).reshape(-1, 2)
         words, heads = table(word, WORD_BITS, n), table(head, HEAD_BITS)
         # the lowest order: beginnings by the distinct words that have them, over a distribution that the classes share
@@ -99,6 +100,9 @@ class Model:
         self.heads = (freed * begin / of_head[:, None]).astype(np.float32)
         self.curve = np.zeros(3)
 
+    def __reduce__(self):
+        return _rebuilt, (self.rows, self.curve)  # the counts are a fraction of the tables
+
     def differences(self, word: np.ndarray, head: np.ndarray) -> np.ndarray:
         """Of each word, its log-probability in the toxic class less that in the ordinary one."""
         p = np.log(self.words[word] + self.share[word][:, None] * self.heads[head])
@@ -126,6 +130,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ self.curve[1:], -30, 30)))
 
 
+def _rebuilt(rows: dict[str, np.ndarray], curve: np.ndarray) -> Model:
+    model = Model(rows)
+    model.curve = curve
+    return model
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 50) -> np.ndarray:
     """Intercept and slopes by Newton steps. More evidence never lowers a score: a slope below 0 is 0; the ridge keeps separable rows' finite."""
     out = np.zeros(1 + x.shape[1])
@@ -176,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, curve_sampl
     words = texts.where("counted").select("text", "toxic").mapInArrow(_counted, "toxic int, word int, head int, n long")
     rows = words.groupBy("toxic", "word").agg(F.min("head").alias("head"), F.sum("n").cast("int").alias("n")).toArrow()  # at most a row for each slot and class
     model = Model({k: rows[k].to_numpy() for k in rows.column_names})
-    held = [(r.labels, r.evidence) for r in _evidence(texts.where("not counted").select("text", "toxic"), model).collect()]  # two numbers for each of the curve's documents
+    held = _evidence(texts.where("not counted").select("text", "toxic"), model)
     x = np.array([e for _, e in held], float).reshape(-1, 2)
     if rows.num_rows and np.ptp(rows["toxic"].to_numpy()):
         model.curve = logistic(x, np.array([y for y, _ in held], float))
@@ -184,14 +194,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, curve_sampl
     return model
 
 
-def _evidence(texts: DataFrame, model: Model) -> DataFrame:
+def _evidence(texts: DataFrame, model: Model) -> list[tuple[int, list[float]]]:
+    """Label and evidence of each of the curve's documents."""
     given = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: common.Batches) -> common.Batches:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(list(given.value.evidence(batch["text"])), pa.list_(pa.float64()))], names=["labels", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(list(given.value.evidence(batch["text"])), pa.list_(pa.float64()))], names=["toxic", "evidence"])
 
-    return texts.mapInArrow(run, "labels int, evidence array<double>")
+    found = [(r.toxic, r.evidence) for r in texts.mapInArrow(run, "toxic int, evidence array<double>").collect()]
+    given.destroy()
+    return found
 
 
 def fold(column: str) -> F.Column:
