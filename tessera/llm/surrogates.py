@@ -160,7 +160,7 @@ def surrogates(entities: DataFrame, root: str, key: str = KEY) -> DataFrame:
     """Of ``entities`` (type, norm), each with a surrogate that no other entity of its type has or is."""
     spark = entities.sparkSession
     open_ = entities.select("type", "norm")
-    done = open_.limit(0).withColumn("surrogate", F.lit(""))
+    done, left = open_.limit(0).withColumn("surrogate", F.lit("")), open_.count()
     for k in range(ROUNDS):
         drawn = open_.withColumn("surrogate", _drawn(F.col("type"), F.col("norm"), F.lit(k), key))
         # an entity has the place before a drawn surrogate has, and one drawn earlier before a later one
@@ -168,10 +168,10 @@ def surrogates(entities: DataFrame, root: str, key: str = KEY) -> DataFrame:
         claims = claims.union(done.select("type", "surrogate", F.lit(1), "norm")).union(drawn.select("type", "surrogate", F.lit(2), "norm"))
         held = claims.groupBy("type", "surrogate").agg(F.min(F.struct("rank", "norm")).alias("holder")).where("holder.rank = 2")
         won = common.materialize(held.select("type", F.col("holder.norm").alias("norm"), "surrogate"), root, f"surrogates-{k}")
-        done = done.union(won)
-        open_ = common.materialize(open_.join(won.select("type", "norm"), ["type", "norm"], "left_anti"), root, f"open-{k}")
-        if open_.isEmpty():
+        done, left = done.union(won), left - won.count()
+        if not left:
             return done
+        open_ = common.materialize(open_.join(won.select("type", "norm"), ["type", "norm"], "left_anti"), root, f"open-{k}")
     raise ValueError(f"a type of entity has too many members for its surrogates: {open_.first()}")
 
 
