@@ -30,7 +30,7 @@ from .textwords import mixed, shingle_sets
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
 REGISTERS, BAND, MANTISSA = 128, 4, 26
-#: Standard deviations of the estimate that a pair may be below the bound and still be verified.
+#: Standard deviations of the estimate (and 0.01 for chance collisions) that a pair may be below the bound and still be verified.
 MARGIN = 4.5
 #: Members of a bucket that one task compares with its members outside the largest component.
 BLOCK = 512
@@ -82,9 +82,15 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.where(used > 0, np.maximum(equal - by_chance, 0) / np.maximum(used - by_chance, 1e-9), 0.0)
 
 
-def margin(used: float = REGISTERS, bound: float = NUMERATOR / DENOMINATOR, deviations: float = MARGIN) -> float:
-    """The least estimate that is verified; of few used registers nearly everything is."""
-    return bound - deviations * np.sqrt(bound * (1 - bound) / np.maximum(used, 1))
+def margin(used: np.ndarray, n: np.ndarray, m: np.ndarray, bound: float = NUMERATOR / DENOMINATOR, deviations: float = MARGIN) -> np.ndarray:
+    """The least estimate that is verified, of sets of n and m shingles and so many registers that either uses.
+
+    The used registers hold as many shingles of the union, drawn without
+    repetition: the more of it they hold, the surer is the estimate.
+    """
+    union = (n + m) / (1 + bound)
+    left = np.clip((union - used) / np.maximum(union - 1, 1), 0, 1)
+    return bound - deviations * np.sqrt(bound * (1 - bound) * left / np.maximum(used, 1)) - 0.01
 
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("registers", pa.binary())])
@@ -107,7 +113,7 @@ _MULT = np.random.default_rng(6).integers(0, 1 << 63, BAND, dtype=np.uint64) * n
 
 
 def _bands(batches: common.Batches) -> common.Batches:
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("node", pa.int64())])
     n_bands = REGISTERS // BAND
     for batch in batches:
         for i in range(0, batch.num_rows, 2048):
@@ -116,7 +122,8 @@ def _bands(batches: common.Batches) -> common.Batches:
             keys = mixed((regs.astype(np.uint64) * _MULT).sum(-1, dtype=np.uint64) + np.arange(1, n_bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             on = regs.any(-1)
             nodes = np.broadcast_to(part["node"].to_numpy()[:, None], on.shape)
-            yield common.batch_of(schema, [keys[on].view(np.int64), nodes[on]])
+            band = np.broadcast_to(np.arange(n_bands, dtype=np.int32), on.shape)
+            yield common.batch_of(schema, [keys[on].view(np.int64), band[on], nodes[on]])
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -130,7 +137,7 @@ def _plausible(batches: common.Batches, num: int, den: int) -> common.Batches:
         for i in range(0, batch.num_rows, 2048):
             part = batch.slice(i, 2048)
             a, b, n, m = _registers(part["a_registers"]), _registers(part["b_registers"]), part["a_n"].to_numpy(), part["b_n"].to_numpy()
-            ok = (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (estimate(a, b, n, m) >= margin(((a | b) != 0).sum(1), num / den))
+            ok = (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (estimate(a, b, n, m) >= margin(((a | b) != 0).sum(1), n, m, num / den))
             yield common.batch_of(schema, [part["a"].to_numpy()[ok], part["b"].to_numpy()[ok]])
 
 
@@ -146,8 +153,17 @@ def _verified(batches: common.Batches, width: int, num: int, den: int) -> common
             yield common.batch_of(schema, [part["a"], part["b"], linked])
 
 
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band that the registers ``a`` share with each row of ``b``, which proposes the pair; -1: none."""
+    same = ((a == b) & (b != 0) | (a == 0) & (b == 0)).reshape(len(b), REGISTERS // BAND, BAND).all(-1) & b.reshape(len(b), REGISTERS // BAND, BAND).any(-1)
+    return np.where(same.any(1), same.argmax(1), -1)
+
+
 def _between(batches: common.Batches, num: int, den: int, forest: bool) -> common.Batches:
-    """From rows sorted by (key, block): plausible pairs between components; ``forest``: only a spanning forest of the best."""
+    """From rows sorted by (key, block): plausible pairs between components; ``forest``: only a spanning forest of the best.
+
+    A pair that shares several bands is found in the first of them only.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held: list[dict] = []
     at = None
@@ -165,8 +181,10 @@ def _between(batches: common.Batches, num: int, den: int, forest: bool) -> commo
             if not len(j := np.flatnonzero(ok)):
                 continue
             a = np.broadcast_to(q["registers"][i], (len(j), REGISTERS))
-            e = estimate(a, c["registers"][j], np.full(len(j), q["n"][i]), c["n"][j])
-            ok = e >= margin(((a | c["registers"][j]) != 0).sum(1), num / den)
+            n, m = np.full(len(j), q["n"][i]), c["n"][j]
+            e = estimate(a, c["registers"][j], n, m)
+            ok = e >= margin(((a | c["registers"][j]) != 0).sum(1), n, m, num / den)
+            ok[ok] = _first_shared(q["registers"][i], c["registers"][j[ok]]) == q["band"][i]
             found += [(-e[k], int(q["node"][i]), int(c["node"][j[k]]), int(q["component"][i]), int(c["component"][j[k]])) for k in np.flatnonzero(ok)]
         if forest:
             root: dict[int, int] = {}
@@ -189,7 +207,7 @@ def _between(batches: common.Batches, num: int, den: int, forest: bool) -> commo
         return common.batch_of(schema, [kept[:, 0], kept[:, 1]])
 
     for batch in batches:
-        cols = {k: batch[k].to_numpy(zero_copy_only=False) for k in ("node", "component", "n", "ask")} | {"registers": _registers(batch["registers"])}
+        cols = {k: batch[k].to_numpy(zero_copy_only=False) for k in ("node", "component", "n", "ask", "band")} | {"registers": _registers(batch["registers"])}
         keys = np.stack([batch["key"].to_numpy(), batch["block"].to_numpy().astype(np.int64)])
         edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
         for i, j in zip(edges, edges[1:]):
@@ -229,10 +247,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, d
     nodes = nodes.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "registers")
     nodes = common.materialize(nodes, root, "nodes")
 
-    bands = nodes.select("node", "registers").mapInArrow(_bands, "key long, node long")
+    bands = nodes.select("node", "registers").mapInArrow(_bands, "key long, band int, node long")
     shared = bands.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other"), F.count(F.lit(1)).alias("members")).where("center <> other").select("key", "center", "members")
     shared = common.materialize(shared, root, "shared")
-    held = common.materialize(bands.join(shared, "key").select("key", "node", "center", "members"), root, "held")
+    held = common.materialize(bands.join(shared, "key").select("key", "band", "node", "center", "members"), root, "held")
 
     wanted = held.select("node").distinct()
     texts = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("node", "text").dropDuplicates(["node"])
@@ -247,9 +265,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, d
     met = stars.join(side(nodes, "b"), "b").join(side(nodes, "a"), "a").select("a", "b", "a_n", "b_n", "a_registers", "b_registers")
     pairs = common.materialize(met.mapInArrow(lambda x: _plausible(x, num, den), "a long, b long"), root, "stars")
     tried = checked(pairs, "tried-0")
-    for k in range(1, FOREST_ROUNDS + 2):
+    k, forests = 0, FOREST_ROUNDS
+    while True:
+        k += 1
         group = components(tried.where("linked").select("a", "b"), root, f"group-{k}")
-        member = held.join(group, "node", "left").select("key", "node", "members", F.coalesce("component", "node").alias("component"))
+        member = held.join(group, "node", "left").select("key", "band", "node", "members", F.coalesce("component", "node").alias("component"))
         sizes = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         apart = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
         open_ = common.materialize(member.join(apart, "key").withColumn("ask", F.col("component") != F.col("main")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), root, f"open-{k}")
@@ -257,16 +277,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, d
             break
         has = open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("ask", F.lit(False))
         asks = open_.where("ask").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cols = ["key", "block", "node", "component", "ask"]
+        cols = ["key", "block", "band", "node", "component", "ask"]
         both = has.select(*cols).union(asks.select(*cols)).join(nodes, "node").repartition("key", "block").sortWithinPartitions("key", "block")
-        found = both.select(*cols, "n", "registers").mapInArrow(lambda x, f=k <= FOREST_ROUNDS: _between(x, num, den, f), "a long, b long").distinct()
+        found = both.select(*cols, "n", "registers").mapInArrow(lambda x, f=forests > 0: _between(x, num, den, f), "a long, b long").distinct()
         new = common.materialize(found.join(tried.select("a", "b"), ["a", "b"], "left_anti"), root, f"new-{k}")
         common.discard(spark, root, f"open-{k}")
-        if new.isEmpty():
-            if k > FOREST_ROUNDS:
-                break
-            continue
-        tried = tried.union(checked(new, f"tried-{k}"))
+        if some := not new.isEmpty():
+            tried = tried.union(checked(new, f"tried-{k}"))
+        if not forests:
+            break
+        forests = forests - 1 if some else 0
     group = components(tried.where("linked").select("a", "b"), root, "group")
     ends = classes.join(group, "node", "left").select("set1", "set2", "n_shingles", F.coalesce("component", "node").alias("component"))
     ends = common.materialize(ends, root, "ends")
