@@ -11,7 +11,8 @@ Texts of equal sets are one node. A band's bucket proposes its members to its
 smallest node first, so a group of copies costs as many pairs as it has
 members. What that leaves apart within a bucket is proposed in further rounds
 along maximum spanning forests of the estimates, and at last all pairs between
-components that still share a bucket are: no proposed link between components
+components that still share a bucket are compared in place, by samples of their
+shingles, and proposed if these allow it: no proposed link between components
 is lost, and pairs within a component are never listed.
 """
 
@@ -34,6 +35,8 @@ REGISTERS, BAND, MANTISSA = 128, 4, 26
 MARGIN = 4.5
 #: Members of a bucket that one task compares with its members outside the largest component.
 BLOCK = 512
+#: Shingles of a set that are compared where all pairs of a bucket's components are; of larger sets a sample.
+PRINTS = 512
 FOREST_ROUNDS = 3
 
 _BITS = REGISTERS.bit_length() - 1
@@ -159,10 +162,37 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.any(1), same.argmax(1), -1)
 
 
+def level(n: int) -> int:
+    """How often a set of n shingles is halved until at most PRINTS are expected."""
+    return max(0, (n - 1).bit_length() - (PRINTS.bit_length() - 1))
+
+
+def _prints(batches: common.Batches, width: int) -> common.Batches:
+    """The shingles whose lowest ``level`` bits are 0, cut to 32 bits: a sample that fits any other's of a similar size."""
+    schema = pa.schema([("node", pa.int64()), ("prints", pa.binary())])
+    for batch in batches:
+        out = []
+        for s in shingle_sets(batch["text"], width):
+            low = np.unique(s.astype(np.uint32))
+            out.append(low[low & np.uint32((1 << level(len(s))) - 1) == 0].tobytes())
+        yield common.batch_of(schema, [batch["node"], out])
+
+
+def _near(a: bytes, b: bytes, n: int, m: int, bound: float) -> bool:
+    """Whether two samples leave the bound possible; up to PRINTS shingles they are the sets."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    if top := max(level(n), level(m)):
+        x, y = (v[v & np.uint32((1 << top) - 1) == 0] for v in (x, y))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    union = max(1, len(x) + len(y) - both)
+    return both / union >= bound - (MARGIN * math.sqrt(bound * (1 - bound) / union) if top else 0) - 0.01
+
+
 def _between(batches: common.Batches, num: int, den: int, forest: bool) -> common.Batches:
     """From rows sorted by (key, block): plausible pairs between components; ``forest``: only a spanning forest of the best.
 
-    A pair that shares several bands is found in the first of them only.
+    A pair that shares several bands is found in the first of them only. Where
+    rows have prints, these must leave the bound possible, too.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held: list[dict] = []
@@ -185,6 +215,8 @@ def _between(batches: common.Batches, num: int, den: int, forest: bool) -> commo
             e = estimate(a, c["registers"][j], n, m)
             ok = e >= margin(((a | c["registers"][j]) != 0).sum(1), n, m, num / den)
             ok[ok] = _first_shared(q["registers"][i], c["registers"][j[ok]]) == q["band"][i]
+            if "prints" in q:
+                ok[ok] = [_near(q["prints"][i], c["prints"][x], int(q["n"][i]), int(c["n"][x]), num / den) for x in j[ok]]
             found += [(-e[k], int(q["node"][i]), int(c["node"][j[k]]), int(q["component"][i]), int(c["component"][j[k]])) for k in np.flatnonzero(ok)]
         if forest:
             root: dict[int, int] = {}
@@ -208,6 +240,8 @@ def _between(batches: common.Batches, num: int, den: int, forest: bool) -> commo
 
     for batch in batches:
         cols = {k: batch[k].to_numpy(zero_copy_only=False) for k in ("node", "component", "n", "ask", "band")} | {"registers": _registers(batch["registers"])}
+        if "prints" in batch.schema.names:
+            cols["prints"] = batch["prints"].to_numpy(zero_copy_only=False)
         keys = np.stack([batch["key"].to_numpy(), batch["block"].to_numpy().astype(np.int64)])
         edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
         for i, j in zip(edges, edges[1:]):
@@ -278,8 +312,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, d
         has = open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("ask", F.lit(False))
         asks = open_.where("ask").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cols = ["key", "block", "band", "node", "component", "ask"]
-        both = has.select(*cols).union(asks.select(*cols)).join(nodes, "node").repartition("key", "block").sortWithinPartitions("key", "block")
-        found = both.select(*cols, "n", "registers").mapInArrow(lambda x, f=forests > 0: _between(x, num, den, f), "a long, b long").distinct()
+        met, more = has.select(*cols).union(asks.select(*cols)).join(nodes, "node"), []
+        if not forests:
+            prints = texts.join(open_.select("node").distinct(), "node").select("node", "text").mapInArrow(lambda x: _prints(x, width), "node long, prints binary")
+            met, more = met.join(common.materialize(prints, root, "prints"), "node"), ["prints"]
+        both = met.repartition("key", "block").sortWithinPartitions("key", "block")
+        found = both.select(*cols, "n", "registers", *more).mapInArrow(lambda x, f=forests > 0: _between(x, num, den, f), "a long, b long").distinct()
         new = common.materialize(found.join(tried.select("a", "b"), ["a", "b"], "left_anti"), root, f"new-{k}")
         common.discard(spark, root, f"open-{k}")
         if some := not new.isEmpty():
