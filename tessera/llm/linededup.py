@@ -83,7 +83,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, root: str | None =
     cuts = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("_cuts"), F.min("first_doc").alias("copied_from"))
     cuts = common.materialize(cuts.withColumnsRenamed({"doc_id": "_doc", "th": "_th"}), root, "cuts")
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "deleted_lines", "copied_from")]
-    met = docs.select(*kept_columns).withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).join(cuts, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_hash") == F.col("_th")), "left")
+    met = docs.select(*kept_columns).withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).join(cuts.hint("merge"), (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_hash") == F.col("_th")), "left")
     split = met.withColumn("_lines", F.expr("split(cast(text as string), '\\n', -1)"))
     left = split.withColumn("_left", F.expr("if(_cuts is null, _lines, filter(_lines, (s, i) -> not exists(_cuts, c -> i between c.a and c.b)))"))
     out = left.withColumn("n_lines", F.expr("if(text is null, 0L, cast(size(_lines) as bigint))")).withColumn("deleted_lines", F.expr("if(text is null, 0L, cast(size(_lines) - size(_left) as bigint))"))
