@@ -3,7 +3,8 @@
 Both kinds of file that are used here cut a text at white space before they
 look at anything else, so a text's ids are those of its words one after the
 other. Encoding each distinct word once gives the same ids as encoding the
-texts, at a fraction of the time.
+texts, at a fraction of the time; words are found and compared as hashes of
+their bytes, many texts at once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ import os
 import re
 import struct
 
+import numpy as np
+
+from .textwords import bounds, bytes_hash
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Ends each document.
@@ -19,8 +24,9 @@ END_ID = 2
 #: Words whose ids a Python worker keeps.
 KEPT_WORDS = 1_000_000
 #: White space to Python's str only, or to the library's patterns only: such texts are encoded as they are.
-_ODD = "[\x1c-\x1f\x85\u0130\u180e\ufeff]"
-_WITH_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+_ODD = "[\x1c-\x1f\x85\u0130\u180e\ufeff\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Texts of so many bytes are encoded together.
+_TOGETHER = 1 << 21
 #: Where lower case is the same to Python and to the library.
 _LATIN = re.compile("[^\x00-\u024f]")
 
@@ -30,12 +36,36 @@ _KEPT = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _KEPT)}
 
 
-def _mapped(word: str) -> str:
-    return word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(_BYTES)
+def _mapped(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_BYTES)
+
 
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words between white space: where they start and end."""
+    return bounds(data, at)[:2]
 
-def _lower_words(text: str) -> list[str]:
-    return (text if _LATIN.search(text) else text.lower()).split()
+
+def _with_space(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with the one space before them, and what other white space there is.
+
+    Of white space before a word the last character stands alone, or goes with
+    the word if it is a space; the rest is one piece, as is that at a text's end.
+    """
+    starts, ends, first = bounds(data, at)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    before = np.concatenate([[0], ends[:-1]])[: len(starts)]
+    before = np.maximum(before, at[doc]) if len(starts) else before
+    gap = starts > before
+    space = gap.copy()
+    space[gap] = data[starts[gap] - 1] == 0x20
+    alone, more = gap & ~space, starts - before > 1
+    last = np.concatenate([[0], ends])[first[1:]]
+    last = np.where(np.diff(first) > 0, last, at[:-1])
+    tail = at[1:] > last
+    a = np.concatenate([starts - space, starts[alone] - 1, before[more], last[tail]])
+    b = np.concatenate([ends, starts[alone], starts[more] - 1, at[1:][tail]])
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order]
 
 
 class Encoder:
@@ -50,14 +80,14 @@ class Encoder:
         # Latin letters, with or without a space before them, reach the model as one piece and unchanged
         self.plain = lambda w: (x := w.removeprefix(" ")).isalpha() and not _LATIN.search(x) and (not lowers or x == x.lower())
         if "use_regex=False" in pre and "Split" in pre:
-            self.split = _lower_words if lowers else str.split  # white space is dropped
+            self.split = _words  # white space is dropped
         elif pre.startswith("ByteLevel") and "use_regex=True" in pre and "add_prefix_space=False" in pre:
-            self.split = _WITH_SPACE.findall  # one space goes with the word behind it
+            self.split = _with_space
         else:
             self.split = None
         # the strings of special tokens are cut out before anything else, so a text with one is encoded as it is
         self.odd = re.compile("|".join([_ODD, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())]))
-        self.kept_words, self.ids = kept_words, {}
+        self.kept_words, self.ids, self.by_hash, self.lowers = kept_words, {}, {}, lowers
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,10 +96,16 @@ class Encoder:
         """Keep the ids of new words. Those of letters with one mark behind them are the ids of both, as both patterns cut there."""
         marked = [w for w in words if w[-1] in ".,!?;:" and w[:-1].removeprefix(" ").isalpha()]
         alone = {w[:-1] for w in marked} | {w[-1] for w in marked} | set(words).difference(marked)
-        rest = []
-        for w in alone - self.ids.keys():
-            if self.plain(w):
-                self.ids[w] = _packed([t.id for t in self.tokenizer.model.tokenize(_mapped(w))])
+        rest, new = [], list(alone - self.ids.keys())
+        joined = "\n".join(new)
+        if _LATIN.search(joined) or any("\n" in w for w in new):
+            plain = [w for w in new if self.plain(w)]
+            rest = [w for w in new if not self.plain(w)]
+            new, joined = plain, "\n".join(plain)
+        tokenize = self.tokenizer.model.tokenize
+        for w, m in zip(new, _mapped(joined).split(_mapped("\n"))):
+            if w.isalpha() and (not self.lowers or w.islower()) or w[0] == " " and w[1:].isalpha() and not self.lowers:
+                self.ids[w] = _packed([t.id for t in tokenize(m)])
             else:
                 rest.append(w)
         for i in range(0, len(rest), 4096):
@@ -79,22 +115,53 @@ class Encoder:
             self.ids[w] = self.ids[w[:-1]] + self.ids[w[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 256):
-            part = [t or "" for t in texts[i : i + 256]]
-            if self.split is None:
-                out += self._direct(part)
+        texts = [t or "" for t in texts]
+        if self.split is None:
+            return self._direct(texts)
+        out: list[bytes] = [b""] * len(texts)
+        held, size = [], 0
+        for i, t in enumerate(texts):
+            if self.odd.search(t):
+                out[i] = self._direct([t])[0]
                 continue
-            odd = [bool(self.odd.search(t)) for t in part]
-            words = [[] if o else self.split(t) for t, o in zip(part, odd)]
-            if len(self.ids) > self.kept_words:
-                self.ids.clear()
-            if new := {w for ws in words for w in ws} - self.ids.keys():
-                self._learn(list(new))
-            get = self.ids.get
-            out += [self._direct([t])[0] if o else b"".join(map(get, ws)) for t, o, ws in zip(part, odd, words)]
+            raw = (t.lower() if self.lowers and not _LATIN.search(t) else t).encode()
+            held.append((i, raw))
+            size += len(raw)
+            if size >= _TOGETHER:
+                self._together(held, out)
+                held, size = [], 0
+        if held:
+            self._together(held, out)
         return out
 
+    def _together(self, held: list[tuple[int, bytes]], out: list[bytes]) -> None:
+        whole = b"".join(raw for _, raw in held)
+        data, at = np.frombuffer(whole, np.uint8), np.cumsum([0, *(len(raw) for _, raw in held)])
+        starts, ends = self.split(data, at)
+        if not len(starts):
+            return
+        keys, place, inverse = np.unique(bytes_hash(data, starts, ends, fold=False), return_index=True, return_inverse=True)
+        names = keys.tolist()
+        new = [k for k, name in enumerate(names) if name not in self.by_hash]
+        if len(self.by_hash) + len(new) > self.kept_words:
+            self.ids.clear()
+            self.by_hash.clear()
+            new = list(range(len(names)))
+        if new:
+            words = [whole[a:b].decode() for a, b in zip(starts[place[new]].tolist(), ends[place[new]].tolist())]
+            self._learn([w for w in words if w not in self.ids])
+            for k, w in zip(new, words):
+                self.by_hash[names[k]] = self.ids[w]
+        each = [self.by_hash[name] for name in names]
+        n = np.array([len(x) // 4 for x in each])
+        flat, begin = np.frombuffer(b"".join(each), "<u4"), np.concatenate([[0], np.cumsum(n)[:-1]])
+        n, begin = n[inverse], begin[inverse]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], n)]
+        cut = upto[np.searchsorted(starts, at)]
+        for (i, _), a, b in zip(held, cut[:-1].tolist(), cut[1:].tolist()):
+            out[i] = ids[a:b].tobytes()
+
 
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
