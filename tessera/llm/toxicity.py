@@ -136,11 +136,12 @@ def _rebuilt(rows: dict[str, np.ndarray], curve: np.ndarray) -> Model:
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 50) -> np.ndarray:
-    """Intercept and slopes by Newton steps. More evidence never lowers a score: a slope below 0 is 0; the ridge keeps separable rows' finite."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
+    """Intercept and slopes by Newton steps, each row counting ``weight`` times (once without). More evidence never lowers a score: a slope below 0 is 0; the ridge keeps separable rows' finite."""
     out = np.zeros(1 + x.shape[1])
     if not len(y) or y.min() == y.max():
         return out
+    weight = np.ones(len(y)) if weight is None else weight
     on = np.ones(len(out), bool)
     while True:
         z = np.concatenate([np.ones((len(x), 1)), x], 1)[:, on]
@@ -148,7 +149,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 50)
         keep[0, 0] = 1e-9
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + keep, z.T @ (y - p) - keep @ b)
+            step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + keep, z.T @ (weight * (y - p)) - keep @ b)
             b = b + step
             if np.abs(step).max() < 1e-8:
                 break
@@ -171,8 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, curve_sampl
     ``labels`` has doc_id and toxic; rows with a null are ignored, a doc_id
     with several labels is toxic if one says so. Of the rows used, those of
     remainder 1 fit the curve and the others are counted, each kind in a sample
-    bounded by ``per_class`` and ``curve_sample`` documents a class. Without
-    labels of both classes the score is a half for every text.
+    bounded by ``per_class`` and ``curve_sample`` documents a class. A row of
+    the curve counts for as many labelled documents of its class as it was
+    drawn from, so the classes' shares are those of all labels at every size.
+    Without labels of both classes the score is a half for every text.
     """
     root = common.shared_dir(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -188,8 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, curve_sampl
     model = Model({k: rows[k].to_numpy() for k in rows.column_names})
     held = _evidence(texts.where("not counted").select("text", "toxic"), model)
     x = np.array([e for _, e in held], float).reshape(-1, 2)
+    of_class = {r["toxic"]: r["count"] for r in known.where(f"fold = {CURVE_FOLD}").groupBy("toxic").count().collect()}
+    weight = np.array([of_class[y] / min(of_class[y], curve_sample) for y, _ in held], float)
     if rows.num_rows and np.ptp(rows["toxic"].to_numpy()):
-        model.curve = logistic(x, np.array([y for y, _ in held], float))
+        model.curve = logistic(x, np.array([y for y, _ in held], float), weight=weight)
     common.discard(docs.sparkSession, root, "labels", "chosen", "texts")
     return model
 

@@ -75,3 +75,13 @@ def test_the_curve_never_falls():
     x = np.random.default_rng(0).standard_normal((200, 2))
     y = (x[:, 0] - x[:, 1] > 0).astype(float)
     assert (toxicity.logistic(x, y)[1:] >= 0).all() and toxicity.logistic(x, y * 0).tolist() == [0, 0, 0]
+
+
+def test_a_bounded_sample_of_the_curve_keeps_the_classes_shares(spark, corpus):
+    docs, labels = corpus
+    # evidence of blanks is zero, so the curve's value there is the share of toxic labels
+    blank = docs.withColumn("text", F.when(toxicity.fold("doc_id") == toxicity.CURVE_FOLD, "").otherwise(F.col("text")))
+    held = labels.where("doc_id is not null and toxic is not null").where(toxicity.fold("doc_id") == toxicity.CURVE_FOLD).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = held.agg(F.avg("toxic")).first()[0]
+    for most in (20, 100_000):
+        assert 1 / (1 + np.exp(-toxicity.fit(blank, labels, curve_sample=most).curve[0])) == pytest.approx(share, abs=1e-3)
