@@ -11,9 +11,10 @@ word, for the whole text and for its most toxic stretch of words; a logistic
 curve, fitted on labelled documents that the models have not counted, makes the
 score of it.
 
-The counts come from a bounded sample of labelled documents and are kept in
+The counts come from all labelled documents of their folds and are kept in
 tables of fixed size, so what is broadcast has a proven bound however large the
-corpus is. Every document is scored whole, in one pass and without a shuffle.
+corpus is; only the curve has a bounded sample. Every document is scored whole,
+in one pass and without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 from . import common
 from .textwords import SLICE, bytes_hash
 
-#: Labelled documents of each class that are counted at most.
-SAMPLE = 20_000
 #: Labelled documents of each class that the curve is fitted on at most.
 CURVE_SAMPLE = 5_000
 FOLDS, CURVE_FOLD = 5, 1
@@ -81,20 +80,20 @@ class Model:
 
     def __init__(self, rows: dict[str, np.ndarray]):
         """rows: toxic, word, head (slots) and n, the number of documents of that class with the word."""
-        self.rows = {k: rows[k].astype(t) for k, t in (("toxic", np.int8), ("word", np.int32), ("head", np.int32), ("n", np.int32))}
+        self.rows = {k: rows[k].astype(t) for k, t in (("toxic", np.int8), ("word", np.int32), ("head", np.int32), ("n", np.int64))}
         klass, word, head, n = (self.rows[k].astype(np.int64) for k in ("toxic", "word", "head", "n"))
         table = lambda slot, bits, weight=None: np.bincount(slot * 2 + klass, weight, 2 << bits).astype(np.float32).reshape(-1, 2)
         words, heads = table(word, WORD_BITS, n), table(head, HEAD_BITS)
         # the lowest order: beginnings by the distinct words that have them, over a distribution that the classes share
-        both, types = heads.sum(1, keepdims=True), np.maximum(heads.sum(0), 1)
+        both, types = heads.sum(1, keepdims=True), np.maximum(heads.sum(0, dtype=np.float64), 1)
         shared = (both + 0.5) / (both.sum() + 0.5 * len(both))
         off = np.minimum(heads, HEAD_DISCOUNT)
-        begin = np.where(heads.sum(0) > 0, (heads - off) / types + off.sum(0) / types * shared, shared)
+        begin = np.where(heads.sum(0) > 0, (heads - off) / types + off.sum(0, dtype=np.float64) / types * shared, shared)
         # how often a word is among those of its beginning is the same for both classes
         of_head = np.bincount(head, n, 1 << HEAD_BITS) + 0.5 * (both[:, 0] + 1)
-        total = np.maximum(words.sum(0), 1)
+        total = np.maximum(words.sum(0, dtype=np.float64), 1)  # 4-byte sums lose rare words beside large totals
         off = np.minimum(words, DISCOUNTS[np.minimum(words, len(DISCOUNTS) - 1).astype(np.int64)])
-        freed = np.where(words.sum(0) > 0, off.sum(0) / total, 1)
+        freed = np.where(words.sum(0) > 0, off.sum(0, dtype=np.float64) / total, 1)
         self.words = ((words - off) / total).astype(np.float32)
         self.share = (words.sum(1) + 0.5).astype(np.float32)
         self.heads = (freed * begin / of_head[:, None]).astype(np.float32)
@@ -166,14 +165,14 @@ def sampled(labels: DataFrame, per_class: int) -> DataFrame:
     return of[0].union(of[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, curve_sample: int = CURVE_SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, curve_sample: int = CURVE_SAMPLE) -> Model:
     """The models, from labelled documents whose crc32(doc_id) leaves a remainder other than 0 by 5.
 
     ``labels`` has doc_id and toxic; rows with a null are ignored, a doc_id
     with several labels is toxic if one says so. Of the rows used, those of
-    remainder 1 fit the curve and the others are counted, each kind in a sample
-    bounded by ``per_class`` and ``curve_sample`` documents a class. A row of
-    the curve counts for as many labelled documents of its class as it was
+    remainder 1 fit the curve, in a sample bounded by ``curve_sample``
+    documents a class, and all others are counted. A row of the curve counts
+    for as many labelled documents of its class as it was
     drawn from, so the classes' shares are those of all labels at every size.
     Without labels of both classes the score is a half for every text.
     """
@@ -181,21 +180,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, curve_sampl
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold("doc_id")).where("fold <> 0")
     known = common.materialize(known, root, "labels")
-    counted, curve = sampled(known.where(f"fold <> {CURVE_FOLD}"), per_class), sampled(known.where(f"fold = {CURVE_FOLD}"), curve_sample)
-    chosen = counted.withColumn("counted", F.lit(True)).union(curve.withColumn("counted", F.lit(False)))
-    chosen = common.materialize(chosen.coalesce(1), root, "chosen")  # at most 2 * (per_class + curve_sample) rows of numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
-    texts = common.materialize(texts.select("text", "toxic", "counted"), root, "texts")
-    words = texts.where("counted").select("text", "toxic").mapInArrow(_counted, "toxic int, word int, head int, n long")
-    rows = words.groupBy("toxic", "word").agg(F.min("head").alias("head"), F.sum("n").cast("int").alias("n")).toArrow()  # at most a row for each slot and class
+    curve = common.materialize(sampled(known.where(f"fold = {CURVE_FOLD}"), curve_sample).coalesce(1), root, "curve")  # at most 2 * curve_sample rows of numbers
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    counted = texts.where(~fold("doc_id").isin(0, CURVE_FOLD)).join(known.where(f"fold <> {CURVE_FOLD}").select("doc_id", "toxic").hint("merge"), "doc_id")
+    words = counted.select("text", "toxic").mapInArrow(_counted, "toxic int, word int, head int, n long")
+    rows = words.groupBy("toxic", "word").agg(F.min("head").alias("head"), F.sum("n").alias("n")).toArrow()  # at most a row for each slot and class
     model = Model({k: rows[k].to_numpy() for k in rows.column_names})
-    held = _evidence(texts.where("not counted").select("text", "toxic"), model)
+    held = _evidence(texts.join(F.broadcast(curve), "doc_id").select("text", "toxic"), model)
     x = np.array([e for _, e in held], float).reshape(-1, 2)
     of_class = {r["toxic"]: r["count"] for r in known.where(f"fold = {CURVE_FOLD}").groupBy("toxic").count().collect()}
     weight = np.array([of_class[y] / min(of_class[y], curve_sample) for y, _ in held], float)
     if rows.num_rows and np.ptp(rows["toxic"].to_numpy()):
         model.curve = logistic(x, np.array([y for y, _ in held], float), weight=weight)
-    common.discard(docs.sparkSession, root, "labels", "chosen", "texts")
+    common.discard(docs.sparkSession, root, "labels", "curve")
     return model
 
 

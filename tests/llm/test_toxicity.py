@@ -85,3 +85,13 @@ def test_a_bounded_sample_of_the_curve_keeps_the_classes_shares(spark, corpus):
     share = held.agg(F.avg("toxic")).first()[0]
     for most in (20, 100_000):
         assert 1 / (1 + np.exp(-toxicity.fit(blank, labels, curve_sample=most).curve[0])) == pytest.approx(share, abs=1e-3)
+
+
+def test_all_eligible_labelled_documents_are_counted(spark):
+    docs = spark.range(36_000).selectExpr("id as doc_id", "'plain words' as text")
+    labels = spark.range(36_000).selectExpr("id as doc_id", "int(id % 50 = 0) as toxic")
+    word = toxicity.words_of(np.frombuffer(b"plain", np.uint8), np.array([0, 5]))[0][0]
+    rows = toxicity.fit(docs, labels).rows
+    n = {int(t): int(n) for t, w, n in zip(rows["toxic"], rows["word"], rows["n"]) if w == word}
+    eligible = [i for i in range(36_000) if zlib.crc32(str(i).encode()) % 5 not in (0, toxicity.CURVE_FOLD)]
+    assert n == {1: sum(i % 50 == 0 for i in eligible), 0: sum(i % 50 != 0 for i in eligible)} and n[0] > 20_000
