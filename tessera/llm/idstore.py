@@ -4,13 +4,14 @@ A rolling hash over the ids of a document cuts them into chunks where its top
 bits are zero, so equal passages give equal chunks wherever they stand. A chunk
 is stored once under its SHA-256; a document's recipe lists its chunks. The
 Merkle tree over them has four levels (chunk, document, recipe file, store):
-reading checks every chunk against its address and every recipe against its
-document's root.
+read_digests checks every chunk against its address, every recipe against its
+document's root, all recipes of a file against the manifest and the manifest
+against the store's root.
 
 Layout of a store, all Parquet: ``chunks`` (sorted by address; a row holds the
 ids where they are stored, and the documents of one input run that use them),
-``recipes`` (a file for each range of doc_id, ascending in and across files)
-and ``manifest`` (a row for each recipe file).
+``recipes`` (a file for each range of doc_id, ascending in and across files),
+``manifest`` (a row for each recipe file) and ``store`` (one row, the root).
 """
 
 from __future__ import annotations
@@ -106,6 +107,11 @@ def _store_once(batches: common.Batches) -> common.Batches:
         yield common.batch_of(CHUNKS, [pa.array(ids, pa.binary()) if n == "ids" else batch[n] for n in CHUNKS.names])
 
 
+def _leaf(doc_id: int | None, row_id: int, n_tokens: int, root: bytes) -> bytes:
+    """What a document adds to the root of its recipe file."""
+    return f"{doc_id},{row_id},{n_tokens},".encode() + root
+
+
 def _recipes(batches: common.Batches) -> common.Batches:
     """From places sorted by document: recipes, and at the end the part's root in a row without document."""
     from pyspark import TaskContext
@@ -117,7 +123,7 @@ def _recipes(batches: common.Batches) -> common.Batches:
         nonlocal start
         if key is not None:
             root = hashlib.sha256(b"".join(hashes)).digest()
-            top.update(root)
+            top.update(_leaf(*key, sum(sizes), root))
             rows.append((*key, part, start, sum(sizes), list(hashes), list(sizes), root, None))
             start += sum(sizes)
 
@@ -137,8 +143,17 @@ def _recipes(batches: common.Batches) -> common.Batches:
         yield common.batch_of(RECIPES, list(zip(*rows)))
 
 
-def write_store(docs: DataFrame, root: str, tokenizer_path: str) -> None:
-    """Encode every text of ``docs`` (doc_id, text) and write the store below ``root``.
+def _store_root(parts: list) -> str:
+    """The root over the recipe files' (part, n_tokens, part_root), in ascending order."""
+    return hashlib.sha256(b"".join(f"{part},{n},".encode() + bytes(r) for part, n, r in parts)).hexdigest()
+
+
+def _manifest(spark: SparkSession, root: str) -> list:
+    return [tuple(r) for r in spark.read.parquet(f"{root}/manifest").select("part", "n_tokens", "part_root").orderBy("part").collect()]  # a row for each recipe file
+
+
+def write_store(docs: DataFrame, root: str, tokenizer_path: str) -> str:
+    """Encode every text of ``docs`` (doc_id, text), write the store below ``root`` and give its root hash.
 
     A null or empty text is one end id. Null doc_ids come first; rows of one
     doc_id keep their input order and each has a recipe. Other columns are
@@ -157,6 +172,45 @@ def write_store(docs: DataFrame, root: str, tokenizer_path: str) -> None:
     ordered.mapInArrow(_recipes, RECIPES_DDL).write.option("compression", "zstd").parquet(f"{root}/recipes")
     made = spark.read.schema(RECIPES_DDL).parquet(f"{root}/recipes").where("part_root is not null")
     made.select("part", "n_tokens", "part_root").coalesce(1).write.parquet(f"{root}/manifest")
+    store_root = _store_root(_manifest(spark, root))
+    spark.range(0, 1, 1, 1).select(F.lit(store_root).alias("store_root")).write.parquet(f"{root}/store")
+    return store_root
+
+
+PARTS = pa.schema([("part", pa.int32()), ("n_tokens", pa.int64()), ("part_root", pa.binary())])
+
+
+def _part_roots(batches: common.Batches) -> common.Batches:
+    """From recipes sorted by part and start: each part's tokens and root."""
+    part, n, top, rows = None, 0, hashlib.sha256(), []
+    for batch in batches:
+        for p, start, doc_id, row_id, n_tokens, root in zip(*(batch[c].to_pylist() for c in ("part", "start_in_part", "doc_id", "row_id", "n_tokens", "root"))):
+            if p != part:
+                if part is not None:
+                    rows.append((part, n, top.digest()))
+                part, n, top = p, 0, hashlib.sha256()
+            if start != n:
+                raise ValueError(f"recipes of part {p} don't follow each other; its root can't match")
+            top.update(_leaf(doc_id, row_id, n_tokens, root))
+            n += n_tokens
+    if part is not None:
+        rows.append((part, n, top.digest()))
+        yield common.batch_of(PARTS, list(zip(*rows)))
+
+
+def verified_parts(spark: SparkSession, root: str, store_root: str | None = None) -> list:
+    """The manifest, once it matches all recipes and the store's root (and ``store_root``, where the caller kept it)."""
+    parts = _manifest(spark, root)
+    kept = [r.store_root for r in spark.read.parquet(f"{root}/store").collect()]
+    if kept != [_store_root(parts)] or store_root not in (None, kept[0]):
+        raise ValueError("the manifest doesn't match the store's root")
+    recipes = spark.read.schema(RECIPES_DDL).parquet(f"{root}/recipes").where("part_root is null")
+    total = F.expr("if(aggregate(sizes, 0L, (a, x) -> a + x) = n_tokens, n_tokens, raise_error('a recipe does not match its root: sizes'))").alias("n_tokens")
+    ordered = recipes.select("part", "start_in_part", "doc_id", "row_id", total, "root").repartitionByRange("part").sortWithinPartitions("part", "start_in_part")
+    found = sorted(tuple(r) for r in ordered.mapInArrow(_part_roots, "part int, n_tokens long, part_root binary").collect())  # a row for each recipe file
+    if found != parts:
+        raise ValueError("the recipes don't match the manifest's roots")
+    return parts
 
 
 _POLY = np.uint32(0xEDB88320)
@@ -211,13 +265,14 @@ def _shift(batches: common.Batches) -> common.Batches:
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "row_id", "part", "start_in_part", "n_tokens")), pa.array(crc)], names=["doc_id", "row_id", "part", "start_in_part", "n_tokens", "crc"])
 
 
-def read_digests(spark: SparkSession, root: str) -> DataFrame:
+def read_digests(spark: SparkSession, root: str, store_root: str | None = None) -> DataFrame:
     """Each document of the store: doc_id, start (ids of all documents before it), n_tokens and ids_crc32.
 
     Reads every stored chunk once, checks it against its address and joins only
     its CRC-32 to the recipes, in which those of a document's chunks add up to
     the document's. A chunk that is missing or of another size fails the read,
-    as does a recipe that doesn't match its document's root.
+    as does a recipe that doesn't match its document's root, and recipes that
+    don't match the manifest, or a manifest that doesn't match the store's root.
     """
     chunks = spark.read.schema(CHUNKS_DDL).parquet(f"{root}/chunks").where("ids is not null").select("hash", "width", "ids").mapInArrow(_digest, "hash binary, crc long, stored int")
     recipes = spark.read.schema(RECIPES_DDL).parquet(f"{root}/recipes").where("part_root is null")
@@ -229,9 +284,9 @@ def read_digests(spark: SparkSession, root: str) -> DataFrame:
     shifts = met.select("doc_id", "row_id", "part", "start_in_part", "n_tokens", "crc", "behind").mapInArrow(_shift, "doc_id long, row_id long, part int, start_in_part long, n_tokens long, crc long")
     whole = shifts.groupBy("doc_id", "row_id", "part", "start_in_part", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"))
     base, starts = 0, []
-    for r in spark.read.parquet(f"{root}/manifest").orderBy("part").collect():  # a row for each recipe file
-        starts.append((r.part, base))
-        base += r.n_tokens
+    for part, n_tokens, _ in verified_parts(spark, root, store_root):
+        starts.append((part, base))
+        base += n_tokens
     offsets = spark.createDataFrame(starts, "part int, base long")
     return whole.join(F.broadcast(offsets), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -256,5 +311,5 @@ def read_ids(spark: SparkSession, root: str) -> DataFrame:
 
 def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = common.shared_dir(spark)
-    write_store(common.table(spark, sf_dir, "documents"), root, tokens.public_path("byte_bpe_50k.json"))
-    return read_digests(spark, root)
+    store_root = write_store(common.table(spark, sf_dir, "documents"), root, tokens.public_path("byte_bpe_50k.json"))
+    return read_digests(spark, root, store_root)

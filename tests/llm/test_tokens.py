@@ -106,3 +106,29 @@ def test_a_changed_recipe_is_noticed(spark, hard_docs):
     spark.createDataFrame(bad, idstore.RECIPES_DDL).write.mode("overwrite").parquet(f"{root}/recipes")
     with pytest.raises(Exception, match="root|missing"):
         idstore.read_digests(spark, root).collect()
+
+
+def test_lost_or_replaced_recipes_and_manifests_are_noticed(spark, hard_docs):
+    root = common.shared_dir(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # more recipe files than one
+    try:
+        store_root = idstore.write_store(hard_docs, root, tokens.public_path(BYTE))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = spark.read.schema(idstore.RECIPES_DDL).parquet(f"{root}/recipes").collect()
+    parts = sorted({r.part for r in rows})
+    assert len(parts) > 1 and [p for p, _, _ in idstore.verified_parts(spark, root, store_root)] == parts
+    lost = [r for r in rows if r.part != parts[-1]]
+    other = [r if r.doc_id != 20 else (21, *r[1:]) for r in rows]
+    for bad in (lost, other):
+        spark.createDataFrame(bad, idstore.RECIPES_DDL).write.mode("overwrite").parquet(f"{root}/recipes")
+        with pytest.raises(Exception, match="root"):
+            idstore.read_digests(spark, root).collect()
+    spark.createDataFrame(rows, idstore.RECIPES_DDL).write.mode("overwrite").parquet(f"{root}/recipes")
+    assert idstore.read_digests(spark, root, store_root).count() == hard_docs.count()
+    with pytest.raises(ValueError, match="root"):
+        idstore.read_digests(spark, root, "0" * 64)
+    manifest = spark.read.parquet(f"{root}/manifest").where(f"part <> {parts[-1]}").collect()
+    spark.createDataFrame(manifest, "part int, n_tokens long, part_root binary").write.mode("overwrite").parquet(f"{root}/manifest")
+    with pytest.raises(ValueError, match="root"):
+        idstore.read_digests(spark, root)
