@@ -44,8 +44,8 @@ _TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)
 TYPES = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "password": r"(?<=(?:[Pp]assword|[Pp]asswd|PASSWORD|[Pp]wd)\s?[=:]\s?)[^\s\"']{4,200}",
-    "hex": r"(?=[a-f]{0,63}\d)[a-f0-9]{32,64}(?![A-Za-z0-9])",
+    "password": r"(?<=(?:[Pp]assword|[Pp]asswd|PASSWORD|[Pp]wd)\s?[=:]\s?)[^\s\"']{4,}+",
+    "hex": r"(?=[A-Fa-f]*+\d)[A-Fa-f0-9]{32,}+(?![A-Za-z0-9])",
     "ip": rf"(?<!\d\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
@@ -91,7 +91,7 @@ def _entities(v: Column) -> Column:
     """A mention's entities: (type, norm)."""
     kind = _kind(v)
     digits = F.regexp_replace(v, "[^0-9]", "")
-    norm = F.when(kind == "email", F.lower(v)).when(kind == "phone", F.concat(F.when(F.startswith(v, _text("+")), "+").otherwise(""), digits)).when(kind.isin(*_DIGITS), digits).otherwise(v)
+    norm = F.when(kind.isin("email", "hex"), F.lower(v)).when(kind == "phone", F.concat(F.when(F.startswith(v, _text("+")), "+").otherwise(""), digits)).when(kind.isin(*_DIGITS), digits).otherwise(v)
     one = F.array(F.struct(kind.alias("type"), norm.alias("norm")))
     return F.when(kind == "name", _name_types(v)).otherwise(one)
 
@@ -153,7 +153,7 @@ def _rendered(v: Column, of: Column) -> Column:
     figure = lambda i: F.substr(figures, F.length(F.regexp_replace(F.substr(v, F.lit(1), i), "[^0-9]", "")), F.lit(1))
     number = F.array_join(F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.when(F.substr(v, i, F.lit(1)).between("0", "9"), figure(i)).otherwise(F.substr(v, i, F.lit(1)))), "")
     name = F.concat(_title(v), F.array_join(F.transform(entities, lambda e: F.initcap(found(e))), " "))
-    return F.when(kind.isin(*_DIGITS), number).when(kind == "name", name).when((kind == "email") & (v == F.upper(v)), F.upper(one)).otherwise(one)
+    return F.when(kind.isin(*_DIGITS), number).when(kind == "name", name).when(kind.isin("email", "hex") & (v == F.upper(v)), F.upper(one)).otherwise(one)
 
 
 def surrogates(entities: DataFrame, root: str, key: str = KEY) -> DataFrame:

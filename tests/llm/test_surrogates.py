@@ -73,3 +73,12 @@ def test_hard_documents(spark, hard_docs, no_docs):
     long = spark.createDataFrame([(1, "a@" * 5000), (2, "1" * 60000), (3, "x" * 60000 + "@y.z"), (4, "a@b.cd " * 4000)], "doc_id long, text string")
     assert [r.n_mentions for r in surrogates.pseudonymize(long).orderBy("doc_id").collect()] == [0, 0, 0, 4000]
     assert surrogates.pseudonymize(no_docs).count() == 0
+
+
+def test_long_and_upper_case_secrets_are_replaced_whole(spark):
+    password, digits = "q7" * 150, "0123456789abcdef" * 8
+    texts = [f"password={password} end", f"a {digits} b", f"a {digits.upper()} b", "a " + "ABCDEF0123456789" * 2 + " b"]
+    out = [r.text for r in surrogates.pseudonymize(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert re.fullmatch(r"password=(?:[a-z]\d){150} end", out[0]) and password[200:] not in out[0]
+    assert re.fullmatch(r"a [a-f0-9]{128} b", out[1]) and out[1] != texts[1] and out[2] == "a " + out[1][2:-2].upper() + " b"
+    assert re.fullmatch(r"a [A-F0-9]{32} b", out[3]) and out[3] != texts[3]
