@@ -1,4 +1,7 @@
-"""Deletion of repeated line runs, by a suffix array over line-ID sequences.
+"""Deletion of repeated line runs, by the names of prefix doubling over line-ID sequences.
+
+No suffix is sorted and no longest common prefix computed: equal runs are found
+by grouping equal names, which are hashes of 128 bits.
 
 A document is the sequence of IDs of its lines. Prefix doubling names every
 suffix's first 1, 2, 4, ... lines: a name of twice the length is made of the
