@@ -62,7 +62,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Scores and token ids are beyond SQL; the tests hold run() against the stages' own brute-force versions.
+#: Scores and token ids are beyond SQL; a test follows planted documents through the stages. A brute-force version of run() is missing.
 ORACLE_SQL = None
 
 
