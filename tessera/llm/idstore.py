@@ -8,17 +8,17 @@ read_digests checks every chunk against its address, every recipe against its
 document's root, all recipes of a file against the manifest and the manifest
 against the store's root.
 
-Layout of a store, all Parquet: ``chunks`` (sorted by address; a row holds the
-ids where they are stored, and the documents of one input run that use them),
-``recipes`` (a file for each range of doc_id, ascending in and across files),
-``manifest`` (a row for each recipe file) and ``store`` (one row, the root).
+Layout of a store, all Parquet: ``chunks`` (sorted by address, each stored
+once; rows without an address are the documents as they were cut, of which the
+recipes are made), ``recipes`` (a file for each range of doc_id, ascending in
+and across files), ``manifest`` (a row for each recipe file) and ``store`` (one
+row, the root).
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +29,29 @@ from . import common, tokens
 
 #: Bounds and mean of a chunk's ids; the mean is a power of two. The rolling hash looks at WINDOW ids, fewer than LEAST.
 LEAST, MEAN, MOST, WINDOW = 64, 256, 1024, 16
-#: Ids of a run of documents whose equal chunks share a row.
-RUN_IDS = 4_000_000
+#: Addresses that a task remembers, so as to pass on equal chunks once.
+KNOWN = 1 << 20
 
 _GEAR = np.random.default_rng(10).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where the chunks of one document end."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def boundaries(ids: np.ndarray) -> np.ndarray:
+    """Behind which ids, of documents one after the other, the rolling hash allows a cut.
+
+    The hash reads over the start of a document only where its first chunk is
+    shorter than LEAST, and no cut is made there.
+    """
     gear = _GEAR[ids & 0xFFFF]
     rolled = gear.copy()
     for k in range(1, WINDOW):
         rolled[k:] += gear[:-k] << np.uint32(k)
-    ends = (np.flatnonzero(rolled >> np.uint32(32 - MEAN.bit_length() + 1) == 0) + 1).tolist()
+    return np.flatnonzero(rolled >> np.uint32(32 - MEAN.bit_length() + 1) == 0) + 1
+
+
+def cuts(allowed: list[int], n: int) -> list[int]:
+    """Where the chunks of a document of ``n`` ids end, given where the hash allows it."""
     out, last = [], 0
-    for e in [*ends, n]:
+    for e in [*allowed, n]:
         while e - last > MOST:
             last += MOST
             out.append(last)
@@ -56,55 +61,48 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
-CHUNKS = pa.schema([("hash", pa.binary()), ("n_ids", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("row_ids", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
-CHUNKS_DDL = "hash binary, n_ids int, width int, ids binary, doc_ids array<bigint>, row_ids array<bigint>, places array<int>"
+CHUNKS = pa.schema([("hash", pa.binary()), ("n_ids", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("row_id", pa.int64()), ("hashes", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32()))])
+CHUNKS_DDL = "hash binary, n_ids int, width int, ids binary, doc_id bigint, row_id bigint, hashes array<binary>, sizes array<int>"
 RECIPES = pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("part", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("hashes", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("root", pa.binary()), ("part_root", pa.binary())])
 RECIPES_DDL = "doc_id bigint, row_id bigint, part int, start_in_part bigint, n_tokens bigint, hashes array<binary>, sizes array<int>, root binary, part_root binary"
 
 
 def _cut(batches: common.Batches, path: str) -> common.Batches:
+    """Chunks that this task hasn't passed on yet, and each document's list of chunks."""
     from pyspark import TaskContext
 
     enc, end = tokens.encoder(path), tokens.END_ID.to_bytes(4, "little")
     width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 else 4
-    row_id, held, found = TaskContext.get().partitionId() << 33, 0, {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        rows = [(h, *v) for h, v in found.items()]
-        found.clear()
-        for i in range(0, len(rows), 8192):
-            yield common.batch_of(CHUNKS, list(zip(*rows[i : i + 8192])))
-
+    row_id, known = TaskContext.get().partitionId() << 33, set()
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             part = batch.slice(i, 512)
-            for doc_id, raw in zip(part["doc_id"].to_pylist(), enc.encode(part["text"].to_pylist())):
-                ids = np.frombuffer(raw + end, "<u4")
-                held += len(ids)
-                small = ids.astype(f"<u{width}").tobytes()
-                start = 0
-                for place, stop in enumerate(cuts(ids)):
+            each = [raw + end for raw in enc.encode(part["text"].to_pylist())]
+            at = np.cumsum([0, *(len(raw) // 4 for raw in each)])
+            flat = np.frombuffer(b"".join(each), "<u4")
+            allowed = boundaries(flat)
+            lo, hi = np.searchsorted(allowed, at[:-1], "right").tolist(), np.searchsorted(allowed, at[1:], "left").tolist()
+            small, base = flat.astype(f"<u{width}").tobytes(), at.tolist()
+            chunks, docs = [], []
+            for d, doc_id in enumerate(part["doc_id"].to_pylist()):
+                start, hashes, sizes = base[d], [], []
+                for stop in cuts((allowed[lo[d] : hi[d]] - start).tolist(), base[d + 1] - start):
+                    stop += base[d]
                     data = small[start * width : stop * width]
-                    chunk = found.setdefault(hashlib.sha256(data).digest(), (stop - start, width, data, [], [], []))
-                    for x, v in zip(chunk[3:], (doc_id, row_id, place)):
-                        x.append(v)
+                    name = hashlib.sha256(data).digest()
+                    if name not in known:
+                        known.add(name)
+                        chunks.append((name, stop - start, width, data))
+                    hashes.append(name)
+                    sizes.append(stop - start)
                     start = stop
+                docs.append((doc_id, row_id, hashes, sizes))
                 row_id += 1
-            if held >= RUN_IDS:
-                yield from flush()
-                held = 0
-    yield from flush()
-
-
-def _store_once(batches: common.Batches) -> common.Batches:
-    """Of rows sorted by hash, only the first of each keeps the ids."""
-    last = None
-    for batch in batches:
-        hashes = batch["hash"].to_pylist()
-        again = [h == p for h, p in zip(hashes, [last, *hashes])]
-        last = hashes[-1] if hashes else last
-        ids = [None if a else x for a, x in zip(again, batch["ids"].to_pylist())]
-        yield common.batch_of(CHUNKS, [pa.array(ids, pa.binary()) if n == "ids" else batch[n] for n in CHUNKS.names])
+            n, m = len(chunks), len(docs)
+            columns = [*([*c, *[None] * m] for c in (zip(*chunks) if n else [[]] * 4)), *([*[None] * n, *c] for c in zip(*docs))]
+            yield common.batch_of(CHUNKS, columns)
+            if len(known) > KNOWN:
+                known.clear()
 
 
 def _leaf(doc_id: int | None, row_id: int, n_tokens: int, root: bytes) -> bytes:
@@ -113,32 +111,20 @@ def _leaf(doc_id: int | None, row_id: int, n_tokens: int, root: bytes) -> bytes:
 
 
 def _recipes(batches: common.Batches) -> common.Batches:
-    """From places sorted by document: recipes, and at the end the part's root in a row without document."""
+    """From documents in order: recipes, and at the end the part's root in a row without document."""
     from pyspark import TaskContext
 
-    part, start, top = TaskContext.get().partitionId(), 0, hashlib.sha256()
-    key, hashes, sizes, rows = None, [], [], []
-
-    def close() -> None:
-        nonlocal start
-        if key is not None:
-            root = hashlib.sha256(b"".join(hashes)).digest()
-            top.update(_leaf(*key, sum(sizes), root))
-            rows.append((*key, part, start, sum(sizes), list(hashes), list(sizes), root, None))
-            start += sum(sizes)
-
+    part, start, top, rows = TaskContext.get().partitionId(), 0, hashlib.sha256(), []
     for batch in batches:
-        for doc_id, row_id, h, n in zip(*(batch[c].to_pylist() for c in ("doc_id", "row_id", "hash", "n_ids"))):
-            if key != (doc_id, row_id):
-                close()
-                key, hashes, sizes = (doc_id, row_id), [], []
-            hashes.append(h)
-            sizes.append(n)
-        if len(rows) >= 4096:
-            yield common.batch_of(RECIPES, list(zip(*rows)))
-            rows.clear()
-    close()
-    if key is not None:
+        for doc_id, row_id, hashes, sizes in zip(*(batch[c].to_pylist() for c in ("doc_id", "row_id", "hashes", "sizes"))):
+            root, n = hashlib.sha256(b"".join(hashes)).digest(), sum(sizes)
+            top.update(_leaf(doc_id, row_id, n, root))
+            rows.append((doc_id, row_id, part, start, n, hashes, sizes, root, None))
+            start += n
+            if len(rows) >= 4096:
+                yield common.batch_of(RECIPES, list(zip(*rows)))
+                rows.clear()
+    if start:
         rows.append((None, None, part, None, start, [], [], None, top.digest()))
         yield common.batch_of(RECIPES, list(zip(*rows)))
 
@@ -158,18 +144,18 @@ def write_store(docs: DataFrame, root: str, tokenizer_path: str) -> str:
     A null or empty text is one end id. Null doc_ids come first; rows of one
     doc_id keep their input order and each has a recipe. Other columns are
     ignored; an empty table gives a store without rows. Chunks are dealt by
-    address, after equal ones of a run share a row, so a passage that a third
-    of the documents hold is a row for each run.
+    address and documents by number; a task passes a chunk on once, so one that
+    a third of the documents hold is a row for each input task, without a list
+    of its documents.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = rows.mapInArrow(lambda batches: _cut(batches, tokenizer_path), CHUNKS_DDL)
-    chunks = runs.repartition(F.col("hash")).sortWithinPartitions("hash").mapInArrow(_store_once, CHUNKS_DDL)
-    chunks.write.option("compression", "zstd").parquet(f"{root}/chunks")
-    used = spark.read.schema(CHUNKS_DDL).parquet(f"{root}/chunks").select("hash", "n_ids", F.explode(F.arrays_zip("doc_ids", "row_ids", "places")).alias("at"))
-    used = used.select("hash", "n_ids", F.col("at.doc_ids").alias("doc_id"), F.col("at.row_ids").alias("row_id"), F.col("at.places").alias("place"))
-    ordered = used.repartitionByRange(F.col("doc_id"), F.col("row_id")).sortWithinPartitions("doc_id", "row_id", "place")
-    ordered.mapInArrow(_recipes, RECIPES_DDL).write.option("compression", "zstd").parquet(f"{root}/recipes")
+    cut = rows.mapInArrow(lambda batches: _cut(batches, tokenizer_path), CHUNKS_DDL)
+    once = cut.repartition("hash", "row_id").groupBy("hash", "row_id").agg(*[F.first(c).alias(c) for c in CHUNKS.names if c not in ("hash", "row_id")])
+    once.select(*CHUNKS.names).write.option("parquet.enable.dictionary", "false").parquet(f"{root}/chunks")  # all values differ
+    each = spark.read.schema(CHUNKS_DDL).parquet(f"{root}/chunks").where("hash is null").select("doc_id", "row_id", "hashes", "sizes")
+    ordered = each.repartitionByRange(F.col("doc_id"), F.col("row_id")).sortWithinPartitions("doc_id", "row_id")
+    ordered.mapInArrow(_recipes, RECIPES_DDL).write.parquet(f"{root}/recipes")
     made = spark.read.schema(RECIPES_DDL).parquet(f"{root}/recipes").where("part_root is not null")
     made.select("part", "n_tokens", "part_root").coalesce(1).write.parquet(f"{root}/manifest")
     store_root = _store_root(_manifest(spark, root))
@@ -274,7 +260,7 @@ def read_digests(spark: SparkSession, root: str, store_root: str | None = None)
     as does a recipe that doesn't match its document's root, and recipes that
     don't match the manifest, or a manifest that doesn't match the store's root.
     """
-    chunks = spark.read.schema(CHUNKS_DDL).parquet(f"{root}/chunks").where("ids is not null").select("hash", "width", "ids").mapInArrow(_digest, "hash binary, crc long, stored int")
+    chunks = spark.read.schema(CHUNKS_DDL).parquet(f"{root}/chunks").where("hash is not null").select("hash", "width", "ids").mapInArrow(_digest, "hash binary, crc long, stored int")
     recipes = spark.read.schema(RECIPES_DDL).parquet(f"{root}/recipes").where("part_root is null")
     ends = "transform(sequence(1, size(sizes)), k -> aggregate(slice(sizes, 1, k), 0L, (a, x) -> a + x))"
     checked = recipes.withColumn("root", F.expr("if(sha2(array_join(transform(hashes, h -> hex(h)), ''), 256) is null or unhex(sha2(unhex(array_join(transform(hashes, h -> hex(h)), '')), 256)) <> root, raise_error('a recipe does not match its root'), root)"))
@@ -302,7 +288,7 @@ def _joined(batches: common.Batches) -> common.Batches:
 
 def read_ids(spark: SparkSession, root: str) -> DataFrame:
     """Each document's ids: doc_id, row_id, ids, from its recipe and the chunks."""
-    chunks = spark.read.schema(CHUNKS_DDL).parquet(f"{root}/chunks").where("ids is not null").select("hash", "width", "ids")
+    chunks = spark.read.schema(CHUNKS_DDL).parquet(f"{root}/chunks").where("hash is not null").select("hash", "width", "ids")
     recipes = spark.read.schema(RECIPES_DDL).parquet(f"{root}/recipes").where("part_root is null")
     places = recipes.select("doc_id", "row_id", F.posexplode("hashes").alias("place", "hash"))
     parts = places.join(chunks, "hash").groupBy("doc_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("place", "width", "ids"))).alias("parts"))

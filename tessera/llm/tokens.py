@@ -3,8 +3,8 @@
 Both kinds of file that are used here cut a text at white space before they
 look at anything else, so a text's ids are those of its words one after the
 other. Encoding each distinct word once gives the same ids as encoding the
-texts, at a fraction of the time; words are found and compared as hashes of
-their bytes, many texts at once.
+texts, at a fraction of the time. Words are looked up as strings, so two words
+never pass for one another.
 """
 
 from __future__ import annotations
@@ -12,121 +12,140 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
+from operator import attrgetter
 
 import numpy as np
 
-from .textwords import bounds, bytes_hash
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Ends each document.
 END_ID = 2
-#: Words whose ids a Python worker keeps.
-KEPT_WORDS = 1_000_000
-#: White space to Python's str only, or to the library's patterns only: such texts are encoded as they are.
-_ODD = "[\x1c-\x1f\x85\u0130\u180e\ufeff\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: Texts of so many bytes are encoded together.
+#: Words whose ids a Python worker keeps, and the longest word that is kept: together a bound on memory.
+KEPT_WORDS, LONGEST_KEPT = 600_000, 48
+#: Texts of so many characters are encoded together.
 _TOGETHER = 1 << 21
-#: Where lower case is the same to Python and to the library.
-_LATIN = re.compile("[^\x00-\u024f]")
-
-
+#: White space to Python's str only; white space beside the space and the line feed, of the first 256 characters and all.
+_PYTHON_ONLY = b"\x1c\x1d\x1e\x1f"
+_OTHER = b"\t\x0b\x0c\r\x85\xa0" + _PYTHON_ONLY
+_PYTHON_ONLY_OF_ALL = re.compile("[\x1c-\x1f]")
+_OTHER_OF_ALL = re.compile("[^\\S \n]|[\x1c-\x1f]")
+#: Signs that end words: no letter, no digit, no white space.
+_SIGNS = "".join(c for c in map(chr, range(0x21, 0x100)) if not c.isalnum() and not c.isspace() and c.isprintable())
+
+_ID = attrgetter("id")
 #: The characters that byte-level models write bytes as.
 _KEPT = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _KEPT)}
+_SPACE, _LINE = chr(_BYTES[0x20]), chr(_BYTES[0x0A])
 
 
-def _mapped(text: str) -> str:
-    return text.encode().decode("latin-1").translate(_BYTES)
+def _mapped(words: str) -> str:
+    """Words of letters, a line each, as byte-level models write them."""
+    return words.replace("\n", _LINE) if words.isascii() else words.encode().decode("latin-1").translate(_BYTES)
 
 
-def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words between white space: where they start and end."""
-    return bounds(data, at)[:2]
+def _latin(text: str) -> bytes | None:
+    """``text`` if all its characters are below 256, where letters, lower case and white space are the same to all."""
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
 
 
-def _with_space(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words with the one space before them, and what other white space there is.
+class Encoder:
+    """``encode(texts)``: each text's ids as little-endian unsigned 32-bit integers, without special tokens.
 
-    Of white space before a word the last character stands alone, or goes with
-    the word if it is a space; the rest is one piece, as is that at a text's end.
+    ``ids`` holds the ids of words: for a vocabulary that drops white space
+    those of the word alone, otherwise those of the word with the one space
+    before it; there a word behind a line feed goes by both together.
     """
-    starts, ends, first = bounds(data, at)
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    before = np.concatenate([[0], ends[:-1]])[: len(starts)]
-    before = np.maximum(before, at[doc]) if len(starts) else before
-    gap = starts > before
-    space = gap.copy()
-    space[gap] = data[starts[gap] - 1] == 0x20
-    alone, more = gap & ~space, starts - before > 1
-    last = np.concatenate([[0], ends])[first[1:]]
-    last = np.where(np.diff(first) > 0, last, at[:-1])
-    tail = at[1:] > last
-    a = np.concatenate([starts - space, starts[alone] - 1, before[more], last[tail]])
-    b = np.concatenate([ends, starts[alone], starts[more] - 1, at[1:][tail]])
-    order = np.argsort(a, kind="stable")
-    return a[order], b[order]
-
-
-class Encoder:
-    """``encode(texts)``: each text's ids as little-endian unsigned 32-bit integers, without special tokens."""
 
     def __init__(self, path: str, kept_words: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         pre = str(self.tokenizer.pre_tokenizer)
-        lowers = "Lowercase" in str(self.tokenizer.normalizer)
-        # Latin letters, with or without a space before them, reach the model as one piece and unchanged
-        self.plain = lambda w: (x := w.removeprefix(" ")).isalpha() and not _LATIN.search(x) and (not lowers or x == x.lower())
-        if "use_regex=False" in pre and "Split" in pre:
-            self.split = _words  # white space is dropped
-        elif pre.startswith("ByteLevel") and "use_regex=True" in pre and "add_prefix_space=False" in pre:
-            self.split = _with_space
-        else:
-            self.split = None
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
+        self.spaced = pre.startswith("ByteLevel") and "use_regex=True" in pre and "add_prefix_space=False" in pre
+        self.by_words = self.spaced or "use_regex=False" in pre and "Split" in pre
         # the strings of special tokens are cut out before anything else, so a text with one is encoded as it is
-        self.odd = re.compile("|".join([_ODD, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())]))
-        self.kept_words, self.ids, self.by_hash, self.lowers = kept_words, {}, {}, lowers
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line = self.tokenizer.model.tokenize(_LINE)[0].id.to_bytes(4, "little")
+        self.kept_words, self.ids, self.tails = kept_words, {}, {"": b""}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Keep the ids of new words. Those of letters with one mark behind them are the ids of both, as both patterns cut there."""
-        marked = [w for w in words if w[-1] in ".,!?;:" and w[:-1].removeprefix(" ").isalpha()]
-        alone = {w[:-1] for w in marked} | {w[-1] for w in marked} | set(words).difference(marked)
-        rest, new = [], list(alone - self.ids.keys())
-        joined = "\n".join(new)
-        if _LATIN.search(joined) or any("\n" in w for w in new):
-            plain = [w for w in new if self.plain(w)]
-            rest = [w for w in new if not self.plain(w)]
-            new, joined = plain, "\n".join(plain)
-        tokenize = self.tokenizer.model.tokenize
-        for w, m in zip(new, _mapped(joined).split(_mapped("\n"))):
-            if w.isalpha() and (not self.lowers or w.islower()) or w[0] == " " and w[1:].isalpha() and not self.lowers:
-                self.ids[w] = _packed([t.id for t in tokenize(m)])
-            else:
-                rest.append(w)
+    def _stems(self, stems: list[str], before: str) -> list[bytes]:
+        """The ids of words of Latin letters, with ``before`` before each, which reach the model as one piece."""
+        tokenize, flat, at = self.tokenizer.model.tokenize, array("I"), [0]
+        for m in _mapped("\n".join(stems)).split(_LINE) if stems else []:
+            flat.extend(map(_ID, tokenize(before + m)))
+            at.append(len(flat))
+        raw, at = np.array(flat).astype("<u4").tobytes(), [4 * x for x in at]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def _learned(self, words: list[str], space: bool) -> dict[str, bytes]:
+        """The ids of new words, with a space before each or not.
+
+        Signs behind the letters are a piece of their own, as both patterns cut
+        there. Words of anything else go through the whole library.
+        """
+        stems = [w.rstrip(_SIGNS) for w in words]
+        each = {s for s in set(stems) if s.isalpha()}
+        letters = "".join(each)
+        if _latin(letters) is None or self.lowers and letters != letters.lower():
+            each = {s for s in each if _latin(s) is not None and not (self.lowers and s != s.lower())}
+        of = {}
+        if space or not self.spaced:  # a stem may be known as a word
+            get = self.ids.get
+            of = {s: ids for s, ids in zip(each, map(get, each)) if ids is not None}
+            each = each.difference(of)
+        ascii_ = [s for s in each if s.isascii()]
+        for order in (ascii_, list(each.difference(ascii_))):
+            of.update(zip(order, self._stems(order, _SPACE if space else "")))
+        signs = [w[len(s) :] for w, s in zip(words, stems)]
+        if new := [t for t in set(signs).difference(self.tails) if t]:
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
+                new = [t for t in set(signs) if t]
+            self.tails.update(zip(new, self._direct(new)))
+        tails, rest = self.tails, []
+        out = {w: of[s] + tails[t] for w, s, t in zip(words, stems, signs) if s in of}
+        if len(out) < len(words):
+            rest = [w for w in words if w not in out]
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
-            self.ids.update(zip(part, self._direct(part)))
-        for w in marked:
-            self.ids[w] = self.ids[w[:-1]] + self.ids[w[-1]]
+            out.update(zip(part, self._direct([" " + w for w in part] if space else part)))
+        return out
+
+    def _words(self, text: str, latin: bytes | None) -> list[str] | None:
+        """The words that ``text`` is looked up by; None where white space is not as simple as that."""
+        if any(s in text for s in self.special):
+            return None
+        drop = _OTHER if self.spaced else _PYTHON_ONLY
+        if latin is not None and len(latin.translate(None, drop)) < len(latin) or latin is None and (_OTHER_OF_ALL if self.spaced else _PYTHON_ONLY_OF_ALL).search(text):
+            return None
+        if not self.spaced:
+            return (text if latin is None or not self.lowers else text.lower()).split()
+        words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        return None if "" in words or "\n" in words else words
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        if self.split is None:
+        if not self.by_words:
             return self._direct(texts)
         out: list[bytes] = [b""] * len(texts)
         held, size = [], 0
         for i, t in enumerate(texts):
-            if self.odd.search(t):
+            if not t:
+                continue
+            if (words := self._words(t, _latin(t))) is None:
                 out[i] = self._direct([t])[0]
                 continue
-            raw = (t.lower() if self.lowers and not _LATIN.search(t) else t).encode()
-            held.append((i, raw))
-            size += len(raw)
+            held.append((i, words))
+            size += len(t)
             if size >= _TOGETHER:
                 self._together(held, out)
                 held, size = [], 0
@@ -134,33 +153,27 @@ class Encoder:
             self._together(held, out)
         return out
 
-    def _together(self, held: list[tuple[int, bytes]], out: list[bytes]) -> None:
-        whole = b"".join(raw for _, raw in held)
-        data, at = np.frombuffer(whole, np.uint8), np.cumsum([0, *(len(raw) for _, raw in held)])
-        starts, ends = self.split(data, at)
-        if not len(starts):
-            return
-        keys, place, inverse = np.unique(bytes_hash(data, starts, ends, fold=False), return_index=True, return_inverse=True)
-        names = keys.tolist()
-        new = [k for k, name in enumerate(names) if name not in self.by_hash]
-        if len(self.by_hash) + len(new) > self.kept_words:
-            self.ids.clear()
-            self.by_hash.clear()
-            new = list(range(len(names)))
-        if new:
-            words = [whole[a:b].decode() for a, b in zip(starts[place[new]].tolist(), ends[place[new]].tolist())]
-            self._learn([w for w in words if w not in self.ids])
-            for k, w in zip(new, words):
-                self.by_hash[names[k]] = self.ids[w]
-        each = [self.by_hash[name] for name in names]
-        n = np.array([len(x) // 4 for x in each])
-        flat, begin = np.frombuffer(b"".join(each), "<u4"), np.concatenate([[0], np.cumsum(n)[:-1]])
-        n, begin = n[inverse], begin[inverse]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], n)]
-        cut = upto[np.searchsorted(starts, at)]
-        for (i, _), a, b in zip(held, cut[:-1].tolist(), cut[1:].tolist()):
-            out[i] = ids[a:b].tobytes()
+    def _together(self, held: list[tuple[int, list[str]]], out: list[bytes]) -> None:
+        get = self.ids.get
+        found = [list(map(get, words)) for _, words in held]
+        open_ = [[k for k, x in enumerate(ids) if x is None] if None in ids else [] for ids in found]
+        new = {words[k] for (_, words), at in zip(held, open_) for k in at}
+        learned: dict[str, bytes] = {}
+        if new and self.spaced:
+            learned = self._learned([w for w in new if w[0] != "\n"], True)
+            learned |= {"\n" + w: self.line + ids for w, ids in self._learned([w[1:] for w in new if w[0] == "\n"], False).items()}
+        elif new:
+            learned = self._learned(list(new), False)
+        for (i, words), ids, at in zip(held, found, open_):
+            for k in at:
+                ids[k] = learned[words[k]]
+            whole = b"".join(ids)
+            out[i] = whole[len(self.line) :] if self.spaced else whole  # a line feed was put before the first word
+        if len(self.ids) + len(learned) > self.kept_words:
+            self.ids.clear()  # common words are soon known again
+        if learned and max(map(len, learned)) > LONGEST_KEPT:
+            learned = {w: x for w, x in learned.items() if len(w) <= LONGEST_KEPT}
+        self.ids.update(learned)
 
 
 def _packed(ids: list[int]) -> bytes:
