@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .textwords import mixed, shingle_sets
+from .textwords import exact_shingles, mixed, named_sets, shingle_sets
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
 REGISTERS, BAND, MANTISSA = 128, 4, 26
@@ -35,6 +35,8 @@ REGISTERS, BAND, MANTISSA = 128, 4, 26
 MARGIN = 4.5
 #: Members of a bucket that one task compares with its members outside the largest component.
 BLOCK = 512
+#: Members outside the largest component that one task compares with a block.
+ASKS = 4096
 #: Shingles of a set that are compared where all pairs of a bucket's components are; of larger sets a sample.
 PRINTS = 512
 FOREST_ROUNDS = 3
@@ -96,20 +98,20 @@ def margin(used: np.ndarray, n: np.ndarray, m: np.ndarray, bound: float = NUMERA
     return bound - deviations * np.sqrt(bound * (1 - bound) * left / np.maximum(used, 1)) - 0.01
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("registers", pa.binary())])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("registers", pa.binary()), ("th", pa.int64())])
 
 
 def _sketch(batches: common.Batches, width: int) -> common.Batches:
     for batch in batches:
         n, s1, s2, least = [], [], [], []
-        for s in shingle_sets(batch["text"], width):
+        for s, x, y in named_sets(batch["text"], width):
             n.append(len(s))
-            s1.append(int(np.sum(s, dtype=np.uint64).astype(np.int64)))
-            s2.append(int(np.sum(mixed(s ^ np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64).astype(np.int64)))
+            s1.append(x)
+            s2.append(y)
             least.append(minima(s))
         least = np.array(least, np.uint64).reshape(-1, REGISTERS)
         regs = compressed(least, least == _EMPTY)
-        yield common.batch_of(SKETCH, [batch["doc_id"], n, s1, s2, [r.tobytes() for r in regs]])
+        yield common.batch_of(SKETCH, [batch["doc_id"], n, s1, s2, [r.tobytes() for r in regs], batch["th"]])
 
 
 _MULT = np.random.default_rng(6).integers(0, 1 << 63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,12 +147,14 @@ def _plausible(batches: common.Batches, num: int, den: int) -> common.Batches:
 
 
 def _verified(batches: common.Batches, width: int, num: int, den: int) -> common.Batches:
+    """Whether pairs of texts reach the bound, by their words themselves."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
             linked = []
-            for x, y in zip(shingle_sets(part["a_text"], width), shingle_sets(part["b_text"], width)):
+            for a, b in zip(part["a_text"].to_pylist(), part["b_text"].to_pylist()):
+                x, y = exact_shingles(a, b, width)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(den * both >= num * (len(x) + len(y) - both))
             yield common.batch_of(schema, [part["a"], part["b"], linked])
@@ -264,21 +268,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, d
     distinct shingles of ``width`` words, or all its words as one if it has
     fewer. Texts of similarity num/den or more are linked; component_id is the
     smallest doc_id that links reach. Texts without words have an empty set, no
-    link and are their own component, as is a null text. Rows of one doc_id are
-    one document, whose text is taken from any of them, and each gets the
-    result; a row without doc_id belongs to the component of its equals
-    (null if it has none) and is not kept. Other columns are ignored.
-
-    A pair at the bound shares a band with a probability above 1 - 5e-8.
+    link and are their own component, as is a null text. Rows of one doc_id with
+    different texts each have their own set, and what their sets link to; for
+    links with others the document stands by the one whose text has the smallest
+    hash, so runs agree. A row without doc_id belongs to the component of its
+    equals (null if it has none) and is not kept. Other columns are ignored.
+
+    A pair at the bound shares a band with a probability above 1 - 5e-8. Equal
+    sets are known by 128 bits of sums of two independent hashes; all other
+    links are confirmed on the words themselves.
     """
     spark = docs.sparkSession
     root = common.shared_dir(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = common.materialize(rows.mapInArrow(lambda b: _sketch(b, width), "doc_id long, n_shingles long, set1 long, set2 long, registers binary"), root, "sketches")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    sketches = common.materialize(rows.mapInArrow(lambda b: _sketch(b, width), "doc_id long, n_shingles long, set1 long, set2 long, registers binary, th long"), root, "sketches")
     classes = sketches.where("n_shingles > 0").groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("node"))
     classes = common.materialize(classes, root, "classes")
     nodes = sketches.join(classes.select(F.col("node").alias("doc_id"), "set1", "set2", "n_shingles"), ["doc_id", "set1", "set2", "n_shingles"])
-    nodes = nodes.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "registers")
+    nodes = nodes.groupBy(F.col("doc_id").alias("node")).agg(F.min(F.struct("th", F.col("n_shingles").alias("n"), "registers")).alias("s")).select("node", "s.*")
     nodes = common.materialize(nodes, root, "nodes")
 
     bands = nodes.select("node", "registers").mapInArrow(_bands, "key long, band int, node long")
@@ -287,7 +294,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, d
     held = common.materialize(bands.join(shared, "key").select("key", "band", "node", "center", "members"), root, "held")
 
     wanted = held.select("node").distinct()
-    texts = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("node", "text").dropDuplicates(["node"])
+    wanted = wanted.join(nodes.select("node", "th"), "node")
+    texts = rows.join(wanted, (rows["doc_id"] == wanted["node"]) & (rows["th"] == wanted["th"])).select("node", "text").dropDuplicates(["node"])
     texts = common.materialize(texts, root, "texts")
     side = lambda df, p: df.select(F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "node"))
 
@@ -296,7 +304,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, d
         return common.materialize(met.mapInArrow(lambda x: _verified(x, width, num, den), "a long, b long, linked boolean"), root, name)
 
     stars = held.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    met = stars.join(side(nodes, "b"), "b").join(side(nodes, "a"), "a").select("a", "b", "a_n", "b_n", "a_registers", "b_registers")
+    met = stars.join(side(nodes.drop("th"), "b"), "b").join(side(nodes.drop("th"), "a"), "a").select("a", "b", "a_n", "b_n", "a_registers", "b_registers")
     pairs = common.materialize(met.mapInArrow(lambda x: _plausible(x, num, den), "a long, b long"), root, "stars")
     tried = checked(pairs, "tried-0")
     k, forests = 0, FOREST_ROUNDS
@@ -305,14 +313,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, d
         group = components(tried.where("linked").select("a", "b"), root, f"group-{k}")
         member = held.join(group, "node", "left").select("key", "band", "node", "members", F.coalesce("component", "node").alias("component"))
         sizes = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        apart = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
+        apart = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("n") - F.max("n")).alias("asks")).where("parts > 1").select("key", "main", F.ceil(F.col("asks") / ASKS).cast("int").alias("ask_blocks"))
         open_ = common.materialize(member.join(apart, "key").withColumn("ask", F.col("component") != F.col("main")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), root, f"open-{k}")
         if open_.isEmpty():
             break
-        has = open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("ask", F.lit(False))
-        asks = open_.where("ask").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # each block of a bucket's members meets each block of those that ask
+        at, of = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64(F.lit(1), "node"), F.col("ask_blocks"))
+        has = open_.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), F.col("ask_blocks") - 1), lambda j: (at * F.col("ask_blocks") + j).cast("long")))).withColumn("ask", F.lit(False))
+        asks = open_.where("ask").withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: (i * F.col("ask_blocks") + of).cast("long"))))
         cols = ["key", "block", "band", "node", "component", "ask"]
-        met, more = has.select(*cols).union(asks.select(*cols)).join(nodes, "node"), []
+        met, more = has.select(*cols).union(asks.select(*cols)).join(nodes.drop("th"), "node"), []
         if not forests:
             prints = texts.join(open_.select("node").distinct(), "node").select("node", "text").mapInArrow(lambda x: _prints(x, width), "node long, prints binary")
             met, more = met.join(common.materialize(prints, root, "prints"), "node"), ["prints"]

@@ -13,13 +13,17 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.default_rng(64)
 _ODD = lambda n: _RNG.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A random number for each byte; upper-case A-Z have those of lower case.
-_BYTE = _ODD(256)
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
-_BASE = _ODD(1)[0]
 _PLACE = _ODD(64)
 _SALT = _ODD(64)
+#: Two independent hashes of a word, each of polynomials modulo two primes below 2^31. (Modulo a power of two, words built by a rule collide at any base.)
+_PRIMES = ((2147483647, 2147483629), (2147483587, 2147483579))
+_BASES = tuple(tuple(int(x) for x in _RNG.integers(1 << 20, 1 << 30, 2)) for _ in _PRIMES)
+#: What a byte counts; upper-case A-Z as lower case where they are folded.
+_BYTE = np.arange(1, 257, dtype=np.uint64)
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _BYTE[97:123]
+#: So many products of a byte and a power add up to less than 2^64.
+_ADDENDS = 1 << 24
 
 #: Bytes of text that are hashed together.
 SLICE = 1 << 20
@@ -35,18 +39,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_UP: np.ndarray = np.ones(1, np.uint64)
-_DOWN: np.ndarray = np.ones(1, np.uint64)
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    global _UP, _DOWN
-    if len(_UP) <= n:
-        size = max(n + 1, SLICE + 1)
-        _UP = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _BASE)]), dtype=np.uint64)
-        _DOWN = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)))]), dtype=np.uint64)
-    return _UP, _DOWN
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """The powers from 0 to ``n`` of ``base`` modulo ``prime``."""
+    have = _POWERS.get((base, prime), np.ones(1, np.uint64))
+    while len(have) <= n:
+        have = np.concatenate([have, have * np.uint64(pow(base, len(have), prime)) % np.uint64(prime)])
+    _POWERS[base, prime] = have
+    return have
 
 
 def bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,20 +65,27 @@ def bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, at)
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, fold: bool = True, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Each word's hash, and each text's first word (one more at the end); ``fold``: A-Z as a-z."""
     starts, ends, first = bounds(data, at)
-    return bytes_hash(data, starts, ends, fold), first
+    return bytes_hash(data, starts, ends, fold, which), first
 
 
-def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """The hash of each range of ``data``."""
+def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, which: int = 0) -> np.ndarray:
+    """The hash of each range of ``data``; ``which`` is 0 or 1."""
+    out = np.zeros(len(starts), np.uint64)
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
-    sums = np.cumsum((_FOLDED if fold else _BYTE)[data] * up[: len(data)], dtype=np.uint64)
-    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
-    return mixed((sums[ends - 1] - before) * down[starts])
+        return out
+    values = (_FOLDED if fold else _BYTE)[data]
+    for base, prime in zip(_BASES[which], _PRIMES[which]):
+        p = np.uint64(prime)
+        terms = values * _powers(base, prime, len(data))[: len(data)]
+        if len(data) > _ADDENDS:
+            terms %= p
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        down = _powers(pow(base, -1, prime), prime, len(data))
+        out = out << np.uint64(31) | (sums[ends] - sums[starts]) % p * down[starts] % p
+    return mixed(out)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -95,11 +104,56 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> Iterator
             yield words[:0]
 
 
-def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+def distinct(s: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    s = np.sort(s)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s
+
+
+def shingle_sets(column: pa.Array, width: int, which: int = 0) -> Iterator[np.ndarray]:
     """Each text's distinct shingles, sorted."""
     data, at = common.utf8(column)
     for i, j in common.slices(at, SLICE):
-        words, first = word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
-        for s in shingle_hashes(words, first, width):
-            s = np.sort(s)
-            yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s
+        words, first = word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i], which=which)
+        yield from map(distinct, shingle_hashes(words, first, width))
+
+
+def named_sets(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Each text's distinct shingles, sorted, and two sums by which equal sets are known, of independent hashes of words."""
+    data, at = common.utf8(column)
+    for i, j in common.slices(at, SLICE):
+        part, starts = data[at[i] : at[j]], at[i : j + 1] - at[i]
+        each = (shingle_hashes(*word_hashes(part, starts, which=k), width) for k in (0, 1))
+        for s, other in zip(*each):
+            order = np.argsort(s)
+            s = s[order]
+            once = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+            s = s[once]
+            yield s, *(int(np.sum(x, dtype=np.uint64).astype(np.int64)) for x in (s, mixed(other[order[once]])))
+
+
+def exact_shingles(a: str, b: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of two texts as numbers that are equal only for equal words; of fewer words, all of them as one."""
+    words: dict[bytes, int] = {}
+    lists = [x.encode().lower().split() for x in (a, b)]  # bytes: A-Z and ASCII white space only
+    of = [np.array([words.setdefault(w, len(words) + 1) for w in ws], np.int64) for ws in lists]
+    short = [len(x) < width for x in of]
+    if any(short):
+        if all(short):
+            return tuple(np.array([0] if lists[0] == lists[1] else [k], np.int64)[: len(x)] for k, x in enumerate(of))
+        return tuple(np.array([-1 - k], np.int64)[: len(x)] if s else distinct(_runs(x, width, len(words) + 1)[0]) for k, (s, x) in enumerate(zip(short, of)))
+    n = len(of[0]) - width + 1
+    names = _runs(np.concatenate(of), width, len(words) + 1)[0]
+    return distinct(names[:n]), distinct(names[n + width - 1 :])
+
+
+def _runs(x: np.ndarray, width: int, top: int) -> tuple[np.ndarray, int]:
+    """A number for each run of ``width`` of the numbers ``x``, which are below ``top``."""
+    names, most = x, top
+    for k in range(1, width):
+        if most * top >= 1 << 62:
+            values, names = np.unique(names, return_inverse=True)
+            most = len(values)
+        names = names[:-1] * top + x[k:]
+        most *= top
+    return names, most

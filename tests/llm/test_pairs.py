@@ -5,6 +5,8 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import Row
 
 from tessera.llm import common, components, hyperminhash, linededup, textwords, topk, vecdedup
@@ -51,6 +53,27 @@ def test_shingle_sets_are_whole_texts_and_ascii_case_only():
     assert sets[0] == sets[1] == sets[8] and sets[5] != sets[6]
 
 
+def test_shingles_that_a_polynomial_hash_takes_for_equal():
+    import pyarrow as pa
+
+    odd = [bin(k).count("1") % 2 for k in range(1 << 12)]
+    texts = ["".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)]
+    for which in (0, 1):
+        x, y = textwords.shingle_sets(pa.array(texts), 4, which)
+        assert x[0] != y[0]
+    x, y = textwords.exact_shingles(*texts, 4)
+    assert len(x) == len(y) == 1 and x[0] != y[0]
+
+
+@given(st.lists(st.sampled_from(["a", "A", "b", "\x1c", "é", "É", "cc"]), max_size=14), st.lists(st.sampled_from(["a", "b", "é", "cc"]), max_size=14), st.integers(1, 5))
+@settings(deadline=None, max_examples=300)
+def test_exact_shingles(a, b, width):
+    a, b = " ".join(a), "\t".join(b)
+    x, y = textwords.exact_shingles(a, b, width)
+    p, q = shingles(a, width), shingles(b, width)
+    assert (len(x), len(y), len(np.intersect1d(x, y))) == (len(p), len(q), len(p & q))
+
+
 def test_registers_order_and_estimate():
     rng = np.random.default_rng(1)
     x = np.sort(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
@@ -67,6 +90,7 @@ def test_registers_order_and_estimate():
 @pytest.mark.parametrize("block", [hyperminhash.BLOCK, 2])
 def test_hyperminhash_against_brute_force(spark, hard_docs, monkeypatch, block):
     monkeypatch.setattr(hyperminhash, "BLOCK", block)
+    monkeypatch.setattr(hyperminhash, "ASKS", 2 * block)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -87,6 +111,13 @@ def test_hyperminhash_against_brute_force(spark, hard_docs, monkeypatch, block):
     assert len({want[d] for d in range(1000, 1060)}) < 60
 
 
+def test_rows_of_one_doc_id_with_different_texts(spark):
+    base, other = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, base + " z"), (2, base), (2, other), (3, other + " z"), (4, base), (None, other)]
+    runs = [sorted(map(repr, hyperminhash.near_duplicates(spark.createDataFrame(rows[::way], "doc_id long, text string").repartition(n), width=4).collect())) for way, n in ((1, 1), (-1, 3))]
+    assert runs[0] == runs[1] and len(runs[0]) == 6
+
+
 def test_near_duplicates_of_nothing(no_docs):
     assert hyperminhash.near_duplicates(no_docs).count() == 0
     assert linededup.dedup_lines(no_docs).count() == 0
