@@ -30,6 +30,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the later copies of runs of lines; one of which nothing is left goes, one that was empty stays."""
+    toxicity.release()  # the stage before has been written
     cut = linededup.dedup_lines(docs).where("deleted_lines = 0 or length(trim(text)) > 0")
     return _like_documents(cut.withColumn("n_chars", F.when(F.col("deleted_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")))
 
@@ -45,12 +46,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time that a document is drawn."""
+    """The mix: a row for each time that a document is drawn. Null and empty texts go with their block, repeated rows are drawn together."""
     return _like_documents(mixing.mix(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a drawn document in a window."""
+    """A row for each piece of a drawn document in a window; a null or empty text is one end id."""
     return packing.pack(docs, tokens.public_path("word_bpe_49k.json"))
 
 

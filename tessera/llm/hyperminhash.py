@@ -33,10 +33,8 @@ WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
 REGISTERS, BAND, MANTISSA = 128, 4, 26
 #: Standard deviations of the estimate (and 0.01 for chance collisions) that a pair may be below the bound and still be verified.
 MARGIN = 4.5
-#: Members of a bucket that one task compares with its members outside the largest component.
-BLOCK = 512
-#: Members outside the largest component that one task compares with a block.
-ASKS = 4096
+#: Members of a bucket, and of those outside its largest component, that one task compares: a square, as it ships least for its pairs.
+BLOCK, ASKS = 4096, 4096
 #: Shingles of a set that are compared where all pairs of a bucket's components are; of larger sets a sample.
 PRINTS = 512
 FOREST_ROUNDS = 3

@@ -1,15 +1,19 @@
 """Mixing of sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source's documents are dealt to blocks by a keyed hash. From the sizes of the
-blocks follow exact quotas: how often each block of a source is drawn, and up
-to which hash the last, partly drawn one goes. A binary tree over the output
-shards splits the quotas: at each node the left half of the shards gets a
-multivariate-hypergeometric share of every source's draws. A shard then takes
+A source's documents are dealt to blocks by a keyed hash, to more blocks the
+larger it is. From the sizes of the blocks follow exact quotas: how often each
+block of a source is drawn. What a whole block would overshoot is one more draw
+of its own, the rest: documents of the next block up to a hash, and up to two
+single ones that bring the source nearest to its target. A binary tree over the
+output shards splits the quotas: at each node the left half of the shards gets
+a multivariate-hypergeometric share of every source's draws. A shard then takes
 the next draws of each source's permuted blocks, disjoint from all other
 shards', and orders its documents by hash.
 
-Only sums of blocks reach the driver: ``blocks`` rows for each source, and each
-source has a target there anyway. Documents aren't shuffled to be chosen.
+Planning reads a table of hashes and sizes. A row for each source and for each
+block reaches the driver: sources have a target there anyway, and blocks number
+``BLOCKS`` in all and a few for each source. Documents aren't shuffled to be
+chosen, and only drawn ones go to their shard.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ from . import common
 
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT = 1.5, 2.0
-BLOCKS, SHARDS, SEED = 1024, 32, 9
-_ALL = (1 << 63) - 1
+#: Blocks of all sources, by their share of the words, and the fewest of a source.
+BLOCKS, FEWEST = 4096, 8
+SHARDS, SEED = 32, 9
+#: Rows of the plan's tables up to which they are broadcast (some 100 bytes each); larger ones are joined, where Spark splits hot sources.
+BROADCAST_ROWS = 200_000
 
-
-def with_size(docs: DataFrame, name: str = "size") -> DataFrame:
-    """``docs`` with the number of words of ``text``; null: 0."""
-    return docs.withColumn(name, F.coalesce(F.expr("regexp_count(cast(text as string), '[^\\\\x20\\\\x09-\\\\x0D]+')"), F.lit(0)).cast("long"))
+def words(text: F.Column) -> F.Column:
+    """The number of words between ASCII white space; null: 0."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> dict:
@@ -63,77 +69,130 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     return np.concatenate([split(left, half, rng), split(quotas - left, shards - half, rng)])
 
 
-def _hash(salt: int) -> F.Column:
-    return F.xxhash64(F.lit(salt), F.col("doc_id"))
-
-
-def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``sized`` (doc_id, source, size, any more columns) with source_size, target, draws and taken.
-
-    ``draws`` lists (draw, shard) for each time that the document is in the mix
-    and ``taken`` is its size that many times. The choice depends on doc_id,
-    source, the sizes and ``seed`` only: rows of one doc_id are drawn together,
-    null doc_ids of a source too; a source without words is taken once; an
-    empty table gives no row. Columns called as the added ones are replaced.
+def _keys(seed: int) -> list[F.Column]:
+    """Of a document: its source as a key that is never null, and two hashes, for its block and its place in it."""
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    return [source.alias("_k"), F.xxhash64(F.lit(seed), "doc_id").alias("_b"), F.xxhash64(F.lit(seed + 1), "doc_id").alias("_at")]
+
+
+def _near(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+class Plan:
+    """What is drawn: tables of sources (_k, source_size, target, and the rest draw's documents) and of blocks (their draws)."""
+
+    def __init__(self, units: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED):
+        """``units``: _k, _b, _at and size, the words of the rows that are drawn together; a table, as it is read several times."""
+        self.spark, self.shards = units.sparkSession, shards
+        sizes = {r["_k"]: r["size"] for r in units.groupBy("_k").agg(F.sum("size").alias("size")).collect()}  # a row a source
+        goal = {("s" + s if s is not None else "n"): g for s, g in targets({k[1:] if k[0] == "s" else None: n for k, n in sizes.items()}, weights, share, limit).items()}
+        names, whole = sorted(sizes), max(1, sum(sizes.values()))
+        self.sources = [(k, sizes[k], float(goal[k]), max(FEWEST, blocks * sizes[k] // whole)) for k in names]
+        placed = units.join(_near(self.spark.createDataFrame(self.sources, "_k string, source_size long, target double, _n long"), len(names)), "_k").withColumn("_block", F.pmod("_b", "_n"))
+        by: dict = {}
+        for r in placed.groupBy("_k", "_block").agg(F.sum("size").alias("size")).collect():  # a row a block
+            by.setdefault(r["_k"], {})[r["_block"]] = r["size"]
+        order, quota, left, next_ = {}, {}, {}, {}
+        for k in names:
+            rng = np.random.default_rng([seed, zlib.crc32(k.encode())])
+            order[k] = rng.permutation(sorted(by[k])).tolist()
+            times = int(goal[k] // sizes[k]) if sizes[k] else 1
+            left[k], n = goal[k] - times * sizes[k] if sizes[k] else 0.0, 0
+            while n < len(order[k]) and by[k][order[k][n]] <= left[k]:
+                left[k] -= by[k][order[k][n]]
+                n += 1
+            quota[k], next_[k] = times * len(order[k]) + n, order[k][n] if n < len(order[k]) else -1
+        # which of a source's blocks are drawn once more than the others
+        more = {(k, order[k][d % len(order[k])]) for k in names for d in range(quota[k] // len(order[k]) * len(order[k]), quota[k])}
+        rest = self._rest(placed, [(k, left[k], next_[k]) for k in names if left[k] >= 1], more)
+        quotas = np.array([quota[k] + (k in rest) for k in names], np.int64)
+        shares = split(quotas, shards, np.random.default_rng(seed)) if names else np.zeros((0, 0), np.int64)
+        drawn: dict = {(k, b): [] for k in names for b in by[k]}
+        self.rests = []
+        for i, k in enumerate(names):
+            shard = np.repeat(np.arange(len(shares)), shares[:, i]).tolist()
+            for d in range(quota[k]):
+                drawn[k, order[k][d % len(order[k])]].append((d, shard[d]))
+            if k in rest:
+                self.rests.append((k, next_[k], *rest[k], (quota[k], shard[quota[k]])))
+        self.blocks = [(k, b, v) for (k, b), v in drawn.items()]
+
+    def _rest(self, placed: DataFrame, open_: list, more: set) -> dict:
+        """Of each source what fills up its target: the hash up to which the next block is drawn (null: none of it), and single documents."""
+        if not open_:
+            return {}
+        found = {k: [None, []] for k, _, _ in open_}
+        left = {k: x for k, x, _ in open_}
+        want = self.spark.createDataFrame([(k, float(x), b) for k, x, b in open_], "_k string, _left double, _next long")
+        upto = F.sum("size").over(Window.partitionBy("_k").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0))
+        first = placed.join(_near(want, len(open_)), "_k").where("_block = _next").withColumn("upto", upto).where("upto <= _left")
+        for r in first.groupBy("_k").agg(F.max(F.struct("upto", "_at")).alias("m")).collect():  # a row a source
+            found[r["_k"]][0] = r["m"]["_at"]
+            left[r["_k"]] -= r["m"]["upto"]
+        taken = self.spark.createDataFrame(sorted(more), "_k string, _block long") if more else None
+        free = placed.join(_near(taken, len(more)), ["_k", "_block"], "left_anti") if more else placed
+        for _ in range(2):
+            rows = [(k, float(left[k]), b, found[k][0], found[k][1]) for k, _, b in open_ if left[k] >= 1]
+            if not rows:
+                break
+            want = self.spark.createDataFrame(rows, "_k string, _left double, _next long, _upto long, _gone array<long>")
+            one = free.join(_near(want, len(rows)), "_k").where("size > 0 and not array_contains(_gone, _at) and not (_block = _next and _upto is not null and _at <= _upto)")
+            one = one.withColumn("miss", F.abs(F.col("size") - F.col("_left"))).where("miss < _left")
+            for r in one.groupBy("_k").agg(F.min(F.struct("miss", "_at", "size")).alias("m")).collect():  # a row a source
+                found[r["_k"]][1].append(r["m"]["_at"])
+                left[r["_k"]] -= r["m"]["size"]
+        return {k: v for k, v in found.items() if v[0] is not None or v[1]}
+
+    def draws(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (_k, _b, _at and any others) with source_size, target and draws, a list of (draw, shard)."""
+        spark = self.spark
+        sources = spark.createDataFrame(self.sources, "_k string, source_size long, target double, _n long")
+        rests = spark.createDataFrame(self.rests, "_k string, _next long, _upto long, _single array<long>, _last struct<draw:int,shard:int>")
+        blocks = spark.createDataFrame(self.blocks, "_k string, _block long, _draws array<struct<draw:int,shard:int>>")
+        met = rows.join(_near(sources.join(rests, "_k", "left"), len(self.sources)), "_k").withColumn("_block", F.pmod("_b", "_n"))
+        met = met.join(_near(blocks, len(self.blocks)), ["_k", "_block"])
+        last = F.expr("_last is not null and (array_contains(_single, _at) or (_upto is not null and _block = _next and _at <= _upto))")
+        draws = F.when(F.coalesce(last, F.lit(False)), F.concat("_draws", F.array("_last"))).otherwise(F.col("_draws"))
+        return met.withColumn("draws", draws).drop("_block", "_draws", "_n", "_next", "_upto", "_single", "_last")
+
+
+def plan(docs: DataFrame, root: str, seed: int = SEED, **how) -> Plan:
+    """The plan for ``docs`` (doc_id, source, text); a table of hashes and sizes is written below ``root`` and removed."""
+    units = docs.select(*_keys(seed), words(F.col("text")).alias("size")).groupBy("_k", "_b", "_at").agg(F.sum("size").alias("size"))
+    units = common.materialize(units, root, "units")
+    made = Plan(units, seed=seed, **how)
+    common.discard(docs.sparkSession, root, "units")
+    return made
+
+
+def mix(docs: DataFrame, seed: int = SEED, made: Plan | None = None, root: str | None = None, **how) -> DataFrame:
+    """The mix: ``docs``' rows as often as drawn, each shard a partition, shuffled within.
+
+    Sources by code point, null last, have ``weights``, repeating, and share
+    ``share`` times all words; a target is at most ``limit`` times its source's
+    words. The choice depends on doc_id, source, the sizes and ``seed`` only:
+    rows of one doc_id and source are drawn together, as are rows without doc_id
+    of a source; a null or empty text has no words and goes where its block
+    goes; a source without words is taken once; an empty table gives no row.
+    Columns stay as they are, whatever their names.
     """
-    spark = sized.sparkSession
-    sized = sized.drop("source_size", "target", "draws", "taken", "_block", "_at")
-    rows = sized.withColumn("_block", F.pmod(_hash(seed), F.lit(blocks)).cast("int")).withColumn("_at", _hash(seed + 1))
-    sums = rows.groupBy("source", "_block").agg(F.sum("size").alias("words")).collect()  # blocks rows a source
-    by: dict = {}
-    for r in sums:
-        by.setdefault(r["source"], {})[r["_block"]] = r["words"]
-    sizes = {s: sum(b.values()) for s, b in by.items()}
-    goal = targets(sizes, weights, share, limit)
-    names = sorted(by, key=lambda s: (s is None, s or ""))
-    order, whole, rest = {}, {}, {}
-    for s in names:
-        rng = np.random.default_rng([seed, zlib.crc32((s or "").encode()), s is None])
-        order[s] = rng.permutation(sorted(by[s])).tolist()
-        times = int(goal[s] // sizes[s]) if sizes[s] else 1
-        left, n = goal[s] - times * sizes[s] if sizes[s] else 0.0, 0
-        while n < len(order[s]) and by[s][order[s][n]] <= left:
-            left -= by[s][order[s][n]]
-            n += 1
-        whole[s] = times * len(order[s]) + n
-        if n < len(order[s]) and left > 0:
-            rest[s] = (order[s][n], left)
-    upto = _last_hashes(rows, rest)
-    quotas = np.array([whole[s] + (s in upto) for s in names], np.int64)
-    shares = split(quotas, shards, np.random.default_rng(seed)) if names else np.zeros((0, 0), np.int64)
-    drawn: dict = {(s, b): [] for s in names for b in by[s]}
-    for k, s in enumerate(names):
-        shard = np.repeat(np.arange(len(shares)), shares[:, k])
-        for d in range(quotas[k]):
-            block = rest[s][0] if d == whole[s] else order[s][d % len(order[s])]
-            drawn[s, block].append((d, int(shard[d]), upto[s] if d == whole[s] else _ALL))
-    table = [(s, b, sizes[s], float(goal[s]), v) for (s, b), v in drawn.items()]
-    drawing = spark.createDataFrame(table, "_s string, _b int, source_size long, target double, _draws array<struct<draw:long,shard:int,upto:long>>")
-    met = rows.join(F.broadcast(drawing), F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    mine = met.withColumn("draws", F.expr("filter(_draws, d -> _at <= d.upto)"))
-    return mine.withColumn("taken", F.col("size") * F.size("draws")).drop("_s", "_b", "_block", "_at", "_draws")
-
-
-def _last_hashes(rows: DataFrame, rest: dict) -> dict:
-    """Of each source's partly drawn block, the hash up to which its documents come nearest to what is left."""
-    if not rest:
-        return {}
-    spark = rows.sparkSession
-    wanted = spark.createDataFrame([(s, b, float(left)) for s, (b, left) in rest.items()], "_s string, _b int, _left double")
-    last = rows.select("source", "_block", "_at", "size").join(F.broadcast(wanted), F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    upto = F.sum("size").over(Window.partitionBy("_s").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0))
-    near = last.withColumn("_miss", F.abs(upto - F.col("_left"))).groupBy("_s").agg(F.min(F.struct("_miss", "_at")).alias("best"), F.first("_left").alias("_left"))
-    return {r["_s"]: r["best"]["_at"] for r in near.collect() if r["best"]["_miss"] < r["_left"]}
-
-
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: ``docs``' rows as often as drawn, each shard in a partition of its own, shuffled within."""
-    drawn = plan(with_size(docs, "size"), **how).withColumn("_draw", F.explode("draws"))
-    placed = drawn.withColumn("_shard", F.col("_draw.shard")).withColumn("_order", F.xxhash64(F.lit(how.get("seed", SEED) + 2), F.col("doc_id"), F.col("_draw.draw")))
-    return placed.repartition(how.get("shards", SHARDS), "_shard").sortWithinPartitions("_shard", "_order").select(*docs.columns)
+    made = made or plan(docs, root or common.shared_dir(docs.sparkSession), seed, **how)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_keys(seed))
+    each = made.draws(rows).select("row", "_at", F.explode("draws").alias("d"))
+    placed = each.select("row", F.col("d.shard").alias("shard"), F.xxhash64(F.lit(seed + 2), "_at", "d.draw").alias("order"))
+    return placed.repartitionById(made.shards, F.col("shard")).sortWithinPartitions("order").select("row.*")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    sized = common.materialize(with_size(docs).select("doc_id", "source", "size"), common.shared_dir(spark), "sized")
-    return plan(sized).select("doc_id", "size", "source_size", "target", "taken")
+    """What each document adds to the mix, counted in the written mix. Nulls and repeats: see ``mix``; each of a doc_id's rows has its own count."""
+    docs, root = common.table(spark, sf_dir, "documents"), common.shared_dir(spark)
+    sized = docs.select("doc_id", "source", "text", words(F.col("text")).alias("size"))
+    sized = common.materialize(sized.select("doc_id", "source", "size", F.monotonically_increasing_id().alias("row")), root, "sized")
+    units = sized.select(*_keys(SEED), "size").groupBy("_k", "_b", "_at").agg(F.sum("size").alias("size"))
+    made = Plan(common.materialize(units, root, "units"))
+    mixed = common.materialize(mix(sized, made=made), root, "mix")
+    taken = mixed.groupBy("row").agg(F.sum("size").alias("taken"))
+    sources = spark.createDataFrame(made.sources, "_k string, source_size long, target double, _n long").drop("_n")
+    out = sized.withColumn("_k", _keys(SEED)[0]).join(_near(sources, len(made.sources)), "_k").join(taken, "row", "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -1,15 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models, of toxic and of ordinary labelled documents, give each word's
-probability. A word is counted by the documents that hold it, less an absolute
-discount; the mass so freed backs off to the word's first bytes, counted by the
-distinct words that begin so, and from there to a distribution that both
-classes share, as they share how often a word is among those of its beginning.
-So a rare expression is as likely in either class, and a new one of a toxic
-family is not. A text's evidence is the difference of its two log-likelihoods a
-word, for the whole text and for its most toxic stretch of words; a logistic
-curve, fitted on labelled documents that the models have not counted, makes the
-score of it.
+probability. The history is within the word: a word is predicted from its first
+7 bytes, these from its first 5, these from its first 4, and these from a
+distribution that both classes share. The highest order counts the documents that hold the word; a
+lower one counts the distinct longer forms that begin so, as Kneser-Ney's
+continuation counts do. From each count a discount is taken, which is estimated
+from how many counts are 1, 2, 3 and 4 (modified Kneser-Ney: one discount for
+counts of 1, of 2 and of more), and the mass so freed backs off to the next
+order. How often a form is among those of its beginning is counted over both
+classes together, so a rare expression is as likely in either, and a new one of
+a toxic family is not. Word pairs were tried as a higher order and left out:
+they lowered recall.
+
+A text's evidence are two differences of log-likelihoods, toxic less ordinary,
+normalised by length: the mean over all its words, and what single words have
+above ``EXCESS``, summed and divided by the square root of the number of words
+(what chance adds to such a sum grows as that root). A logistic curve, fitted
+on labelled documents that the models have not counted, makes the score of it.
 
 The counts come from all labelled documents of their folds and are kept in
 tables of fixed size, so what is broadcast has a proven bound however large the
@@ -30,99 +38,121 @@ from .textwords import SLICE, bytes_hash
 #: Labelled documents of each class that the curve is fitted on at most.
 CURVE_SAMPLE = 5_000
 FOLDS, CURVE_FOLD = 5, 1
-#: Slots of the tables of words and of their beginnings, as powers of two.
-WORD_BITS, HEAD_BITS = 22, 20
-#: Bytes of a word that are its beginning.
-PREFIX = 4
-#: What is taken off the counts 0, 1, 2, ... of words (the last: off larger ones too), and off those of beginnings.
-DISCOUNTS = np.array([0, 1, 2, 3, 4, 5], np.float32)
-HEAD_DISCOUNT = np.float32(0.75)
-#: Words of a stretch.
-STRETCH = 4
+#: The orders, highest first: bytes of a word that are looked at, and the slots of their tables as powers of two.
+ORDERS = ((1 << 40, 22), (7, 21), (5, 20), (4, 20))
+#: A word's difference above this is evidence by itself.
+EXCESS = 2.5
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of words (runs of letters and digits, A-Z as a-z) and of their beginnings; each text's first word (one more at the end)."""
+def words_of(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of words (runs of letters and digits, A-Z as a-z) the slots in each order; each text's first word (one more at the end)."""
     solid = _LETTER[data]
     edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
     bounds = np.concatenate([[0], np.union1d(edge, at[(at > 0) & (at < len(data))]), [len(data)]]) if len(data) else np.zeros(1, np.int64)
     on = solid[bounds[:-1]] if len(data) else np.zeros(0, bool)
     starts, ends = bounds[:-1][on], bounds[1:][on]
-    word = _slot(bytes_hash(data, starts, ends), WORD_BITS)
-    return word, _slot(bytes_hash(data, starts, np.minimum(ends, starts + PREFIX)), HEAD_BITS), np.searchsorted(starts, at)
+    return [_slot(bytes_hash(data, starts, np.minimum(ends, starts + most)), bits) for most, bits in ORDERS], np.searchsorted(starts, at)
 
 
 def _slot(x: np.ndarray, bits: int) -> np.ndarray:
     return (x >> np.uint64(64 - bits)).astype(np.int32)
 
 
-COUNTED = pa.schema([("toxic", pa.int32()), ("word", pa.int32()), ("head", pa.int32()), ("n", pa.int64())])
+#: The columns of slots, highest order first.
+SLOTS = [f"slot{k}" for k in range(len(ORDERS))]
+COUNTED = pa.schema([("toxic", pa.int32()), *((c, pa.int32()) for c in SLOTS), ("n", pa.int64())])
+COUNTED_DDL = f"toxic int, {', '.join(f'{c} int' for c in SLOTS)}, n long"
 
 
 def _counted(batches: common.Batches) -> common.Batches:
     """In how many of these documents each word is."""
+    bits = ORDERS[0][1]
     for batch in batches:
         data, at = common.utf8(batch["text"])
         toxic = batch["toxic"].to_numpy()
         for i, j in common.slices(at, SLICE):
-            word, head, first = words_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            slots, first = words_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
             doc = np.repeat(np.arange(i, j), np.diff(first))
-            _, once = np.unique(doc << WORD_BITS | word, return_index=True)
-            key, place, n = np.unique(toxic[doc[once]].astype(np.int64) << WORD_BITS | word[once], return_index=True, return_counts=True)
-            yield common.batch_of(COUNTED, [(key >> WORD_BITS).astype(np.int32), word[once][place], head[once][place], n])
+            _, once = np.unique(doc << bits | slots[0], return_index=True)
+            key, place, n = np.unique(toxic[doc[once]].astype(np.int64) << bits | slots[0][once], return_index=True, return_counts=True)
+            yield common.batch_of(COUNTED, [(key >> bits).astype(np.int32), *(s[once][place] for s in slots), n])
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What is taken off counts of 0, 1, 2 and 3 or more: modified Kneser-Ney's estimates, kept within (0, count)."""
+    n = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+    return np.array([0.0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1 * k), 0.95 * k) if n[k] else 0.75 * k for k in (1, 2, 3)], np.float32)
+
+
+class Order:
+    """One order's tables: of each slot and class the discounted share, and over both classes how much it was counted."""
+
+    def __init__(self, slot: np.ndarray, klass: np.ndarray, n: np.ndarray, bits: int):
+        counts = np.bincount(slot * 2 + klass, n, 2 << bits).astype(np.float32).reshape(-1, 2)
+        self.freed = np.ones(2)
+        self.both = counts.sum(1) + np.float32(0.5)  # a form that was never seen has half a count
+        for c in (0, 1):
+            of = counts[:, c]
+            seen = of[of > 0]
+            if total := float(seen.sum(dtype=np.float64)):
+                off = discounts(seen)
+                self.freed[c] = float(off[np.minimum(seen, 3).astype(np.int64)].sum(dtype=np.float64)) / total
+                counts[:, c] = np.maximum(of - off[np.minimum(of, 3).astype(np.int64)], 0) / total
+        self.share = counts
+
+
+def _of_parent(child: np.ndarray, parent: np.ndarray, both: np.ndarray, bits: int) -> np.ndarray:
+    """Of each parent slot what its children were counted, one unseen child included."""
+    each, first = np.unique(child, return_index=True)
+    return (np.bincount(parent[first], both[each], 1 << bits) + 0.5).astype(np.float32)
 
 
 class Model:
-    """Of each word slot and class the discounted share of the word, and of each head slot and class what its words back off to."""
+    """The tables of both classes' models, and the curve."""
 
     def __init__(self, rows: dict[str, np.ndarray]):
-        """rows: toxic, word, head (slots) and n, the number of documents of that class with the word."""
-        self.rows = {k: rows[k].astype(t) for k, t in (("toxic", np.int8), ("word", np.int32), ("head", np.int32), ("n", np.int64))}
-        klass, word, head, n = (self.rows[k].astype(np.int64) for k in ("toxic", "word", "head", "n"))
-        table = lambda slot, bits, weight=None: np.bincount(slot * 2 + klass, weight, 2 << bits).astype(np.float32).reshape(-1, 2)
-        words, heads = table(word, WORD_BITS, n), table(head, HEAD_BITS)
-        # the lowest order: beginnings by the distinct words that have them, over a distribution that the classes share
-        both, types = heads.sum(1, keepdims=True), np.maximum(heads.sum(0, dtype=np.float64), 1)
-        shared = (both + 0.5) / (both.sum() + 0.5 * len(both))
-        off = np.minimum(heads, HEAD_DISCOUNT)
-        begin = np.where(heads.sum(0) > 0, (heads - off) / types + off.sum(0, dtype=np.float64) / types * shared, shared)
-        # how often a word is among those of its beginning is the same for both classes
-        of_head = np.bincount(head, n, 1 << HEAD_BITS) + 0.5 * (both[:, 0] + 1)
-        total = np.maximum(words.sum(0, dtype=np.float64), 1)  # 4-byte sums lose rare words beside large totals
-        off = np.minimum(words, DISCOUNTS[np.minimum(words, len(DISCOUNTS) - 1).astype(np.int64)])
-        freed = np.where(words.sum(0) > 0, off.sum(0, dtype=np.float64) / total, 1)
-        self.words = ((words - off) / total).astype(np.float32)
-        self.share = (words.sum(1) + 0.5).astype(np.float32)
-        self.heads = (freed * begin / of_head[:, None]).astype(np.float32)
+        """rows: toxic, the slots of each order, and n, the number of documents of that class with the word."""
+        self.rows = {"toxic": rows["toxic"].astype(np.int8), "n": rows["n"].astype(np.int64)} | {c: rows[c].astype(np.int32) for c in SLOTS}
+        klass, n, slots = self.rows["toxic"].astype(np.int64), self.rows["n"], [self.rows[c].astype(np.int64) for c in SLOTS]
+        self.orders, self.of = [], []
+        for k, (_, bits) in enumerate(ORDERS):
+            self.orders.append(Order(slots[k], klass, n, bits))
+            if k + 1 < len(ORDERS):
+                self.of.append(_of_parent(slots[k], slots[k + 1], self.orders[k].both, ORDERS[k + 1][1]))
+                _, once = np.unique(slots[k] * 2 + klass, return_index=True)  # each form of a class counts once for its beginning
+                klass, n, slots = klass[once], np.ones(len(once)), [s[once] for s in slots]
+        last = self.orders[-1]
+        shared = last.both / last.both.sum(dtype=np.float64)
+        self.low = (last.share + last.freed * shared[:, None]).astype(np.float32)
         self.curve = np.zeros(3)
 
     def __reduce__(self):
         return _rebuilt, (self.rows, self.curve)  # the counts are a fraction of the tables
 
-    def differences(self, word: np.ndarray, head: np.ndarray) -> np.ndarray:
-        """Of each word, its log-probability in the toxic class less that in the ordinary one."""
-        p = np.log(self.words[word] + self.share[word][:, None] * self.heads[head])
-        return p[:, 1] - p[:, 0]
+    def probabilities(self, slots: list[np.ndarray]) -> np.ndarray:
+        """Of each word (rows) its probability by each class (columns)."""
+        p = self.low[slots[-1]]
+        for k in range(len(ORDERS) - 2, -1, -1):
+            order, slot = self.orders[k], slots[k]
+            p = order.share[slot] + (order.both[slot] / self.of[k][slots[k + 1]])[:, None] * order.freed * p
+        return p
 
     def evidence(self, column: pa.Array) -> np.ndarray:
-        """For each text the mean difference of all its words, and that of its stretch with the highest."""
+        """For each text the mean difference of all its words, and what single words have above EXCESS."""
         data, at = common.utf8(column)
         out = []
         for i, j in common.slices(at, SLICE):
-            word, head, first = words_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            sums = np.concatenate([[0.0], np.cumsum(self.differences(word, head), dtype=np.float64)])
-            n = np.diff(first)
-            mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1)
-            most = mean.copy()
-            if len(word) >= STRETCH:
-                runs = (sums[STRETCH:] - sums[:-STRETCH]) / STRETCH
-                for k in np.flatnonzero(n > STRETCH).tolist():
-                    most[k] = runs[first[k] : first[k + 1] - STRETCH + 1].max()
-            out.append(np.stack([mean, most], 1))
-        return np.concatenate(out) if out else np.zeros((0, 2))
+            slots, first = words_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            p = np.log(self.probabilities(slots))
+            n, d = np.diff(first), p[:, 1] - p[:, 0]
+            for each, by in ((d, n), (np.maximum(d - EXCESS, 0), np.sqrt(n))):
+                sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
+                out.append((sums[first[1:]] - sums[first[:-1]]) / np.maximum(by, 1))
+        return np.stack([np.concatenate(out[k::2]) for k in (0, 1)], 1) if out else np.zeros((0, 2))
 
     def scores(self, column: pa.Array) -> np.ndarray:
         x = self.evidence(column)
@@ -131,7 +161,7 @@ class Model:
 
 def _rebuilt(rows: dict[str, np.ndarray], curve: np.ndarray) -> Model:
     model = Model(rows)
-    model.curve = curve
+    model.curve, model.rows = curve, {}  # a worker needs the tables only
     return model
 
 
@@ -183,8 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, curve_sample: int = CURVE_SAMPLE) ->
     curve = common.materialize(sampled(known.where(f"fold = {CURVE_FOLD}"), curve_sample).coalesce(1), root, "curve")  # at most 2 * curve_sample rows of numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     counted = texts.where(~fold("doc_id").isin(0, CURVE_FOLD)).join(known.where(f"fold <> {CURVE_FOLD}").select("doc_id", "toxic").hint("merge"), "doc_id")
-    words = counted.select("text", "toxic").mapInArrow(_counted, "toxic int, word int, head int, n long")
-    rows = words.groupBy("toxic", "word").agg(F.min("head").alias("head"), F.sum("n").alias("n")).toArrow()  # at most a row for each slot and class
+    words = counted.select("text", "toxic").mapInArrow(_counted, COUNTED_DDL)
+    one = F.min(F.struct(*SLOTS[1:])).alias("s")  # where words share a slot, the beginnings of one of them
+    rows = words.groupBy("toxic", SLOTS[0]).agg(one, F.sum("n").alias("n")).select("toxic", SLOTS[0], "s.*", "n").toArrow()  # at most a row for each slot and class
     model = Model({k: rows[k].to_numpy() for k in rows.column_names})
     held = _evidence(texts.join(F.broadcast(curve), "doc_id").select("text", "toxic"), model)
     x = np.array([e for _, e in held], float).reshape(-1, 2)
@@ -213,29 +244,46 @@ def fold(column: str) -> F.Column:
     return (F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS).cast("int")
 
 
+#: Rows of a batch that goes back to Spark; texts are long.
+_BACK = 1024
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with toxicity_score, from 0 to 1.
 
     Only ``text`` counts. A null text is as an empty one, whose evidence is
     none: it gets the curve's value at zero. Other columns stay; one called
     toxicity_score is replaced. Repeated rows get equal scores; an empty table
-    gives no row.
+    gives no row. ``release`` gives the model's memory back when the result has
+    been written.
     """
     given = docs.sparkSession.sparkContext.broadcast(model)
+    _GIVEN.append(given)
     kept = [c for c in docs.columns if c != "toxicity_score"]
     at = kept.index("text")
 
     def run(batches: common.Batches) -> common.Batches:
         for batch in batches:
-            text = batch.column(at).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(given.value.scores(text), pa.float64())], names=[*batch.schema.names, "toxicity_score"])
+            for i in range(0, batch.num_rows, _BACK):
+                part = batch.slice(i, _BACK)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(given.value.scores(part.column(at).cast(pa.string())), pa.float64())], names=[*part.schema.names, "toxicity_score"])
 
     schema = docs.select(*kept).schema.add("toxicity_score", "double")
     return docs.select(*kept).mapInArrow(run, schema)
 
 
+_GIVEN: list = []
+
+
+def release() -> None:
+    """Drop the models that ``score`` has sent to the executors; results that haven't been computed yet can't be any more."""
+    while _GIVEN:
+        _GIVEN.pop().destroy()
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; nulls, empty texts and repeats as in ``score``, a row without doc_id isn't held out."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, common.table(spark, sf_dir, "labels"))
     scored = score(docs, model)
-    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"))

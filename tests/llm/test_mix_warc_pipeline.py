@@ -26,24 +26,55 @@ def test_splitting_tree_keeps_every_quota():
     assert leaves.shape == (13, 4) and (leaves.sum(0) == quotas).all() and (leaves >= 0).all() and np.ptp(leaves.sum(1)) <= 1
 
 
+def recount(docs, mixed):
+    """Words by source of the documents and of what was drawn of them, from the texts themselves."""
+    size = lambda t: len(WORDS.findall(t or ""))
+    out = []
+    for df in (docs, mixed):
+        n = collections.Counter()
+        for r in df.select("source", "text").collect():
+            n[r.source] += size(r.text)
+        out.append(n)
+    return out
+
+
 def test_mixing_hard_documents(spark, hard_docs, no_docs):
-    rows = mixing.plan(mixing.with_size(hard_docs)).collect()
-    sizes = collections.Counter()
-    for r in rows:
-        assert r.size == len(WORDS.findall(r.text or "")) and 0 <= r.taken <= 2 * r.size and r.taken == r.size * len(r.draws)
-        sizes[r.source] += r.size
+    odd = hard_docs.selectExpr("*", "7 as target", "8 as size", "9 as _k", "'x' as draws", "1 as _at", "2 as _s", "3 as row")
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and mixed.where("target = 7 and size = 8 and _k = 9 and draws = 'x'").count() == mixed.count()
+    sizes, taken = recount(odd, mixed)
     goal = mixing.targets(dict(sizes))
-    assert len(rows) == hard_docs.count() and all(r.source_size == sizes[r.source] and r.target == pytest.approx(goal[r.source]) for r in rows)
-    largest = max(r.size for r in rows)
+    largest = max(len(WORDS.findall(r.text or "")) for r in odd.collect())
     for s in sizes:
-        assert abs(sum(r.taken for r in rows if r.source == s) - goal[s]) <= largest
-    again = mixing.plan(mixing.with_size(hard_docs.repartition(5))).collect()
-    assert collections.Counter((r.doc_id, r.taken) for r in rows) == collections.Counter((r.doc_id, r.taken) for r in again)
-    mixed = mixing.mix(hard_docs)
-    assert mixed.columns == hard_docs.columns and mixed.count() == sum(len(r.draws) for r in rows)
+        assert abs(taken[s] - goal[s]) <= largest / 2
+    times = collections.Counter((r.doc_id, r.source, r.text) for r in odd.collect())
+    drawn = collections.Counter((r.doc_id, r.source, r.text) for r in mixed.collect())
+    assert all(n <= 2 * times[k] for k, n in drawn.items())
+    assert drawn == collections.Counter((r.doc_id, r.source, r.text) for r in mixing.mix(odd.repartition(5)).collect())
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_mixing_is_near_its_targets_and_a_shard_is_a_partition(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"s{i % 3}", " ".join(["w"] * int(rng.integers(1, 60) if i % 50 else 900))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.op9_mix_sources(spark, str(tmp_path)).collect()
+    sizes, taken = collections.Counter(), collections.Counter()
+    for r in out:
+        assert r.size == len(rows[r.doc_id][2].split()) and r.taken in (0, r.size, 2 * r.size)
+        sizes[rows[r.doc_id][1]] += r.size
+        taken[rows[r.doc_id][1]] += r.taken
+    goal = mixing.targets(dict(sizes))
+    assert all(abs(taken[s] - goal[s]) <= 3 for s in sizes) and {r.target for r in out} == set(goal.values())
+    mixed = mixing.mix(docs, shards=6)
+    assert recount(docs, mixed)[1] == taken  # the tree deals draws; it doesn't change them
+    per = [sum(len(r.text.split()) for r in p) for p in mixed.rdd.glom().collect()]
+    assert len(per) == 6 and min(per) > 0.5 * max(per)  # few documents, some of them long
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert recount(docs, mixing.mix(docs, shards=6))[1] == taken
+
+
 def pages(spark):
     html = ["<p>" + "é" * 60, None, "", "short", "short", "x" * 200000]
     rows = [(i, f"http://a/{i} %b", html[i % 6]) for i in range(40)] + [(3, None, "<p>" + "é" * 60), (None, "u", "y" * 100), (7, "u", "y" * 100)]
