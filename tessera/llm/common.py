@@ -12,7 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows that Spark hands to Python at once; a longer row goes alone.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the batches of the session by bytes, unless it has a smaller bound: 10,000 documents can be any size."""
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,12 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is unset (tests, a single machine), a temporary folder
     takes its place.
     """
+    bounded(spark)
     top = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark)
     return f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex[:16]}"
 
 
 def _own_dir(spark: SparkSession) -> str:
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"file://{tempfile.gettempdir()}/tessera-checkpoints"
 

@@ -91,17 +91,24 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 class Order:
     """One order's tables: of each slot and class the discounted share, and over both classes how much it was counted."""
 
-    def __init__(self, slot: np.ndarray, klass: np.ndarray, n: np.ndarray, bits: int):
-        counts = np.bincount(slot * 2 + klass, n, 2 << bits).astype(np.float32).reshape(-1, 2)
+    def __init__(self, slot: np.ndarray, klass: np.ndarray, n: np.ndarray | None, bits: int):
+        """``n``: the counts of distinct slots; without, each row counts once."""
+        counts = np.zeros(2 << bits, np.float32)
+        if n is None:
+            slots, n = np.unique(slot * 2 + klass, return_counts=True)
+            counts[slots] = n
+        else:
+            counts[slot * 2 + klass] = n
+        counts = counts.reshape(-1, 2)
         self.freed = np.ones(2)
         self.both = counts.sum(1) + np.float32(0.5)  # a form that was never seen has half a count
         for c in (0, 1):
-            of = counts[:, c]
-            seen = of[of > 0]
+            at = np.flatnonzero(counts[:, c])
+            seen = counts[at, c]
             if total := float(seen.sum(dtype=np.float64)):
-                off = discounts(seen)
-                self.freed[c] = float(off[np.minimum(seen, 3).astype(np.int64)].sum(dtype=np.float64)) / total
-                counts[:, c] = np.maximum(of - off[np.minimum(of, 3).astype(np.int64)], 0) / total
+                off = discounts(seen)[np.minimum(seen, 3).astype(np.int64)]
+                self.freed[c] = float(off.sum(dtype=np.float64)) / total
+                counts[at, c] = (seen - off) / total
         self.share = counts
 
 
@@ -116,15 +123,15 @@ class Model:
 
     def __init__(self, rows: dict[str, np.ndarray]):
         """rows: toxic, the slots of each order, and n, the number of documents of that class with the word."""
-        self.rows = {"toxic": rows["toxic"].astype(np.int8), "n": rows["n"].astype(np.int64)} | {c: rows[c].astype(np.int32) for c in SLOTS}
-        klass, n, slots = self.rows["toxic"].astype(np.int64), self.rows["n"], [self.rows[c].astype(np.int64) for c in SLOTS]
+        self.rows = rows
+        klass, n, slots = rows["toxic"].astype(np.int64), rows["n"], [rows[c].astype(np.int64) for c in SLOTS]
         self.orders, self.of = [], []
         for k, (_, bits) in enumerate(ORDERS):
             self.orders.append(Order(slots[k], klass, n, bits))
             if k + 1 < len(ORDERS):
                 self.of.append(_of_parent(slots[k], slots[k + 1], self.orders[k].both, ORDERS[k + 1][1]))
                 _, once = np.unique(slots[k] * 2 + klass, return_index=True)  # each form of a class counts once for its beginning
-                klass, n, slots = klass[once], np.ones(len(once)), [s[once] for s in slots]
+                klass, n, slots = klass[once], None, [s[once] for s in slots]
         last = self.orders[-1]
         shared = last.both / last.both.sum(dtype=np.float64)
         self.low = (last.share + last.freed * shared[:, None]).astype(np.float32)
@@ -214,19 +221,36 @@ def fit(docs: DataFrame, labels: DataFrame, curve_sample: int = CURVE_SAMPLE) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     counted = texts.where(~fold("doc_id").isin(0, CURVE_FOLD)).join(known.where(f"fold <> {CURVE_FOLD}").select("doc_id", "toxic").hint("merge"), "doc_id")
     words = counted.select("text", "toxic").mapInArrow(_counted, COUNTED_DDL)
-    one = F.min(F.struct(*SLOTS[1:])).alias("s")  # where words share a slot, the beginnings of one of them
-    rows = words.groupBy("toxic", SLOTS[0]).agg(one, F.sum("n").alias("n")).select("toxic", SLOTS[0], "s.*", "n").toArrow()  # at most a row for each slot and class
-    model = Model({k: rows[k].to_numpy() for k in rows.column_names})
+    # where words share a slot, the beginnings of one of them; a row in two numbers, as all rows go to the driver
+    low = [F.col(c).cast("long") for c in SLOTS[1:]]
+    sums = words.groupBy("toxic", SLOTS[0]).agg(F.min(_packed(low)).alias("low"), F.sum("n").alias("n"))
+    rows = sums.select((F.col(SLOTS[0]) * 2 + F.col("toxic")).alias("key"), "low", F.col("n").cast("int").alias("n")).toArrow()  # at most a row for each slot and class
+    model = Model(_unpacked(*(rows[c].to_numpy() for c in ("key", "low", "n"))))
     held = _evidence(texts.join(F.broadcast(curve), "doc_id").select("text", "toxic"), model)
     x = np.array([e for _, e in held], float).reshape(-1, 2)
     of_class = {r["toxic"]: r["count"] for r in known.where(f"fold = {CURVE_FOLD}").groupBy("toxic").count().collect()}
     weight = np.array([of_class[y] / min(of_class[y], curve_sample) for y, _ in held], float)
-    if rows.num_rows and np.ptp(rows["toxic"].to_numpy()):
+    if rows.num_rows and np.ptp(model.rows["toxic"]):
         model.curve = logistic(x, np.array([y for y, _ in held], float), weight=weight)
     common.discard(docs.sparkSession, root, "labels", "curve")
     return model
 
 
+def _packed(slots: list[F.Column]) -> F.Column:
+    """The slots of the lower orders in one number."""
+    out = slots[0]
+    for c, (_, bits) in zip(slots[1:], ORDERS[2:]):
+        out = F.shiftleft(out, bits) + c
+    return out
+
+
+def _unpacked(key: np.ndarray, low: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    out = {"toxic": (key & 1).astype(np.int8), SLOTS[0]: (key >> 1).astype(np.int32), "n": n.astype(np.int32)}
+    for c, (_, bits) in zip(SLOTS[:0:-1], ORDERS[:0:-1]):
+        out[c], low = (low & ((1 << bits) - 1)).astype(np.int32), low >> bits
+    return out
+
+
 def _evidence(texts: DataFrame, model: Model) -> list[tuple[int, list[float]]]:
     """Label and evidence of each of the curve's documents."""
     given = texts.sparkSession.sparkContext.broadcast(model)
