@@ -26,7 +26,7 @@ _FOLDED[65:91] = _BYTE[97:123]
 _ADDENDS = 1 << 24
 
 #: Bytes of text that are hashed together.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -71,21 +71,30 @@ def word_hashes(data: np.ndarray, at: np.ndarray, fold: bool = True, which: int
     return bytes_hash(data, starts, ends, fold, which), first
 
 
+class Hasher:
+    """Hashes of ranges of ``data``; ``which`` is 0 or 1. Ranges of any kind share the sums over the data."""
+
+    def __init__(self, data: np.ndarray, fold: bool = True, which: int = 0):
+        values, self.primes = (_FOLDED if fold else _BYTE)[data], _PRIMES[which]
+        self.sums, self.down = [], []
+        for base, prime in zip(_BASES[which], self.primes):
+            terms = values * _powers(base, prime, len(data))[: len(data)]
+            if len(data) > _ADDENDS:
+                terms %= np.uint64(prime)
+            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)]))
+            self.down.append(_powers(pow(base, -1, prime), prime, len(data)))
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(starts), np.uint64)
+        for sums, down, prime in zip(self.sums, self.down, self.primes):
+            p = np.uint64(prime)
+            out = out << np.uint64(31) | (sums[ends] - sums[starts]) % p * down[starts] % p
+        return mixed(out)
+
+
 def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, which: int = 0) -> np.ndarray:
-    """The hash of each range of ``data``; ``which`` is 0 or 1."""
-    out = np.zeros(len(starts), np.uint64)
-    if not len(starts):
-        return out
-    values = (_FOLDED if fold else _BYTE)[data]
-    for base, prime in zip(_BASES[which], _PRIMES[which]):
-        p = np.uint64(prime)
-        terms = values * _powers(base, prime, len(data))[: len(data)]
-        if len(data) > _ADDENDS:
-            terms %= p
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-        down = _powers(pow(base, -1, prime), prime, len(data))
-        out = out << np.uint64(31) | (sums[ends] - sums[starts]) % p * down[starts] % p
-    return mixed(out)
+    """The hash of each range of ``data``."""
+    return Hasher(data, fold, which).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.ndarray]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .textwords import SLICE, bytes_hash
+from .textwords import SLICE, Hasher
 
 #: Labelled documents of each class that the curve is fitted on at most.
 CURVE_SAMPLE = 5_000
@@ -50,11 +50,14 @@ _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Of words (runs of letters and digits, A-Z as a-z) the slots in each order; each text's first word (one more at the end)."""
     solid = _LETTER[data]
-    edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
-    bounds = np.concatenate([[0], np.union1d(edge, at[(at > 0) & (at < len(data))]), [len(data)]]) if len(data) else np.zeros(1, np.int64)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[1:-1] = solid[1:] != solid[:-1]
+    edge[at] = edge[0] = edge[-1] = True
+    bounds = np.flatnonzero(edge)
     on = solid[bounds[:-1]] if len(data) else np.zeros(0, bool)
     starts, ends = bounds[:-1][on], bounds[1:][on]
-    return [_slot(bytes_hash(data, starts, np.minimum(ends, starts + most)), bits) for most, bits in ORDERS], np.searchsorted(starts, at)
+    hasher = Hasher(data)
+    return [_slot(hasher.of(starts, np.minimum(ends, starts + most)), bits) for most, bits in ORDERS], np.searchsorted(starts, at)
 
 
 def _slot(x: np.ndarray, bits: int) -> np.ndarray:
@@ -145,7 +148,7 @@ class Model:
         p = self.low[slots[-1]]
         for k in range(len(ORDERS) - 2, -1, -1):
             order, slot = self.orders[k], slots[k]
-            p = order.share[slot] + (order.both[slot] / self.of[k][slots[k + 1]])[:, None] * order.freed * p
+            p = order.share[slot] + (order.both[slot] / self.of[k][slots[k + 1]])[:, None] * order.freed.astype(np.float32) * p
         return p
 
     def evidence(self, column: pa.Array) -> np.ndarray:
