@@ -6,6 +6,7 @@ and sibling keys must all hold.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -31,25 +32,65 @@ def _value(v, kind: T.DataType) -> Column:
     return F.lit(v)
 
 
-def _checked(v, kind: T.DataType) -> None:
-    """Operands must be of the field's kind."""
-    number = isinstance(v, (int, float)) and not isinstance(v, bool)
-    wrong = isinstance(kind, T.StringType) and not isinstance(v, str) or isinstance(kind, T.BooleanType) and not isinstance(v, bool)
-    if v is not None and (wrong or isinstance(kind, T.NumericType) and not number):
-        raise FilterError(f"unexpected type of {v!r} for {kind.simpleString()}")
+#: Kinds of operands and of fields that order each other.
+_KINDS = {"number": (T.NumericType,), "string": (T.StringType, T.TimestampType, T.TimestampNTZType, T.DateType), "boolean": (T.BooleanType,)}
+
+
+def _kind_of(v) -> str:
+    if isinstance(v, bool):
+        return "boolean"
+    return "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "array" if isinstance(v, (list, tuple)) else "object"
+
+
+def _fits(v, kind: T.DataType) -> bool:
+    """Whether an operand is of the field's kind; a null is of any."""
+    return v is None or isinstance(kind, T.VariantType) or isinstance(kind, _KINDS.get(_kind_of(v), ()))
 
 
 def equal(c: Column, v, kind: T.DataType) -> Column:
-    """Null-safe equality; numbers that aren't both integers may differ by rounding."""
-    if isinstance(v, (list, dict)):
-        return _sure(c == F.array(*[F.lit(x) for x in v])) if isinstance(v, list) else F.lit(False)
+    """Null-safe equality; numbers that aren't both integers may differ by rounding, and values of different kinds are never equal."""
+    if isinstance(v, dict):
+        return _object(c, v, kind)
+    if isinstance(v, list):
+        if not isinstance(kind, T.ArrayType):
+            return F.lit(False)
+        each = F.lit(True)
+        for i, x in enumerate(v):
+            each = each & equal(F.element_at(c, i + 1), x, kind.elementType)
+        return _sure((F.size(c) == len(v)) & each) if v else _sure(F.size(c) == 0)
     if v is None:
         return c.isNull()
+    if not _fits(v, kind):
+        return F.lit(False)
     if isinstance(kind, (T.DoubleType, T.FloatType)) or isinstance(v, float) and isinstance(kind, T.NumericType):
         return _sure(F.abs(c - F.lit(float(v))) < EPSILON)
     return c.eqNullSafe(_value(v, kind))
 
 
+def _object(c: Column, v: dict, kind: T.DataType) -> Column:
+    """Equality with an object: the same keys, each with an equal value."""
+    if isinstance(kind, T.StructType):
+        known = set(kind.fieldNames())
+        out = c.isNotNull() & F.lit(set(v) <= known)
+        for name in known:
+            out = out & equal(c[name], v.get(name), kind[name].dataType)
+        return _sure(out)
+    if not isinstance(kind, (T.StringType, T.VariantType)):
+        return F.lit(False)
+    parsed = c if isinstance(kind, T.VariantType) else F.try_parse_json(c)
+    keys = F.json_object_keys(F.to_json(parsed))
+    out = _sure(F.size(keys) == len(v)) if v else _sure(F.size(keys) == 0)
+    for name, x in v.items():
+        at = F.try_variant_get(parsed, f"$['{name}']", "variant")
+        if x is None:
+            out = out & _sure(F.array_contains(keys, name)) & F.try_variant_get(parsed, f"$['{name}']", "string").isNull()
+        else:
+            of = {"number": "double", "boolean": "boolean", "string": "string"}.get(_kind_of(x))
+            below = equal(F.try_variant_get(parsed, f"$['{name}']", of), x, {"double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}[of]) if of else _object(at, x, T.VariantType()) if isinstance(x, dict) else F.to_json(at).eqNullSafe(F.to_json(F.parse_json(F.lit(json.dumps(x)))))
+            out = out & below
+    return _sure(out)
+
+
 def like(c: Column, pattern: str, fold: bool = False) -> Column:
     """``%`` is any run; ``_`` and backslash are literal. Null never matches."""
     escaped = pattern.replace("\\", "\\\\").replace("_", "\\_")
@@ -59,6 +100,10 @@ def like(c: Column, pattern: str, fold: bool = False) -> Column:
 def _compare(c: Column, op: str, v, kind: T.DataType) -> Column:
     if v is None:
         return {"_gt": c.isNotNull(), "_geq": F.lit(True), "_lt": F.lit(False), "_leq": c.isNull()}[op]
+    if not _fits(v, kind):  # a number orders nothing else, and so matches nothing; other kinds are an error
+        if _kind_of(v) == "number":
+            return F.lit(False)
+        raise FilterError(f"unexpected type of {v!r} for {kind.simpleString()}")
     v = _value(v, kind)
     return _sure({"_gt": c > v, "_geq": c >= v, "_lt": c < v, "_leq": c <= v}[op])
 
@@ -77,13 +122,10 @@ def predicate(c: Column, cond, kind: T.DataType, depth: int = 0) -> Column:
     if depth > MAX_DEPTH:
         raise FilterError("the filter is nested too deeply")
     if not isinstance(cond, dict):
-        _checked(cond, kind)
         return equal(c, cond, kind)
     out = F.lit(True)
     for op, v in cond.items():
         op = ALIASES.get(op, op)
-        if op in ("_gt", "_geq", "_lt", "_leq", "_eq", "_neq") and not isinstance(kind, (T.ArrayType, T.VariantType)):
-            _checked(v, kind)
         if op == "_eq":
             p = equal(c, v, kind)
         elif op == "_neq":
@@ -94,7 +136,7 @@ def predicate(c: Column, cond, kind: T.DataType, depth: int = 0) -> Column:
             p = F.lit(False)
             for x in v:
                 p = p | equal(c, x, kind)
-            if len(v) > 8 and None not in v and not any(isinstance(x, float) for x in v):
+            if len(v) > 8 and None not in v and not any(isinstance(x, (float, dict, list)) or not _fits(x, kind) for x in v):
                 p = _sure(c.isin(v))
             p = ~p if op == "_nin" else p
         elif op in ("_like", "_ilike", "_nlike", "_nilike"):
@@ -140,6 +182,10 @@ def json_path(c: Column, path: list[str], cond, kind: T.DataType) -> Column:
     there = F.try_variant_get(parsed, at, "variant").isNotNull()
     cond, out = cond if isinstance(cond, dict) else {"_eq": cond}, F.lit(True)
     for op, v in cond.items():
+        if isinstance(v, dict) and op in ("_eq", "_neq"):
+            p = _object(F.try_variant_get(parsed, at, "variant"), v, T.VariantType())
+            out = out & (p if op == "_eq" else there & ~p)
+            continue
         sample = next((x for x in v if x is not None), None) if isinstance(v, list) else v
         name, of = next(((n, t) for k, n, t in ((bool, "boolean", T.BooleanType()), ((int, float), "double", T.DoubleType())) if isinstance(sample, k)), ("string", T.StringType()))
         p = predicate(F.try_variant_get(parsed, at, name), {op: v}, of)

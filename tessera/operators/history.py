@@ -20,10 +20,19 @@ def last_writes(log: DataFrame) -> DataFrame:
     return log.where("field <> '_C' and delta is null").groupBy("doc_id", "field").agg(best).select("doc_id", "field", F.nullif(F.col("best.bytes").cast("string"), F.lit("")).alias("value"))
 
 
-def counters(log: DataFrame) -> DataFrame:
-    """Of each counter the sum of its increments, wrapped to 64 bits."""
+def counters(log: DataFrame, saturate: bool = False) -> DataFrame:
+    """Of each counter the sum of its increments, wrapped to 64 bits; a replay of history stops at the bounds instead.
+
+    A replay adds in the order of heights, so a bound that was reached on the
+    way counts; it needs a counter's increments in one task, in order.
+    """
+    least, most = _number(-(1 << 63)), _number((1 << 63) - 1)
+    if saturate:
+        steps = F.transform(F.array_sort(F.collect_list(F.struct("priority", "cid", "delta"))), lambda x: x["delta"].cast("decimal(38,0)"))
+        value = F.aggregate(steps, _number(0), lambda a, x: F.least(most, F.greatest(least, (a + x).cast("decimal(38,0)"))))
+        return log.where("delta is not null").groupBy("doc_id", "field").agg(value.cast("long").alias("value"))
     total = F.sum(F.col("delta").cast("decimal(38,0)"))
-    wrapped = F.pmod(total + _number(1 << 63), _number(1 << 64)) - _number(1 << 63)
+    wrapped = F.pmod(total - least, _number(1 << 64)) + least
     return log.where("delta is not null").groupBy("doc_id", "field").agg(wrapped.cast("long").alias("value"))
 
 
@@ -32,11 +41,12 @@ def statuses(log: DataFrame) -> DataFrame:
     return log.where("field = '_C'").groupBy("doc_id").agg(F.max_by("deleted", F.struct("priority", "cid")).alias("_deleted"))
 
 
-def documents(log: DataFrame, fields: list[str], counted: list[str] = ()) -> DataFrame:
+def documents(log: DataFrame, fields: list[str], counted: list[str] = (), saturate: bool = False) -> DataFrame:
     """The current documents: doc_id, a column for each field, _deleted."""
     one = last_writes(log).groupBy("doc_id").pivot("field", [f for f in fields if f not in counted]).agg(F.first("value"))
     if counted:
-        many = counters(log).groupBy("doc_id").pivot("field", list(counted)).agg(F.first("value"))
+        first = log.where(F.col("field").isin(list(counted)) & F.col("delta").isNull() & (F.col("value") != "")).withColumn("delta", F.col("value").cast("long"))  # a counter's first value
+        many = counters(log.unionByName(first), saturate).groupBy("doc_id").pivot("field", list(counted)).agg(F.first("value"))
         one = one.join(many, "doc_id", "full_outer")
     out = one.join(statuses(log), "doc_id", "full_outer")
     return out.select("doc_id", *fields, F.coalesce("_deleted", F.lit(False)).alias("_deleted"))
@@ -65,9 +75,8 @@ def at_height(log: DataFrame, height: int) -> DataFrame:
 
 
 def created(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """``df`` with new rows; a key that is taken is an error."""
-    taken = rows.join(df.where("not _deleted").select(key), key, "left_semi")
-    if not taken.isEmpty():
+    """``df`` with new rows; a key that is or was taken, or is there twice, is an error."""
+    if not rows.join(df.select(key), key, "left_semi").isEmpty() or not rows.groupBy(key).count().where("count > 1").isEmpty():
         raise ValueError("a document of this key is there already")
     return df.unionByName(rows.withColumn("_deleted", F.lit(False)), allowMissingColumns=True)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,45 +30,109 @@ def similarity(c: Column, vector: list[float], metric: str = "cosine") -> Column
     return F.when(norm > 0, dot / norm).otherwise(F.when(norm.isNotNull(), 0.0))
 
 
-def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), TERM), lambda w: w != "")
+def tag(value: Column, field: str, key: str) -> Column:
+    """HMAC-SHA-256 of a value under a key of the field's own."""
+    own = hmac.new(key.encode(), field.encode(), hashlib.sha256).digest()
+    inner, outer = (bytes(b ^ x for b in own.ljust(64, b"\0")) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), value.cast("string").cast("binary")), 256))), 256)
+
+
+def terms(text: Column, language: str | None = None) -> Column:
+    """Runs of letters and digits in lower case; with a language, without its stop words."""
+    words = F.filter(F.split(F.lower(text), TERM), lambda w: w != "")
+    if language is None:
+        return words
+    stop = stop_words(language)
+    return F.filter(words, lambda w: ~w.isin(stop))
+
+
+def stop_words(language: str) -> list[str]:
+    """Those that Spark has for the language; English for one that it doesn't know."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    try:
+        return list(StopWordsRemover.loadDefaultStopWords(language.lower()))
+    except Exception:  # the JVM's complaint about an unknown language
+        return list(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+def wanted(query: str, language: str | None = None) -> list[str]:
+    stop = set(stop_words(language)) if language else set()
+    return [w for w in re.split(r"[^\w]+|_", query.lower()) if w and w not in stop]
 
 
 def _times(words: Column, word: str) -> Column:
     return F.size(F.filter(words, lambda x: x == word))
 
 
-def bm25(df: DataFrame, fields: list[str], query: str, alias: str) -> DataFrame:
+def _weight(tf: Column, dl: Column, mean: Column, rows: Column, holding: Column) -> Column:
+    """A term's part of a row's score."""
+    idf = F.log((rows - holding + 0.5) / (holding + 0.5) + 1)
+    return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))).otherwise(0.0)
+
+
+def bm25(df: DataFrame, fields: list[str], query: str, alias: str, by: str | None = None, language: str | None = None) -> DataFrame:
     """``df`` with the sum over fields of BM25; rows without a term of the query get 0. A term that is repeated counts again.
 
     One aggregate over the rows gives the statistics of every term; they meet
-    the rows again as a single row, so nothing is shuffled but sums.
+    the rows again as a single row, so nothing is shuffled but sums. With
+    ``by`` the statistics are those of the rows that share its value.
     """
-    wanted = [w for w in re.split(r"[^\w]+|_", query.lower()) if w]
+    asked = wanted(query, language)
     if isinstance(fields, str):
         fields = [fields]
-    distinct = sorted(set(wanted))
+    distinct = sorted(set(asked))
     if not distinct:
         return df.withColumn(alias, F.lit(0.0))
     stats, score = [], F.lit(0.0)
     for i, f in enumerate(fields):
-        words = terms(F.coalesce(F.col(f).cast("string"), F.lit("")))
+        words = terms(F.coalesce(F.col(f).cast("string"), F.lit("")), language)
         df = df.withColumn(f"__bm{i}", F.struct(F.size(words).alias("dl"), *[_times(words, w).alias(f"t{j}") for j, w in enumerate(distinct)]))
         held = F.col(f).isNotNull()
         stats += [F.sum(F.when(held, 1)).alias(f"n{i}"), F.avg(F.when(held, F.col(f"__bm{i}.dl"))).alias(f"avg{i}")]
         stats += [F.sum(F.when(F.col(f"__bm{i}.t{j}") > 0, 1).otherwise(0)).alias(f"df{i}_{j}") for j in range(len(distinct))]
-    sums = df.agg(F.struct(*stats).alias("__stats"))
-    df = df.crossJoin(F.broadcast(sums))  # one row
+    if by is None:
+        df = df.crossJoin(F.broadcast(df.agg(F.struct(*stats).alias("__stats"))))  # one row
+    else:
+        sums = df.groupBy(F.col(by).alias("__by")).agg(F.struct(*stats).alias("__stats"))
+        df = df.join(sums, df[by].eqNullSafe(sums["__by"])).drop("__by")
     for i in range(len(fields)):
         s, own = (lambda n: F.col(f"__stats.{n}")), F.col(f"__bm{i}")
-        for w in wanted:
+        for w in asked:
             j = distinct.index(w)
-            idf = F.log((s(f"n{i}") - s(f"df{i}_{j}") + 0.5) / (s(f"df{i}_{j}") + 0.5) + 1)
-            tf = own[f"t{j}"].cast("double")
-            score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * own["dl"] / s(f"avg{i}")))).otherwise(0.0)
+            score = score + _weight(own[f"t{j}"].cast("double"), own["dl"], s(f"avg{i}"), s(f"n{i}"), s(f"df{i}_{j}"))
     return df.withColumn(alias, score).drop("__stats", *[f"__bm{i}" for i in range(len(fields))])
 
 
+def build_postings(df: DataFrame, key: str, field: str, path: str, language: str | None = None, parts: int = 64) -> None:
+    """A full-text index below ``path``: a row for each term of a row (term, key, tf, dl), in ``parts`` folders by the term's hash, and the totals.
+
+    A query reads the folders of its terms only, and in them, as rows are
+    sorted by term, the row groups that hold them.
+    """
+    words = df.where(F.col(field).isNotNull()).select(F.col(key).alias("key"), terms(F.col(field).cast("string"), language).alias("words"))
+    each = words.select("key", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "key").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+    each.withColumn("part", part).repartition(parts, "part", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    totals = words.agg(F.count(F.lit(1)).alias("rows"), F.avg(F.size("words")).alias("mean"))
+    totals.select("*", F.lit(language).cast("string").alias("language"), F.lit(parts).alias("parts")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def bm25_indexed(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """(key, score) of rows that hold a term of the query, by an index of ``build_postings``."""
+    totals = spark.read.parquet(f"{path}/totals").first()
+    asked = wanted(query, totals["language"])
+    distinct = sorted(set(asked))
+    rows = spark.read.parquet(f"{path}/postings")
+    parts = spark.createDataFrame([(w,) for w in distinct] or [("",)], "w string").select(F.pmod(F.xxhash64("w"), F.lit(totals["parts"])).cast("int")).distinct().collect()  # a row a term
+    rows = rows.where(F.col("part").isin([r[0] for r in parts]) & F.col("term").isin(distinct))
+    holding = rows.groupBy("term").agg(F.count(F.lit(1)).alias("holding"))
+    times = spark.createDataFrame([(w, asked.count(w)) for w in distinct], "term string, times int")
+    met = rows.join(F.broadcast(holding.join(times, "term")), "term")  # a row a term
+    one = _weight(F.col("tf").cast("double"), F.col("dl"), F.lit(totals["mean"]), F.lit(totals["rows"]), F.col("holding")) * F.col("times")
+    return met.groupBy("key").agg(F.sum(one).alias("score"))
+
+
 def reciprocal_ranks(dense: DataFrame, sparse: DataFrame, key: str, depth: int, k: int = RRF_K) -> DataFrame:
     """Fusion of two rankings (key, score) by the ``depth`` best of each: key, rrf."""
     ranked = []
@@ -75,4 +141,12 @@ def reciprocal_ranks(dense: DataFrame, sparse: DataFrame, key: str, depth: int,
         ranked.append(best.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias(name)))
     both = ranked[0].join(ranked[1], key, "full_outer")
     part = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
-    return both.select(key, (part("dense") + part("sparse")).alias("rrf"), F.least("dense", "sparse").alias("best_rank"))
+    return both.select(key, (part("dense") + part("sparse")).alias("rrf"), F.least("dense", "sparse").alias("best_rank"), F.col("dense").alias("dense_rank"), F.col("sparse").alias("sparse_rank"))
+
+
+def hybrid(df: DataFrame, key: str, vector: tuple[str, list[float]], text: tuple[list[str], str], k: int, depth: int = 100, metric: str = "cosine") -> DataFrame:
+    """The ``k`` best rows (key, rrf) by both rankings; ties go by the better rank, then the vector's, the text's, the key."""
+    dense = df.select(key, similarity(F.col(vector[0]), vector[1], metric).alias("score")).where("score is not null")
+    sparse = bm25(df, text[0], text[1], "score").where("score > 0").select(key, "score")
+    order = [F.desc("rrf"), F.asc("best_rank"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("sparse_rank"), F.asc(key)]
+    return reciprocal_ranks(dense, sparse, key, depth).orderBy(*order).limit(k).select(key, "rrf")

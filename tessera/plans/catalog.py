@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,12 +21,35 @@ class Relation:
     many: bool = False
 
 
+@dataclass(frozen=True)
+class Index:
+    """``kind``: ordered, unique, vector, fulltext or encrypted. A unique one is a constraint on writes; the others say how a field may be searched."""
+
+    name: str
+    fields: tuple[str, ...]
+    kind: str = "ordered"
+    options: dict = field(default_factory=dict, hash=False)
+
+
 @dataclass
 class Collection:
+    """``rules`` constrain writes by field: default, immutable, size (of an array), counter (pn, or p: it never falls)."""
+
     name: str
     load: Callable[[], DataFrame]
     key: str | None
     relations: dict[str, Relation] = field(default_factory=dict)
+    indexes: list[Index] = field(default_factory=list)
+    rules: dict[str, dict] = field(default_factory=dict)
+    log: Callable[[], DataFrame] | None = None
+    table: object | None = None
+    #: Who may read which documents (_docID, identity); documents that it doesn't name are everyone's.
+    grants: Callable[[], DataFrame] | None = None
+
+    @property
+    def ordered(self) -> bool:
+        """Whether _docID is cheap to sort by: a key, not a hash of the whole row."""
+        return self.key is not None or self.table is not None
 
     def frame(self) -> DataFrame:
         """The rows with _docID (the key as text, or a hash of the whole row) and _deleted."""
@@ -35,9 +60,33 @@ class Collection:
         return df if "_deleted" in df.columns else df.withColumn("_deleted", F.lit(False))
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``); on one machine, where it is unset, a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        top = f"file://{tempfile.gettempdir()}/tessera-checkpoints"
+    return top.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, so an iteration's plan doesn't grow."""
+    path = f"{shared(df.sparkSession)}/step-{uuid.uuid4().hex[:16]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Catalog:
-    def __init__(self, spark: SparkSession):
-        self.spark, self.collections = spark, {}
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        """``root``: where collections that are made by SQL are stored; without it, the folder of checkpoints."""
+        self.spark, self.collections, self.own_root = spark, {}, root
+        #: Who asks.
+        self.identity: str | None = None
+
+    @property
+    def root(self) -> str:
+        return self.own_root or f"{shared(self.spark)}/collections"
 
     def add(self, name: str, load: Callable[[], DataFrame] | DataFrame, key: str | None = None, **relations: Relation) -> Collection:
         rows = load

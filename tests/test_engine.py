@@ -39,11 +39,19 @@ def test_filters(books, cond, want):
 
 
 def test_filter_errors(books):
-    for cond in ("{age: {_gt: \"x\"}}", "{name: {_eq: 3}}", "{nothing: 1}", "{age: {_what: 1}}"):
+    for cond in ("{age: {_gt: \"x\"}}", "{age: {_leq: true}}", "{nothing: 1}", "{age: {_what: 1}}"):
         with pytest.raises(FilterError):
             query(books, f"{{ Author(filter: {cond}) {{ id }} }}").collect()
 
 
+def test_operands_of_another_kind(books):
+    ids = lambda cond: sorted(r.id for r in query(books, f"{{ Author(filter: {cond}) {{ id }} }}").collect())
+    assert ids("{name: {_gt: 3}}") == [] and ids("{name: {_eq: 3}}") == [] and ids("{ok: {_leq: 1}}") == [] and ids("{name: {_neq: 3}}") == [1, 2, 3, 4]
+    assert ids('{age: {_eq: "40"}}') == [] and ids('{age: {_in: ["40", 30]}}') == [3]
+    assert ids('{meta: {_eq: {a: {b: 1}}}}') == [1] and ids("{meta: {a: {_eq: {b: 1}}}}") == [1] and ids("{meta: {a: {_neq: {b: 1}}}}") == [2] and ids("{meta: {_eq: {}}}") == [3]
+    assert ids("{xs: {_eq: [1, null, 3]}}") == [1] and ids("{xs: {_eq: []}}") == [2] and ids("{age: {_eq: {a: 1}}}") == []
+
+
 def test_nested_children_and_aggregates(books):
     got = respond(books, '{ Author(order: {id: ASC}) { id n: COUNT(books: {}) s: SUM(books: {field: rating}) a: AVG(books: {field: rating}) m: MIN(books: {field: rating}) t: SUM(xs: {}) c: COUNT(xs: {}) books(order: {rating: DESC}, limit: 1) { title writer { name } } } }')["data"]["Author"]
     assert [(r["n"], r["s"], r["a"], r["m"], r["t"], r["c"]) for r in got] == [(2, 6.5, 3.25, 2.5, 4, 3), (0, 0, 0.0, None, 0, 0), (1, 0, 0.0, None, 0, 0), (0, 0, 0.0, None, 0, 1)]
