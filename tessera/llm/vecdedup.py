@@ -1,13 +1,18 @@
 """Near-duplicate vectors by counting collisions of one-dimensional projections.
 
-Unit vectors are projected on fixed random directions and sorted. Two vectors
-collide on a projection if one lies in the window centred at the other; the
-window is a multiple of the spread that projections of a pair at the similarity
-bound have. A pair is verified by its cosine if it collides often enough: the
-needed count is the largest that a pair at the bound reaches with the wanted
-recall. Runs of the first sorted projection form tiles with bounding boxes, and
-two tiles meet only if their boxes allow enough collisions and no projection
-keeps them further apart than any pair at the bound can be.
+Unit vectors are projected on fixed random directions. Two vectors collide on a
+projection if one lies in the window centred at the other; the window is a
+multiple of the spread that projections of a pair at the similarity bound have.
+A pair is verified by its cosine if it collides often enough: the needed count
+is the largest that a pair at the bound reaches with the wanted recall.
+
+The first projection is sorted over all vectors; runs of equal length of it are
+tiles with bounding boxes on every projection. Two tiles meet only if their
+boxes allow enough collisions and no projection keeps them further apart than
+any pair at the bound can be; within two tiles the windows of a strip of query
+vectors are counted at once, in bytes. What boxes exclude depends on the data:
+groups lie apart, vectors without any structure in many dimensions do not, and
+then the work is that of all pairs, at a few nanoseconds each.
 
 Equal vectors are one representative with a weight. A pair of tiles yields
 counts of links and a spanning forest, never the links themselves.
@@ -28,9 +33,12 @@ from . import common
 from .components import components, forest
 from .vectors import usable
 
-COSINE, PROJECTIONS, RECALL, SPREAD = 0.9, 16, 0.9999, 2.5
+COSINE, PROJECTIONS, RECALL, SPREAD = 0.9, 32, 0.9999, 2.5
 TILE_ROWS = 4096
-_STRIP = 1024
+#: Query vectors whose windows are counted together: their counts fit in a core's cache.
+_STRIP = 64
+#: Steps of a rounded projection in a window; all projections lie within a byte.
+_STEPS = 12
 
 
 def needed(projections: int = PROJECTIONS, spread: float = SPREAD, recall: float = RECALL) -> int:
@@ -89,23 +97,24 @@ FOUND = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("to", pa.int64())
 
 def links_between(a: np.ndarray, b: np.ndarray, cosine: float, projections: np.ndarray, spread: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``a`` and ``b`` that collide often enough and whose cosine reaches the bound."""
-    dim = a.shape[1]
-    window = spread * math.sqrt(2 * (1 - cosine) / dim)
-    step = window / 24  # windows are rounded up, so rounding loses no collision
-    pa_, pb = (np.floor((x @ projections) / step).astype(np.int64) for x in (a, b))
-    pa_, pb = (np.clip(x, -16000, 16000).astype(np.int16) for x in (pa_, pb))
+    both = a @ projections, b @ projections
+    reach = 2 * max(np.abs(x).max(initial=0) for x in both)
+    # projections are rounded to steps of a window and kept as bytes, which wrap beyond any gap that occurs
+    window = max(spread * math.sqrt(2 * (1 - cosine) / a.shape[1]), reach * _STEPS / (250 - 2 * _STEPS))
+    pa_, pb = (np.floor(x / (window / _STEPS)).astype(np.int64).astype(np.uint8).T.copy() for x in both)
     out_i, out_j = [], []
-    f32 = b.astype(np.float32).T
     for s in range(0, len(a), _STRIP):
-        part = pa_[s : s + _STRIP]
-        count = np.zeros((len(part), len(b)), np.uint8)
-        for j in range(projections.shape[1]):
-            count += np.abs(part[:, j, None] - pb[None, :, j]) <= 25
-        near = count >= least
-        near &= a[s : s + _STRIP].astype(np.float32) @ f32 >= cosine - 1e-4  # a coarse cosine first: few pairs need the exact one
-        i, j = np.nonzero(near)
-        for k in range(0, len(i), 1 << 16):
-            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        part = pa_[:, s : s + _STRIP]
+        count = np.zeros((part.shape[1], len(b)), np.uint8)
+        gap = np.empty_like(count)
+        hit = np.empty(count.shape, bool)
+        for mine, theirs in zip(part, pb):
+            np.subtract((mine + np.uint8(_STEPS + 1))[:, None], theirs[None, :], out=gap)
+            np.less_equal(gap, np.uint8(2 * _STEPS + 2), out=hit)
+            np.add(count, hit.view(np.uint8), out=count)
+        flat = np.flatnonzero(count.ravel() >= least)
+        for k in range(0, len(flat), 1 << 16):
+            x, y = np.divmod(flat[k : k + (1 << 16)], len(b))
             ok = np.einsum("nd,nd->n", a[s + x], b[y]) >= cosine
             out_i.append(s + x[ok])
             out_j.append(y[ok])
@@ -150,13 +159,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     classes = keyed.groupBy("key", "dim").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     reps = keyed.join(classes.select("key", "dim", F.col("rep").alias("id"), "weight"), ["key", "dim", "id"]).select("id", "dim", "first", "unit", "weight")
     reps = common.materialize(reps, root, "reps")
-    n = reps.count()
-    # a range of the sorted projection in each partition, cut into tiles
-    parts = max(1, math.ceil(n / tile_rows))
-    tiles = reps.repartitionByRange(parts, "dim", "first").withColumn("tile", F.spark_partition_id().cast("long"))
+    # the first projection sorted; every tile_rows of it in a row are a tile, however many partitions there are
+    sorted_ = reps.repartitionByRange("dim", "first").sortWithinPartitions("dim", "first").withColumn("at", F.monotonically_increasing_id())
+    sorted_ = common.materialize(sorted_, root, "sorted").withColumn("part", F.shiftright("at", 33))
+    counts = sorted(tuple(r) for r in sorted_.groupBy("part").count().collect())  # a row a partition
+    starts = [(p, sum(n for _, n in counts[:k])) for k, (p, _) in enumerate(counts)]
+    offsets = spark.createDataFrame(starts, "part long, start long")
+    place = F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)
+    tiles = sorted_.join(F.broadcast(offsets), "part").withColumn("tile", F.floor(place / tile_rows)).select("tile", "id", "dim", "unit", "weight")
     tiles = common.materialize(tiles.groupBy("tile", "dim").applyInPandas(_tile, TILES), root, "tiles")
     boxes = tiles.select("tile", "dim", "lo", "hi")
-    window, apart = f"{spread} * sqrt(2 * (1 - {cosine}D) / dim) * 26 / 24", f"sqrt(2 * (1 - {cosine}D)) + 1e-6"
+    window, apart = f"{spread} * sqrt(2 * (1 - {cosine}D) / dim) * {1 + 2 / _STEPS}", f"sqrt(2 * (1 - {cosine}D)) + 1e-6"
     wide = boxes.withColumn("cell", F.explode(F.expr(f"sequence(cast(floor(lo[0] / ({apart})) as long) - 1, cast(floor(hi[0] / ({apart})) as long) + 1)")))
     other = boxes.select(F.col("tile").alias("b_tile"), "dim", F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.explode(F.expr(f"sequence(cast(floor(lo[0] / ({apart})) as long), cast(floor(hi[0] / ({apart})) as long))")).alias("cell"))
     gaps = "zip_with(zip_with(lo, b_hi, (x, y) -> x - y), zip_with(b_lo, hi, (x, y) -> x - y), (x, y) -> greatest(x, y))"
