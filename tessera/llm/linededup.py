@@ -86,15 +86,18 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, root: str | None =
     cuts = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("_cuts"), F.min("first_doc").alias("copied_from"))
     cuts = common.materialize(cuts.withColumnsRenamed({"doc_id": "_doc", "th": "_th"}), root, "cuts")
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "deleted_lines", "copied_from")]
-    met = docs.select(*kept_columns).withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).join(cuts.hint("merge"), (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_hash") == F.col("_th")), "left")
-    split = met.withColumn("_lines", F.expr("split(cast(text as string), '\\n', -1)"))
-    left = split.withColumn("_left", F.expr("if(_cuts is null, _lines, filter(_lines, (s, i) -> not exists(_cuts, c -> i between c.a and c.b)))"))
-    out = left.withColumn("n_lines", F.expr("if(text is null, 0L, cast(size(_lines) as bigint))")).withColumn("deleted_lines", F.expr("if(text is null, 0L, cast(size(_lines) - size(_left) as bigint))"))
-    text = F.expr("if(_cuts is null, cast(text as string), array_join(_left, '\\n'))")
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in kept_columns], "n_lines", "deleted_lines", "copied_from")
+    # the columns travel in a struct, so none can clash with those of the join
+    packed = docs.select(F.struct(*[docs[c] for c in kept_columns]).alias("row"), docs["doc_id"].cast("long").alias("doc"), docs["text"].cast("string").alias("text"))
+    met = packed.withColumn("hash", F.xxhash64("text")).join(cuts.hint("merge"), (F.col("doc") == F.col("_doc")) & (F.col("hash") == F.col("_th")), "left")
+    split = met.withColumn("lines", F.expr("split(text, '\n', -1)"))
+    left = split.withColumn("left", F.expr("if(_cuts is null, lines, filter(lines, (s, i) -> not exists(_cuts, c -> i between c.a and c.b)))"))
+    out = left.withColumn("n_lines", F.expr("if(text is null, 0L, cast(size(lines) as bigint))")).withColumn("deleted_lines", F.expr("if(text is null, 0L, cast(size(lines) - size(left) as bigint))"))
+    text = F.expr("if(_cuts is null, text, array_join(left, '\n'))")
+    return out.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in kept_columns], "n_lines", "deleted_lines", "copied_from")
 
 
 def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of runs; nulls, empty texts and repeats as in ``dedup_lines``."""
     return dedup_lines(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "deleted_lines", "copied_from")
 
 
