@@ -1,10 +1,14 @@
 """Exact top-k by inner product: a KD-tree for each shard, searched best first.
 
-Each shard's vectors are split at the median of the widest dimension, down to
-leaves, and each node keeps its tight bounding box. What a query could score
-within a box bounds the search: nodes are opened by falling bound until it is
-below the kth best score so far. A query searches one shard first; the kth
-score found there travels with it to all others.
+Shards are the leaves of a KD-tree, too: its median splits are fitted on a
+bounded sample and every vector is dealt by them, so a shard's box is tight; a
+leaf with more vectors than a shard holds is several shards. Within a shard
+vectors are split at the median of the widest dimension, down to leaves, and
+each node keeps its tight bounding box. What a query could score within a box
+bounds the search: nodes are opened by falling bound until it is below the kth
+best score so far. A query searches its own shard first; the kth score found
+there decides, by the shards' boxes, which others it is sent to, and travels
+with it.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from . import common
 from .vectors import usable
 
 SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 8192, 128, 1024
+#: Vectors that the shards' splits are fitted on at most, and boxes that meet a block of queries at once.
+SAMPLE, BOXES = 65_536, 1024
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -80,6 +86,33 @@ class Tree:
         return best
 
 
+def splits(sample: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
+    """Median splits of the widest dimension (dimension, value, child below, child above), a leaf k as -1 - k."""
+    out: list = []
+
+    def add(x: np.ndarray, first: int, n: int) -> int:
+        if n == 1 or len(x) < 2 or (x.min(0) == x.max(0)).all():
+            return -1 - first
+        d = int(np.argmax(x.max(0) - x.min(0)))
+        v = float(np.quantile(x[:, d], (n // 2) / n, method="higher"))
+        v = v if v > x[:, d].min() else float(x[x[:, d] > v, d].min())  # something lies below
+        me, low = len(out), x[:, d] < v
+        out.append(None)
+        out[me] = (d, v, add(x[low], first, n // 2), add(x[~low], first + n // 2, n - n // 2))
+        return me
+
+    add(sample, 0, leaves)
+    return out
+
+
+def leaf_of(x: np.ndarray, nodes: list) -> np.ndarray:
+    at = np.zeros(len(x), np.int64) if nodes else np.full(len(x), -1)
+    while (on := np.flatnonzero(at >= 0)).size:
+        d, v, low, high = (np.array(c) for c in zip(*[nodes[k] for k in at[on]]))
+        at[on] = np.where(x[on, d] < v, low, high)
+    return -1 - at
+
+
 def _matrix(vecs: list) -> np.ndarray:
     return np.floor(256.0 * np.array(vecs, np.float64))
 
@@ -112,10 +145,25 @@ def _blocks(df: DataFrame, key: str, prefix: str, extra: bool = False) -> DataFr
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        row = {key: [pdf[key].iloc[0]], "dim": [len(pdf["vec"].iloc[0])], f"{prefix}_ids": [pdf["id"].to_numpy(np.int64).tobytes()], prefix: [_matrix(pdf["vec"].tolist()).tobytes()]}
-        return pd.DataFrame(row | ({"kths": [pdf["kth"].to_numpy(np.float64).tobytes()]} if extra else {}))
+        x = _matrix(pdf["vec"].tolist())
+        row = {key: [pdf[key].iloc[0]], "dim": [x.shape[1]], f"{prefix}_ids": [pdf["id"].to_numpy(np.int64).tobytes()], prefix: [x.tobytes()]}
+        return pd.DataFrame(row | ({"kths": [pdf["kth"].to_numpy(np.float64).tobytes()]} if extra else {"lo": [x.min(0).tobytes()], "hi": [x.max(0).tobytes()]}))
+
+    return df.groupBy(key, F.size("vec")).applyInPandas(pack, f"{key} long, dim int, {prefix}_ids binary, {prefix} binary" + (", kths binary" if extra else ", lo binary, hi binary"))
+
 
-    return df.groupBy(key, F.size("vec")).applyInPandas(pack, f"{key} long, dim int, {prefix}_ids binary, {prefix} binary" + ", kths binary" * extra)
+def _worth(batches: common.Batches) -> common.Batches:
+    """From blocks of queries and boxes: which queries may find one of their best in which shard."""
+    schema = pa.schema([("id", pa.int64()), ("shard", pa.int64())])
+    for batch in batches:
+        for row in range(batch.num_rows):
+            r = {c: batch[c][row].as_py() for c in batch.schema.names}
+            ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"], np.float64).reshape(-1, r["dim"])
+            lo, hi = (np.array([np.frombuffer(b[c], np.float64) for b in r["boxes"]]) for c in ("lo", "hi"))
+            bound = np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
+            slack = 1e-12 * (np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T)  # sums of large numbers are rounded
+            i, j = np.nonzero(bound + slack >= np.frombuffer(r["kths"], np.float64)[:, None])
+            yield common.batch_of(schema, [ids[i], np.array([b["shard"] for b in r["boxes"]], np.int64)[j]])
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -127,34 +175,56 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     length; repeated rows count once. Other columns are ignored; an empty table
     gives no row. Queries meet the shards in blocks.
     """
-    spark = vectors.sparkSession
-    root = common.shared_dir(spark)
+    root = common.shared_dir(vectors.sparkSession)
     rows = common.materialize(usable(vectors, id_col, vec_col), root, "rows")
     n = rows.count()
-    shards = max(1, math.ceil(n / shard_rows))
-    homed = rows.withColumn("home", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    dims = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    dim = dims["dim"] if dims else 0
+    some = rows.where(F.size("vec") == dim).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(SAMPLE).select("vec").collect()
+    nodes = splits(_matrix([r[0] for r in some]), max(1, math.ceil(n / shard_rows))) if some else []
+
+    def dealt(batches: common.Batches) -> common.Batches:
+        for batch in batches:
+            same = [len(v) == dim for v in batch["vec"].to_pylist()]
+            leaf = np.full(batch.num_rows, -1)  # vectors of other lengths have a leaf of their own
+            if any(same):
+                leaf[same] = leaf_of(_matrix(batch.filter(pa.array(same))["vec"].to_pylist()), nodes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], names=[*batch.schema.names, "leaf"])
+
+    rows = common.materialize(rows.mapInArrow(dealt, "id long, vec array<double>, leaf long"), root, "dealt")
+    first_of, shards = {}, 0
+    for r in rows.groupBy("leaf").count().orderBy("leaf").collect():  # a row a leaf
+        first_of[r["leaf"]] = (shards, math.ceil(r["count"] / shard_rows))
+        shards += first_of[r["leaf"]][1]
+    starts = rows.sparkSession.createDataFrame([(k, *v) for k, v in first_of.items()], "leaf long, start long, parts long")
+    homed = rows.join(F.broadcast(starts), "leaf").select("id", "vec", (F.col("start") + F.pmod(F.xxhash64("id"), "parts")).alias("home"))
     packed = common.materialize(_blocks(homed.withColumnRenamed("home", "shard"), "shard", "x"), root, "shards")
     asked = homed.where(F.pmod("id", F.lit(every)) == 0)
+    parts = max(1, math.ceil(n / every / query_rows))
 
-    def searched(queries: DataFrame, to_home: bool) -> DataFrame:
-        """``queries`` (id, vec, home, kth) against their home shard or all others."""
-        other = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda s: s != F.col("home"))
-        sent = queries.withColumn("shard", F.explode(F.array("home") if to_home else other))
-        parts = max(1, math.ceil(n / every / query_rows))
-        blocks = _blocks(sent.withColumn("block", F.col("shard") * parts + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))), "block", "q", extra=True)
+    def searched(queries: DataFrame) -> DataFrame:
+        """``queries`` (id, vec, shard, kth) against their shard."""
+        blocks = _blocks(queries.withColumn("block", F.col("shard") * parts + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))), "block", "q", extra=True)
         met = blocks.withColumn("shard", F.expr(f"block div {parts}")).join(packed, ["shard", "dim"])
         wide = met.repartition(max(1, min(1000, shards * parts)), "shard", "block").sortWithinPartitions("shard", "dim")
         return wide.select(F.struct("shard", "dim").cast("string").alias("shard"), "x_ids", "x", "q_ids", "q", "kths").mapInArrow(lambda b: _search(b, k), "query_id long, vec_id long, score long")
 
-    first = common.materialize(searched(asked.withColumn("kth", F.lit(float("-inf"))), True), root, "first")
+    first = common.materialize(searched(asked.withColumnRenamed("home", "shard").withColumn("kth", F.lit(float("-inf")))), root, "first")
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst")).where(f"n >= {k}").select(F.col("query_id").alias("id"), F.col("worst").cast("double").alias("kth"))
     rest = asked.join(kth, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
-    found = first.union(searched(rest, False)) if shards > 1 else first
+    rest = common.materialize(rest, root, "rest")
+    boxes = packed.select("dim", "shard", "lo", "hi").groupBy("dim", F.expr(f"shard div {BOXES}").alias("chunk")).agg(F.collect_list(F.struct("shard", "lo", "hi")).alias("boxes"))
+    # queries in blocks against all boxes in blocks; what passes is a pair of numbers
+    blocks = _blocks(rest.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))), "block", "q", extra=True)
+    worth = blocks.join(boxes, "dim").select("dim", "q_ids", "q", "kths", "boxes").repartition(max(1, min(1000, parts * math.ceil(max(1, shards) / BOXES)))).mapInArrow(_worth, "id long, shard long")
+    sent = rest.join(worth, "id").where("shard <> home").select("id", "vec", "shard", "kth")
+    found = first.union(searched(sent)) if shards > 1 else first
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3_topk_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best of each query; rows that take no part as in ``top_k``."""
     return top_k(common.table(spark, sf_dir, "embeddings"))
 
 

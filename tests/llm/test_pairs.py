@@ -137,6 +137,8 @@ def test_line_runs(spark, hard_docs):
     assert got[5].text == "\n".join(["same line"] * 25)
     assert (got[6].text, got[6].deleted_lines) == ("", 9)
     assert got[7].text == texts[6] and got[8].text is None and got[9].text == ""
+    odd = docs.selectExpr("*", "1 as _hash", "2 as _doc", "3 as _th", "4 as _cuts", "5 as _lines", "6 as _left", "7 as lines", "8 as doc")
+    assert {(r._hash, r._doc, r._th, r._cuts, r._lines, r._left, r.lines, r.doc) for r in linededup.dedup_lines(odd).collect()} == {(1, 2, 3, 4, 5, 6, 7, 8)}
     hard = linededup.dedup_lines(hard_docs.withColumn("n_lines", hard_docs["n"]))
     assert hard.count() == hard_docs.count() and hard.where("doc_id is null and deleted_lines > 0").count() == 0
 
@@ -172,6 +174,22 @@ def test_top_k(spark, vectors):
     assert topk.top_k(vectors.where("false")).count() == 0
 
 
+def test_shards_of_far_groups_are_left_out(spark):
+    rng = np.random.default_rng(2)
+    centers = rng.standard_normal((8, 16)) * 4
+    x = np.concatenate([centers[i % 8] + rng.standard_normal((1, 16)) * 0.2 for i in range(1600)])
+    nodes = topk.splits(np.floor(256 * x), 16)
+    leaves = topk.leaf_of(np.floor(256 * x), nodes)
+    assert np.bincount(leaves).max() < 250 and len(set(leaves)) == 16
+    assert topk.splits(np.ones((50, 3)), 4) == [] and set(topk.leaf_of(np.ones((5, 3)), [])) == {0}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, shard_rows=100).collect()}
+    m = np.floor(256 * x)
+    for q in range(0, 1600, 50):
+        best = sorted((-int(m[q] @ m[i]), i) for i in range(1600) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+
+
 def test_vector_near_duplicates(spark, vectors):
     ok = {i: v / np.linalg.norm(v) for i, v in usable_of(vectors).items() if np.linalg.norm(v)}
     links = [(a, b) for a, b in itertools.combinations(ok, 2) if len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] >= 0.9]
@@ -188,6 +206,25 @@ def test_vector_near_duplicates(spark, vectors):
     assert vecdedup.near_duplicates(vectors.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("dim", [64, 384])
+def test_planted_pairs_at_the_bound_in_many_dimensions(spark, dim):
+    rng = np.random.default_rng(dim)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(rng.standard_normal((900, dim)))
+    t, z = rng.uniform(0.9, 0.92, 300), rng.standard_normal((300, dim))
+    z = unit(z - (z * x[:300]).sum(1)[:, None] * x[:300])
+    near = t[:, None] * x[:300] + np.sqrt(1 - t * t)[:, None] * z
+    group = unit(x[899] + rng.standard_normal((300, dim)) * 0.1 / np.sqrt(dim))  # near copies of one another
+    rows = np.concatenate([x, near, group])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    exact = unit(rows) @ unit(rows).T >= 0.9
+    want = exact.sum(1) - 1
+    got = {r.vec_id: r for r in vecdedup.near_duplicates(df, tile_rows=400).collect()}
+    found = np.array([got[i].n_links for i in range(len(rows))])
+    assert (found <= want).all() and found.sum() / want.sum() >= 0.99 and found[:300].sum() / want[:300].sum() >= 0.99
+    assert {got[i].component_id for i in range(1200, 1500)} == {899} and sum(got[i].component_id == i - 900 for i in range(900, 1200)) >= 297
+
+
 def test_needed_collisions_keep_the_recall():
     least = vecdedup.needed(16, 2.5, 0.9999)
     p = math.erf(2.5 / math.sqrt(2))

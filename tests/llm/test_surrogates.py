@@ -24,7 +24,7 @@ def luhn(s):
 @pytest.fixture(scope="module")
 def out(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
-    return [r.text for r in surrogates.pseudonymize(df).orderBy("doc_id").collect()]
+    return [r.text for r in surrogates.pseudonymize(df, "k").orderBy("doc_id").collect()]
 
 
 def test_formats_and_types(out):
@@ -53,9 +53,9 @@ def test_original_values_are_gone(out):
 
 def test_distinct_entities_stay_distinct_whatever_collides(spark):
     # eleven-letter names of one pattern collide at the first draws, as there are only 20**3 of them
-    names = spark.range(3000).selectExpr("'name-s-latin' type", "concat('n', id) norm")
-    taken = [r[0] for r in names.select(surrogates._drawn(F.col("type"), F.col("norm"), F.lit(0), "k")).limit(50).collect()]
-    entities = names.union(spark.createDataFrame([("name-s-latin", t) for t in set(taken)], "type string, norm string")).distinct()
+    names = spark.range(3000).selectExpr("'name-latin' type", "concat('n', id) norm", "'s' role")
+    taken = [r[0] for r in names.select(surrogates._drawn(F.col("type"), F.col("norm"), F.lit(0), "k", F.col("role"))).limit(50).collect()]
+    entities = names.union(spark.createDataFrame([("name-latin", t, "s") for t in set(taken)], "type string, norm string, role string")).distinct()
     got = surrogates.surrogates(entities, common.shared_dir(spark), "k").collect()
     assert len(got) == entities.count() == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & {r.norm for r in got}
 
@@ -67,18 +67,72 @@ def test_key_changes_surrogates_and_reruns_agree(spark):
 
 
 def test_hard_documents(spark, hard_docs, no_docs):
-    rows = surrogates.pseudonymize(hard_docs.withColumn("_of", F.lit("1.2.3.4"))).collect()
+    rows = surrogates.pseudonymize(hard_docs.withColumn("_of", F.lit("1.2.3.4")), "k").collect()
     before = {(r.doc_id, r.text) for r in hard_docs.collect()}
     assert len(rows) == hard_docs.count() and {(r.doc_id, r.text) for r in rows} == before and all(r.n_mentions == 0 and r.hash == "h" for r in rows)
     long = spark.createDataFrame([(1, "a@" * 5000), (2, "1" * 60000), (3, "x" * 60000 + "@y.z"), (4, "a@b.cd " * 4000)], "doc_id long, text string")
-    assert [r.n_mentions for r in surrogates.pseudonymize(long).orderBy("doc_id").collect()] == [0, 0, 0, 4000]
-    assert surrogates.pseudonymize(no_docs).count() == 0
+    assert [r.n_mentions for r in surrogates.pseudonymize(long, "k").orderBy("doc_id").collect()] == [0, 0, 0, 4000]
+    assert surrogates.pseudonymize(no_docs, "k").count() == 0
 
 
 def test_long_and_upper_case_secrets_are_replaced_whole(spark):
     password, digits = "q7" * 150, "0123456789abcdef" * 8
     texts = [f"password={password} end", f"a {digits} b", f"a {digits.upper()} b", "a " + "ABCDEF0123456789" * 2 + " b"]
-    out = [r.text for r in surrogates.pseudonymize(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    out = [r.text for r in surrogates.pseudonymize(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     assert re.fullmatch(r"password=(?:[a-z]\d){150} end", out[0]) and password[200:] not in out[0]
     assert re.fullmatch(r"a [a-f0-9]{128} b", out[1]) and out[1] != texts[1] and out[2] == "a " + out[1][2:-2].upper() + " b"
     assert re.fullmatch(r"a [A-F0-9]{32} b", out[3]) and out[3] != texts[3]
+
+
+def replaced(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in surrogates.pseudonymize(df, "k").orderBy("doc_id").collect()]
+
+
+def test_one_person_under_all_titles_and_without_one(spark):
+    a, b, c, d = replaced(spark, "Mrs Anna Smith met Dr Anna Smith.", "Dr Anna Smith spoke; Smith left, ANNA stayed. Smithson's didn't.", "Anna Smith, unnamed elsewhere", "Prof Anna")
+    m = re.fullmatch(r"Mrs (\w+na) (\w+r) met Dr (\w+) (\w+)\.", a)
+    assert m and m[1] == m[3] and m[2] == m[4]
+    assert b == f"Dr {m[1]} {m[2]} spoke; {m[2]} left, {m[1].upper()} stayed. Smithson's didn't."
+    assert c == "Anna Smith, unnamed elsewhere" and d == f"Prof {m[1]}"  # without any title it's a word like others
+
+
+def test_parts_of_names(spark):
+    a, b, c = replaced(spark, "Mr. Jean-Luc and Mr McDonald", "Ms. O'Brien's dog; Brien slept", "Mr " + "Abcdefghij" * 6 + " end")
+    assert re.fullmatch(r"Mr\. \w+-\w+ and Mr \w+", a) and not re.search("Jean|Luc|Donald", a)
+    m = re.fullmatch(r"Ms\. O'(\w+)'s dog; (\w+) slept", b)
+    assert m and m[1] == m[2] != "Brien" and "Abc" not in c and c.endswith(" end")
+
+
+def test_national_and_international_forms_are_one(spark):
+    a, b, c = replaced(spark, "+1 988-555-2485 or 988-555-2485", "(988) 555-2485", "+44 20 7946 0018")
+    m = re.fullmatch(r"\+1 (\d{3})-(\d{3})-(\d{4}) or (\d{3}-\d{3}-\d{4})", a)
+    assert m and m[4] == f"{m[1]}-{m[2]}-{m[3]}" != "988-555-2485" and b == f"({m[1]}) {m[2]}-{m[3]}" and re.fullmatch(r"\+4\d \d\d \d{4} \d{4}", c)
+
+
+def test_accounts_addresses_and_tokens(spark):
+    texts = ["DE89 3704 0044 0532 0130 00 and DE89370400440532013000", "at 2001:0db8:85a3:0000:0000:8a2e:0370:7334, fe80::1ff:fe23:4567 at 12:34:56", "sk_live_4eC39HqLyjWDarjtT1 ghp_16C7e42F292c6912E7710c838347Ae178B4a"]
+    a, b, c = replaced(spark, *texts)
+    m = re.fullmatch(r"(DE\d\d(?: \d{4}){4} \d\d) and (DE\d{20})", a)
+    assert m and m[1].replace(" ", "") == m[2] and int("".join(str(int(x, 36)) for x in m[2][4:] + m[2][:4])) % 97 == 1
+    assert re.fullmatch(r"at 2001:db8(?::[0-9a-f]{4}){6}, 2001:db8(?::[0-9a-f]{4}){6} at 12:34:56", b)
+    assert re.fullmatch(r"sk_live_[A-Za-z0-9]{18} ghp_[A-Za-z0-9]{36}", c) and not set(texts[2].split()) & set(c.split())
+
+
+def test_rows_with_mentions_repeat_lack_ids_and_have_any_columns(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cd", 7), (1, "mail a@b.cd", 7), (None, "mail A@B.CD", None)], "doc_id long, text string, found int").selectExpr("*", "1 as row", "2 as _x", "3 as _of", "4 as whole", "'t' as n_mentions")
+    rows = surrogates.pseudonymize(df, "k").collect()
+    assert len(rows) == 3 and len({r.text.lower() for r in rows}) == 1 and all(r.n_mentions == 1 and (r.row, r._x, r._of, r.whole) == (1, 2, 3, 4) for r in rows) and [r.found for r in rows].count(7) == 2
+
+
+def test_against_a_plain_reading_of_the_corpus(spark):
+    """Every mention goes, everything between stays, equal entities stay equal and different ones different."""
+    kinds = ["user{0}@mail.example.org", "10.20.{0}.{1}", "{0:03d}-45-67{1:02d}", "4539 1488 0343 {0:02d}{1:02d}", "AKIAABCDEFGHIJ{0:03d}{1:03d}"]
+    said = [k.format(i % 7 + 10, i % 5 + 10) for i in range(40) for k in kinds]
+    texts = [f"before {a} middle {b}, after" for a, b in zip(said, reversed(said))]
+    swapped = {}
+    for before, after in zip(texts, replaced(spark, *texts)):
+        got = re.fullmatch(r"before (.+) middle (.+), after", after)
+        for old, new in zip(re.fullmatch(r"before (.+) middle (.+), after", before).groups(), got.groups()):
+            assert swapped.setdefault(old, new) == new and old not in after
+    assert len(set(swapped.values())) == len(swapped) and not set(swapped) & set(swapped.values())
