@@ -63,7 +63,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Scores and token ids are beyond SQL; a test follows planted documents through the stages. A brute-force version of run() is missing.
+#: Scores and token ids are beyond SQL; a test holds run() and every stage against plain versions of them.
 ORACLE_SQL = None
 
 

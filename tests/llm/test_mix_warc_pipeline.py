@@ -1,6 +1,9 @@
 import collections
 import hashlib
 import io
+import itertools
+import math
+import random
 import re
 import zipfile
 import zlib
@@ -9,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import common, mixing, warc
+from tessera.llm import common, linededup, mixing, toxicity, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -148,3 +151,104 @@ def test_pipeline_stages(spark, hard_docs, tmp_path):
     for p in pieces:
         filled[p.sequence_id] += p.length
     assert max(filled.values()) <= 4096
+
+
+def pipeline_corpus(rng):
+    """Documents with toxic ones, shared passages, near copies, empty texts, and sources of different sizes."""
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ne") for b in ("bar", "den", "fil") for c in ("", "us", "or", "et")]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = "\n".join(line(14) for _ in range(5))
+    docs, labels = [], []
+    for i in range(240):
+        lines = [line(rng.randint(4, 16)) for _ in range(rng.randint(1, 9))]
+        if i % 12 == 3:
+            lines.insert(rng.randrange(len(lines) + 1), passage)
+        if toxic := i % 6 == 0:
+            at = rng.randrange(len(lines))
+            lines[at] = lines[at] + " " + " ".join(rng.choice(["grubface", "grubnose", "grubfoot"]) for _ in range(3))
+        text = "\n".join(lines)
+        if i % 17 == 5:
+            text = docs[-1][1].replace(docs[-1][1].split()[0], "other", 1)  # a near copy of the one before
+        docs.append((i, text, "en", f"s{min(i % 5, 2)}", len(text)))
+        labels.append((i, int(toxic)))
+    docs += [(500, "", "en", "s0", 0), (501, None, None, None, None), (502, " \n ", "en", "s1", 3)]
+    return docs, labels
+
+
+def test_pipeline_against_plain_versions_of_its_stages(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    duckdb = pytest.importorskip("duckdb")
+    from test_pairs import joined, shingles
+    from test_tokens import WORD, crc, ids_of
+    from test_toxicity import brute_force
+
+    docs, labels = pipeline_corpus(random.Random(4))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    step, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        step = common.materialize(stage(spark, step, str(tmp_path)), f"file://{tmp_path}", f"stage-{k}")
+        kept.append([(r.doc_id, r.text, r.source) for r in step.collect()])
+
+    # toxicity: dictionaries instead of tables, a loop instead of Arrow
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    text = {d[0]: d[1] or "" for d in docs}
+    counted = [(text[i], c) for i, c in labels if fold(i) not in (0, toxicity.CURVE_FOLD)]
+    p = brute_force(*zip(*counted))
+
+    def evidence(t):
+        d = [math.log(p(w, 1) / p(w, 0)) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", t.encode().lower())]
+        return [sum(d) / max(1, len(d)), sum(max(0, x - toxicity.EXCESS) for x in d) / max(1, math.sqrt(len(d)))]
+
+    curve = [(evidence(text[i]), c) for i, c in labels if fold(i) == toxicity.CURVE_FOLD]
+    b = toxicity.logistic(np.array([e for e, _ in curve]), np.array([c for _, c in curve], float))
+    clean = [d[0] for d in docs if not text[d[0]].strip() or b[0] + np.dot(b[1:], evidence(text[d[0]])) < 0]
+    assert sorted(r[0] for r in kept[0]) == sorted(clean) and len(clean) < 230
+
+    # lines: SQL over what the first stage kept
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW kept AS SELECT * FROM '{tmp_path}/stage-0/*.parquet'")
+    cut = con.execute("SELECT doc_id, text, deleted_lines FROM (" + linededup.SQL_OF.format(docs="kept", w=linededup.MIN_WORDS) + ")").fetchall()
+    want = [(i, t) for i, t, n in cut if not n or t.strip(" ")]
+    assert sorted((r[0], r[1] or "") for r in kept[1]) == sorted((i, t or "") for i, t in want) and any(n for _, _, n in cut)
+
+    # near copies: all pairs
+    sets = {i: shingles(t, 5) for i, t, _ in kept[1]}
+    links = [(x, y) for x, y in itertools.combinations(sets, 2) if sets[x] and sets[y] and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])]
+    top = joined(sets, links)
+    assert sorted(r[0] for r in kept[2]) == sorted(i for i in sets if top[i] == i) and links
+
+    # the mix: whole documents, at most twice, each source at its target
+    sizes, taken = collections.Counter(), collections.Counter()
+    for i, t, s in kept[2]:
+        sizes[s] += len(WORDS.findall(t or ""))
+    for i, t, s in kept[3]:
+        taken[s] += len(WORDS.findall(t or ""))
+    goal = mixing.targets(dict(sizes))
+    drawn = collections.Counter((r[0], r[1], r[2]) for r in kept[3])
+    assert set(drawn) <= {(i, t, s) for i, t, s in kept[2]} and max(drawn.values()) <= 2
+    assert all(abs(taken[s] - goal[s]) <= 0.02 * goal[s] + 1 for s in sizes)
+
+    # packing: every id of every drawn document once, in windows without gaps
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    parts = collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in pieces)
+    for (i, t, _), n in drawn.items():
+        ids = ids_of(WORD, t)
+        held = np.zeros(len(ids), int)
+        for (d, start, length, c), m in parts.items():
+            if d == i:
+                held[start : start + length] += m
+                assert c == crc(ids[start : start + length])
+        assert (held == n).all()
+    windows = collections.defaultdict(list)
+    for r in pieces:
+        windows[r.sequence_id].append((r.offset, r.length))
+    for w in windows.values():
+        at = 0
+        for offset, length in sorted(w):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
