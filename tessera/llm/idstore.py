@@ -30,7 +30,7 @@ from . import common, tokens
 #: Bounds and mean of a chunk's ids; the mean is a power of two. The rolling hash looks at WINDOW ids, fewer than LEAST.
 LEAST, MEAN, MOST, WINDOW = 64, 256, 1024, 16
 #: Addresses that a task remembers, so as to pass on equal chunks once.
-KNOWN = 1 << 20
+KNOWN = 1 << 18
 
 _GEAR = np.random.default_rng(10).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 

@@ -9,6 +9,7 @@ never pass for one another.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -22,7 +23,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Ends each document.
 END_ID = 2
 #: Words whose ids a Python worker keeps, and the longest word that is kept: together a bound on memory.
-KEPT_WORDS, LONGEST_KEPT = 600_000, 48
+KEPT_WORDS, LONGEST_KEPT = 1_000_000, 48
+#: Words that are looked up first.
+HOT_WORDS = 30_000
 #: Texts of so many characters are encoded together.
 _TOGETHER = 1 << 21
 #: White space to Python's str only; white space beside the space and the line feed, of the first 256 characters and all.
@@ -72,7 +75,7 @@ class Encoder:
         # the strings of special tokens are cut out before anything else, so a text with one is encoded as it is
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line = self.tokenizer.model.tokenize(_LINE)[0].id.to_bytes(4, "little")
-        self.kept_words, self.ids, self.tails = kept_words, {}, {"": b""}
+        self.kept_words, self.ids, self.hot, self.tails = kept_words, {}, {}, {"": b""}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -133,7 +136,16 @@ class Encoder:
         return None if "" in words or "\n" in words else words
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
+        """Python's search for cycles would look through all words time and again; here are none."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encoded([t or "" for t in texts])
+        finally:
+            if on:
+                gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._direct(texts)
         out: list[bytes] = [b""] * len(texts)
@@ -154,10 +166,23 @@ class Encoder:
         return out
 
     def _together(self, held: list[tuple[int, list[str]]], out: list[bytes]) -> None:
-        get = self.ids.get
-        found = [list(map(get, words)) for _, words in held]
-        open_ = [[k for k, x in enumerate(ids) if x is None] if None in ids else [] for ids in found]
-        new = {words[k] for (_, words), at in zip(held, open_) for k in at}
+        """Look words up among the hot ones, which fit in a core's cache, then among all, then learn what is left."""
+        hot, get = self.hot.get, self.ids.get
+        found, open_, new = [list(map(hot, words)) for _, words in held], [], set()
+        for (_, words), ids in zip(held, found):
+            at = [k for k, x in enumerate(ids) if x is None]
+            rest = [words[k] for k in at]
+            got = list(map(get, rest))
+            if len(self.hot) < HOT_WORDS:
+                self.hot.update((w, x) for w, x in zip(rest, got) if x is not None)  # seen before: common words come first
+            left = []
+            for k, w, x in zip(at, rest, got):
+                if x is None:
+                    left.append(k)
+                    new.add(w)
+                else:
+                    ids[k] = x
+            open_.append(left)
         learned: dict[str, bytes] = {}
         if new and self.spaced:
             learned = self._learned([w for w in new if w[0] != "\n"], True)
@@ -170,7 +195,9 @@ class Encoder:
             whole = b"".join(ids)
             out[i] = whole[len(self.line) :] if self.spaced else whole  # a line feed was put before the first word
         if len(self.ids) + len(learned) > self.kept_words:
-            self.ids.clear()  # common words are soon known again
+            self.ids.clear()  # what is common is hot, or soon known again
+        if len(self.hot) > self.kept_words:
+            self.hot.clear()
         if learned and max(map(len, learned)) > LONGEST_KEPT:
             learned = {w: x for w, x in learned.items() if len(w) <= LONGEST_KEPT}
         self.ids.update(learned)
