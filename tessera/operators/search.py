@@ -86,8 +86,14 @@ def bm25(df: DataFrame, fields: list[str], query: str, alias: str, by: str | Non
         return df.withColumn(alias, F.lit(0.0))
     stats, score = [], F.lit(0.0)
     for i, f in enumerate(fields):
-        words = terms(F.coalesce(F.col(f).cast("string"), F.lit("")), language)
-        df = df.withColumn(f"__bm{i}", F.struct(F.size(words).alias("dl"), *[_times(words, w).alias(f"t{j}") for j, w in enumerate(distinct)]))
+        text = F.coalesce(F.col(f).cast("string"), F.lit(""))
+        if language is None:  # counted in place: no array of words is made
+            df = df.withColumn("__low", F.lower(text))
+            counts = [F.regexp_count("__low", F.lit(rf"(?<![\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])")) for w in distinct]
+            df = df.withColumn(f"__bm{i}", F.struct(F.regexp_count("__low", F.lit(r"[\p{L}\p{N}]++")).alias("dl"), *[c.alias(f"t{j}") for j, c in enumerate(counts)])).drop("__low")
+        else:
+            words = terms(text, language)
+            df = df.withColumn(f"__bm{i}", F.struct(F.size(words).alias("dl"), *[_times(words, w).alias(f"t{j}") for j, w in enumerate(distinct)]))
         held = F.col(f).isNotNull()
         stats += [F.sum(F.when(held, 1)).alias(f"n{i}"), F.avg(F.when(held, F.col(f"__bm{i}.dl"))).alias(f"avg{i}")]
         stats += [F.sum(F.when(F.col(f"__bm{i}.t{j}") > 0, 1).otherwise(0)).alias(f"df{i}_{j}") for j in range(len(distinct))]

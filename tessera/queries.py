@@ -110,6 +110,7 @@ def _grouping() -> None:
     TEXTS["group_topk"] = ("{ Orders(groupBy: [o_custkey], order: [{_alias: {n: DESC}}, {o_custkey: ASC}], limit: 10) { o_custkey n: COUNT(GROUP: {}) } }", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 10")
     TEXTS["order_multi"] = ("{ Orders(order: [{o_orderstatus: ASC}, {o_totalprice: DESC}, {o_orderkey: ASC}], limit: 50) { o_orderkey o_orderstatus } }", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderstatus NULLS FIRST, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50")
     TEXTS["limit_offset"] = ("{ Orders(order: {o_orderkey: ASC}, limit: 7, offset: 13) { o_orderkey } }", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 13")
+    TEXTS["scan_all"] = ("{ Orders { o_orderkey o_custkey o_totalprice } }", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
     TEXTS["limit_zero"] = ("{ Region(limit: 0) { r_name } }", "SELECT r_name FROM region")
     TEXTS["flagship_orders"] = ('{ Orders(filter: {o_totalprice: {_gt: 1000}, o_orderstatus: {_eq: "F"}}, order: [{o_totalprice: DESC}, {o_orderkey: ASC}], limit: 20) { o_orderkey o_totalprice } }', "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
     TEXTS["cursor_first"] = ("{ Orders(first: 5, order: {o_orderkey: ASC}) { o_orderkey } }", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5")
