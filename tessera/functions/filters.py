@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 EPSILON = 2.220446049250313e-16
 ALIASES = {"_ne": "_neq", "_gte": "_geq", "_ge": "_geq", "_lte": "_leq", "_le": "_leq"}
+#: How deep and wide a filter may be; 0: as it likes.
 MAX_DEPTH, MAX_WIDTH = 50, 100
 
 
@@ -119,7 +120,7 @@ def _array(c: Column, op: str, cond: dict, kind: T.DataType) -> Column:
 
 def predicate(c: Column, cond, kind: T.DataType, depth: int = 0) -> Column:
     """A field's condition: operators by name, a bare value for equality, or null."""
-    if depth > MAX_DEPTH:
+    if MAX_DEPTH and depth > MAX_DEPTH:
         raise FilterError("the filter is nested too deeply")
     if not isinstance(cond, dict):
         return equal(c, cond, kind)
@@ -170,6 +171,13 @@ def predicate(c: Column, cond, kind: T.DataType, depth: int = 0) -> Column:
     return out
 
 
+def index_predicate(c: Column, cond: dict, kind: T.DataType) -> Column:
+    """A condition as entries of an index meet it: what isn't text meets no pattern, not even a negated one; rows themselves do (``predicate``)."""
+    patterns = {"_like", "_ilike", "_nlike", "_nilike"} & set(cond)
+    out = predicate(c, cond, kind)
+    return out & F.lit(isinstance(kind, T.StringType)) & c.isNotNull() if patterns else out
+
+
 def json_path(c: Column, path: list[str], cond, kind: T.DataType) -> Column:
     """A condition below keys of a JSON object; a missing key meets only a null operand, ``_in`` and ``_nin`` as null."""
     if isinstance(cond, dict) and cond and not next(iter(cond)).startswith("_"):
@@ -195,7 +203,7 @@ def json_path(c: Column, path: list[str], cond, kind: T.DataType) -> Column:
 
 def compile_filter(cond: dict | None, field: Callable[[str, object], Column | None], schema: T.StructType, col: Callable[[str], Column] = F.col, depth: int = 0) -> Column:
     """The whole filter. ``field`` may answer for keys that aren't columns (relations, aliases)."""
-    if depth > MAX_DEPTH or cond and len(cond) > MAX_WIDTH:
+    if MAX_DEPTH and depth > MAX_DEPTH or MAX_WIDTH and cond and len(cond) > MAX_WIDTH:
         raise FilterError("the filter is too deep or too wide")
     out = F.lit(True)
     for key, v in (cond or {}).items():

@@ -88,6 +88,9 @@ def _more() -> None:
     TEXTS["agg_of_agg"] = ("{ Nation { n_nationkey most: SUM(customers: {field: n}) customers { n: COUNT(orders: {}) } } }", "SELECT n_nationkey, CAST(count(o_orderkey) AS BIGINT) AS most FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
     TEXTS["group_limited_sum"] = ("{ Orders(groupBy: [o_custkey]) { o_custkey s: SUM(GROUP: {field: o_orderkey, limit: 3}) } }", "SELECT o_custkey, CAST(sum(o_orderkey) AS BIGINT) AS s FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderkey AS VARCHAR)) AS r FROM orders) WHERE r <= 3 GROUP BY 1")
     TEXTS["group_of_groups_agg"] = ("{ Orders(groupBy: [o_orderstatus]) { o_orderstatus top: MAX(GROUP: {field: n}) GROUP(groupBy: [o_orderpriority]) { o_orderpriority n: COUNT(GROUP: {}) } } }", "SELECT o_orderstatus, CAST(max(n) AS BIGINT) AS top FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1")
+    TEXTS["agg_fields"] = ("{ Part { p_partkey s: SUM(p_size: {}, p_partkey: {}) a: AVG(p_size: {}, p_retailprice: {}) m: MAX(p_size: {}, p_retailprice: {}) } }", "SELECT p_partkey, CAST(p_size + p_partkey AS BIGINT) AS s, (p_size + p_retailprice) / 2 AS a, greatest(CAST(p_size AS DOUBLE), p_retailprice) AS m FROM part")
+    TEXTS["agg_array_filtered"] = ("{ Embedding { vec_id n: COUNT(embedding: {filter: {_gt: 0.1}}) } }", "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0.1)) AS BIGINT) AS n FROM embeddings")
+    TEXTS["limit_after_aggregate"] = ("{ Orders(order: [{_alias: {n: DESC}}, {o_orderkey: ASC}], limit: 12) { o_orderkey n: COUNT(lineitems: {filter: {l_quantity: {_gt: 10}}}) } }", "SELECT o_orderkey, CAST(count(l_orderkey) AS BIGINT) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 10 GROUP BY 1 ORDER BY n DESC, o_orderkey LIMIT 12")
     TEXTS["directives"] = ("query($x: Boolean = true) { Region { r_regionkey r_name @skip(if: $x) ... @include(if: $x) { name: r_name } } }", "SELECT r_regionkey, r_name AS name FROM region")
 
 
@@ -136,6 +139,8 @@ SQL = {
     "sql_in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
     "sql_not_in_subquery": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "sql_between": "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 10 AND p_brand IS NOT NULL",
+    "sql_order_limit": "SELECT o_orderkey, -o_totalprice AS negative FROM orders WHERE o_orderpriority LIKE '%H' OR o_orderstatus IN ('P') ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 5",
+    "sql_having_or": "SELECT l_suppkey, CAST(count(*) AS BIGINT) AS n, max(l_quantity) AS most FROM lineitem GROUP BY l_suppkey HAVING count(*) > 620 OR max(l_quantity) < 50 AND NOT count(*) = 600",
     "sql_synthetic": "SELECT 1 AS one, CAST('2' AS INT) AS two",
 }
 
@@ -457,6 +462,19 @@ def policy_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(c, "{ Customer(groupBy: [c_nationkey]) { c_nationkey n: COUNT(GROUP: {}) } }")
 
 
+def show_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted documents show only if they are asked for."""
+    c = tables(spark, sf_dir)
+    rows = c["Customer"].load
+    c.add("Past", lambda: history.deleted(rows().withColumn("_deleted", F.lit(False)), F.col("c_nationkey") == 7), "c_custkey")
+    return query(c, "{ Past(showDeleted: true, filter: {c_nationkey: {_leq: 7}}) { c_custkey _deleted } }").union(query(c, "{ Past(filter: {c_nationkey: {_geq: 7}}) { c_custkey _deleted } }"))
+
+
+def counter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that stop at the bounds of 64 bits; these stay far from them."""
+    return history.counters(_log(spark, sf_dir).withColumn("delta", F.col("value").cast("long")), saturate=True)
+
+
 def encrypted_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables(spark, sf_dir)
     rows = c["Customer"].load
@@ -533,6 +551,8 @@ FUNCTIONS: dict[str, tuple[Query, str]] = {
     "commits_sum": (_of_activity('{ s: SUM(_commits: {field: delta, fieldName: "view"}) n: COUNT(_commits: {fieldName: "view"}) }'), _commits_sql("CAST(sum(event_id) AS DOUBLE) AS s, CAST(count(*) AS BIGINT) AS n", "f = 'view'")),
     "commits_group": (_of_activity('{ _commits(groupBy: [fieldName]) { fieldName n: COUNT(GROUP: {}) top: MAX(GROUP: {field: height}) } }'), _commits_sql("f AS \"fieldName\", CAST(count(*) AS BIGINT) AS n, CAST(max(h) AS BIGINT) AS top", "true GROUP BY f") + " UNION ALL SELECT '_C', CAST(count(*) AS BIGINT), (SELECT max(k) FROM (SELECT count(*) AS k FROM events GROUP BY user_id)) FROM events"),
     "version_of": (version_of, "SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS top FROM events GROUP BY 1"),
+    "show_deleted": (show_deleted, "SELECT c_custkey, c_nationkey = 7 AS _deleted FROM customer WHERE c_nationkey <= 7 UNION ALL SELECT c_custkey, false FROM customer WHERE c_nationkey > 7"),
+    "counter_replay": (counter_replay, "SELECT user_id AS doc_id, event_type AS field, CAST(sum(event_id) AS BIGINT) AS value FROM events GROUP BY 1, 2"),
     "rollup_whole": (rollup_whole, _roll_sql("day", "event_type").replace(" GROUP BY event_type, w", " GROUP BY event_type, w HAVING max(date_trunc('hour', ts)) + INTERVAL 1 hour >= w + INTERVAL 1 day")),
     "rollup_latest": (rollup_latest, "SELECT * FROM (" + _roll_sql("day", "user_id") + ") QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY window_start DESC) = 1"),
     "rollup_sources": (rollup_sources, "SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, arg_max(event_id, (epoch_us(ts), event_id)) AS source_doc_id, max(epoch_us(ts)) AS source_height FROM events GROUP BY 1, 2"),

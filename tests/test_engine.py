@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import filters
 from tessera.functions.filters import FilterError
 from tessera.operators import history, rollup, search, views
 from tessera.plans import cursor
@@ -44,6 +45,18 @@ def test_filter_errors(books):
             query(books, f"{{ Author(filter: {cond}) {{ id }} }}").collect()
 
 
+def test_limits_can_be_switched_off_and_indexes_know_only_text(books, monkeypatch):
+    deep = "{_not: " * 61 + "{id: 1}" + "}" * 61
+    with pytest.raises(FilterError):
+        query(books, f"{{ Author(filter: {deep}) {{ id }} }}")
+    monkeypatch.setattr(filters, "MAX_DEPTH", 0)
+    assert query(books, f"{{ Author(filter: {deep}) {{ id }} }}").count() == 3
+    rows = books["Author"].load()
+    count = lambda f, c, cond: rows.where(f(F.col(c), cond, rows.schema[c].dataType)).count()
+    assert count(filters.predicate, "age", {"_nlike": "x"}) == 4 and count(filters.index_predicate, "age", {"_nlike": "x"}) == 0
+    assert count(filters.predicate, "name", {"_nlike": "A%"}) == 3 and count(filters.index_predicate, "name", {"_nlike": "A%"}) == 2
+
+
 def test_operands_of_another_kind(books):
     ids = lambda cond: sorted(r.id for r in query(books, f"{{ Author(filter: {cond}) {{ id }} }}").collect())
     assert ids("{name: {_gt: 3}}") == [] and ids("{name: {_eq: 3}}") == [] and ids("{ok: {_leq: 1}}") == [] and ids("{name: {_neq: 3}}") == [1, 2, 3, 4]
