@@ -342,4 +342,5 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, d
 
 
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their components; nulls, empty texts and repeats as in ``near_duplicates``."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), width=4)

@@ -296,6 +296,7 @@ def read_ids(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as read back from the store; nulls and repeats as in ``write_store``."""
     root = common.shared_dir(spark)
     store_root = write_store(common.table(spark, sf_dir, "documents"), root, tokens.public_path("byte_bpe_50k.json"))
     return read_digests(spark, root, store_root)

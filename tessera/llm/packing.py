@@ -157,4 +157,5 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, grain: int
 
 
 def op5_pack_differencing(spark, sf_dir: str) -> DataFrame:
+    """All documents' pieces; nulls and repeats as in ``pack``."""
     return pack(common.table(spark, sf_dir, "documents"), tokens.public_path("word_bpe_49k.json"))

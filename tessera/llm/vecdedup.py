@@ -194,4 +194,5 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
 
 
 def op8_vector_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their links; those that link with nothing, and repeats, as in ``near_duplicates``."""
     return near_duplicates(common.table(spark, sf_dir, "embeddings"))

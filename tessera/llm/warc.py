@@ -1,8 +1,9 @@
 """WARC records in ZIP-packaged archives: writing, and reading by range without extraction.
 
 An archive is a ZIP file whose members are stored, not deflated: pairs of a
-``.warc.gz`` segment (each record a gzip member of its own) and its index,
-a line for each record with its place. The reader parses the end record, its
+``.warc.gz`` segment (a warcinfo record, then each page's, every one a gzip
+member of its own) and its index in CDXJ, a line for each page's record with
+its key, time and place. The reader parses the end record, its
 ZIP64 form where needed and the central directory, finds segments and indexes
 by name, and reads runs of records by their ranges.
 """
@@ -38,19 +39,51 @@ RUNS = pa.schema([("path", pa.string()), ("start", pa.int64()), ("offsets", pa.l
 RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+#: What pages that carry no time are dated.
+DATE = "2024-01-01T00:00:00Z"
+
+
+def record_id(page_id: int | None, digest: str, more: str = "") -> str:
+    """A record's name; of a response it follows from page and payload, so revisits know it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{more}')}>"
+
+
+def _lines(fields: list[tuple[str, str]]) -> bytes:
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE, more: str = "") -> bytes:
     """A WARC/1.1 record: a response with ``payload`` in an HTTP message, or a revisit of another page's without it."""
     kind = "response" if refers_to is None else "revisit"
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if kind == "revisit" else head + payload
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", "2024-01-01T00:00:00Z")]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, digest, more)), ("WARC-Date", date)]
+    if page_id is not None:
+        fields.append(("X-Page-ID", str(page_id)))
     if url is not None:
-        fields.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url)))
+        fields.append(("WARC-Target-URI", _quoted(url)))
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload)))]
     if refers_to is not None:
-        fields += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        fields += [("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page", str(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
+    return _lines(fields) + block + b"\r\n\r\n"
+
+
+def _quoted(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def info(name: str, date: str = DATE) -> bytes:
+    """The warcinfo record that a segment begins with."""
+    block = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
+    return _lines([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, name)), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]) + block + b"\r\n\r\n"
+
+
+def url_key(url: str | None) -> str:
+    """An index's key of a URL: the host's parts from the last to the first, then the path, in lower case."""
+    m = re.match(r"(?i)[a-z][a-z0-9+.-]*://([^/?#:]*)(?::\d+)?([^#]*)", url or "")
+    key = f"{','.join(reversed(m[1].split('.')))}){m[2] or '/'}" if m else url or "-"
+    return _quoted(key.lower())
 
 
 def parsed(data: bytes) -> tuple:
@@ -60,18 +93,18 @@ def parsed(data: bytes) -> tuple:
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
     f = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-    page = lambda s: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", s)) else None
+    page = int(f["x-page-id"]) if "x-page-id" in f else None
     block = rest[: int(f["content-length"])]
     url = f.get("warc-target-uri")
     url = url and re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url)
     said = f["warc-payload-digest"].removeprefix("sha256:")
     if f["warc-type"] != "response":
-        return page(f["warc-record-id"]), url, f["warc-type"], int(f["x-payload-length"]), said, page(f["warc-refers-to"]), None
+        return page, url, f["warc-type"], int(f["x-payload-length"]), said, int(f["x-refers-to-page"]), None
     payload = block.partition(b"\r\n\r\n")[2]
     digest = hashlib.sha256(payload).hexdigest()
     if digest != said:
         raise ValueError(f"the payload of {f['warc-record-id']} doesn't match its digest")
-    return page(f["warc-record-id"]), url, "response", len(payload), digest, None, payload
+    return page, url, "response", len(payload), digest, None, payload
 
 
 class Member(NamedTuple):
@@ -156,18 +189,23 @@ class _Out(io.RawIOBase):
         pass
 
 
-def _write(batches: common.Batches, root: str, segment_bytes: int) -> common.Batches:
+def _write(batches: common.Batches, root: str, segment_bytes: int, date: str) -> common.Batches:
     from pyspark import TaskContext
 
     store, top = pafs.FileSystem.from_uri(root)
     store.create_dir(top, recursive=True)
-    archive, records, segment, index, segments = None, 0, bytearray(), [], 0
+    archive, records, segment, index, segments, seen = None, 0, bytearray(), [], 0, set()
     name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}.zip"  # another attempt writes another file
 
+    def squeezed(data: bytes) -> bytes:
+        squeeze = zlib.compressobj(3, zlib.DEFLATED, 31)
+        return squeeze.compress(data) + squeeze.flush()
+
     def close_segment() -> None:
         nonlocal segments
         archive.writestr(f"archive/segment-{segments:05d}.warc.gz", bytes(segment))
-        archive.writestr(f"indexes/segment-{segments:05d}.cdxj", "".join(json.dumps({"offset": o, "length": n}) + "\n" for o, n in index))
+        lines = sorted(f"{key} {re.sub('[^0-9]', '', date)} {json.dumps(x)}\n" for key, x in index)
+        archive.writestr(f"indexes/segment-{segments:05d}.cdxj", "".join(lines))
         segment.clear()
         index.clear()
         segments += 1
@@ -177,13 +215,20 @@ def _write(batches: common.Batches, root: str, segment_bytes: int) -> common.Bat
             if archive is None:
                 stream = store.open_output_stream(f"{top}/{name}")
                 archive = zipfile.ZipFile(_Out(stream), "w", zipfile.ZIP_STORED)
-            squeeze = zlib.compressobj(3, zlib.DEFLATED, 31)
-            data = squeeze.compress(record(page_id, url, (html or "").encode(), digest, refers_to)) + squeeze.flush()
-            index.append((len(segment), len(data)))
+            part = f"segment-{segments:05d}.warc.gz"
+            if not segment:
+                segment += squeezed(info(f"{name}/{part}", date))
+            # of rows that have all in common only the first has the plain name
+            more = "" if refers_to is None and page_id is not None and (page_id, digest) not in seen else f"{name}:{records}"
+            seen.add((page_id, digest))
+            data = squeezed(record(page_id, url, (html or "").encode(), digest, refers_to, date, more))
+            at = {"url": url, "mime": "text/html", "status": "200", "digest": f"sha256:{digest}", "offset": str(len(segment)), "length": str(len(data)), "filename": part}
+            index.append((url_key(url), at))
             segment += data
             records += 1
             if len(segment) >= segment_bytes:
                 close_segment()
+                seen.clear()
     if archive is not None:
         if index:
             close_segment()
@@ -193,13 +238,14 @@ def _write(batches: common.Batches, root: str, segment_bytes: int) -> common.Bat
         yield common.batch_of(MADE, [[f"{root}/{name}"], [size], [records]])
 
 
-def write_archives(pages: DataFrame, root: str, segment_bytes: int = SEGMENT_BYTES, salts: int = 16) -> DataFrame:
+def write_archives(pages: DataFrame, root: str, segment_bytes: int = SEGMENT_BYTES, salts: int = 16, date: str = DATE) -> DataFrame:
     """Write a record for each row of ``pages`` (page_id, url, html); returns a row for each archive: path, bytes, records.
 
     Of equal payloads of 100 bytes or more, that of the smallest page_id is a
     response, and those of larger ones revisit it; rows that share the smallest
     page_id, and null page_ids, are responses. A null html is an empty payload.
-    Other columns are ignored. An empty table gives no archive.
+    Other columns are ignored; pages have no time, so all records have ``date``.
+    An empty table gives no archive.
     """
     spark = pages.sparkSession
     html = F.coalesce(common.with_column(pages, "html", "string").cast("string"), F.lit(""))
@@ -211,7 +257,7 @@ def write_archives(pages: DataFrame, root: str, segment_bytes: int = SEGMENT_BYT
     again = digests.withColumn("salt", F.pmod("page_id", F.lit(salts)).cast("int")).join(firsts, ["digest", "salt"]).where("page_id > refers_to")
     again = common.materialize(again.select("page_id", "digest", "refers_to").distinct(), root, "revisits")
     full = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).join(again, ["page_id", "digest"], "left")
-    made = full.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(lambda b: _write(b, f"{root}/archives", segment_bytes), "path string, bytes long, records long")
+    made = full.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(lambda b: _write(b, f"{root}/archives", segment_bytes, date), "path string, bytes long, records long")
     return common.materialize(made, root, "made")
 
 
@@ -231,7 +277,7 @@ def _runs_of(f: pa.NativeFile, path: str) -> Iterator[tuple]:
             continue
         start, index = data_at(f, m), found[name.replace("archive/", "indexes/").removesuffix(".warc.gz") + ".cdxj"]
         lines = f.read_at(index.size, data_at(f, index)).decode().splitlines()
-        places = [(x["offset"], x["length"]) for x in map(json.loads, lines)]
+        places = sorted((int(x["offset"]), int(x["length"])) for x in (json.loads(line.split(" ", 2)[2]) for line in lines))
         i = 0
         while i < len(places):
             j = i + 1
@@ -265,6 +311,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page's record; nulls, ties and repeats as in ``write_archives``."""
     made = write_archives(common.table(spark, sf_dir, "pages"), common.shared_dir(spark))
     return read_archives(made, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -1,4 +1,5 @@
 import collections
+import gzip
 import hashlib
 import io
 import itertools
@@ -127,6 +128,26 @@ def test_broken_payloads_are_found():
     assert zlib.decompress(zlib.compress(good)) == good
 
 
+def test_archives_are_named_indexed_and_described(spark):
+    root = common.shared_dir(spark)
+    made = warc.write_archives(pages(spark).coalesce(1), root, segment_bytes=5000, date="2020-02-03T04:05:06Z").collect()
+    assert warc.url_key("HTTP://Www.Example.com:80/a b?q=1#x") == "com,example,www)/a%20b?q=1" and warc.url_key(None) == "-"
+    with zipfile.ZipFile(made[0].path.removeprefix("file://")) as z:
+        names = z.namelist()
+        segments = [n for n in names if n.endswith(".warc.gz")]
+        ids, lines = [], 0
+        for n in segments:
+            index = z.read(n.replace("archive/", "indexes/").replace(".warc.gz", ".cdxj")).decode().splitlines()
+            assert index == sorted(index) and all(line.split(" ")[1] == "20200203040506" for line in index)
+            lines += len(index)
+            data = gzip.decompress(z.read(n))
+            assert data.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and data.count(b"WARC-Type: warcinfo") == 1
+            ids += re.findall(rb"WARC-Record-ID: (\S+)", data)
+        whole = b"".join(gzip.decompress(z.read(n)) for n in segments)
+    assert lines == pages(spark).count() and len(ids) == len(set(ids)) == lines + len(segments)
+    assert set(re.findall(rb"WARC-Refers-To: (\S+)", whole)) <= set(ids)
+
+
 def test_pipeline_stages(spark, hard_docs, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     filler = [(1000 + i, " ".join(f"w{(i * 37 + j) % 900}" for j in range(80)), "en", f"s{i % 3}", 1) for i in range(60)]

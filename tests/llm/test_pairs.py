@@ -111,6 +111,36 @@ def test_hyperminhash_against_brute_force(spark, hard_docs, monkeypatch, block):
     assert len({want[d] for d in range(1000, 1060)}) < 60
 
 
+def test_near_copies_of_long_texts_are_not_lost(spark):
+    rng = random.Random(6)
+    rows, want = [], []
+    for i in range(30):  # some 3000 shingles, similarity between 0.8 and 0.85
+        words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+        copy = list(words)
+        while True:
+            trial = list(copy)
+            for k in rng.sample(range(3000), 10):
+                trial[k] = f"x{rng.randrange(10**6)}"
+            a, b = shingles(" ".join(words), 4), shingles(" ".join(trial), 4)
+            if 100 * len(a & b) < 80 * len(a | b):
+                break
+            copy = trial
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        want += [2 * i, 2 * i]
+    got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    assert [got[i] for i in range(60)] == want
+
+
+def test_samples_of_sets_leave_links_possible():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        both = rng.integers(0, 1 << 32, 5000, dtype=np.uint32)
+        x, y = np.unique(both[:4500]), np.unique(np.concatenate([both[:4000], both[4500:]]))  # a similarity of 0.8
+        n, m = len(x), len(y)
+        cut = lambda v, k: v[v & np.uint32((1 << hyperminhash.level(k)) - 1) == 0].tobytes()
+        assert hyperminhash._near(cut(x, n), cut(y, m), n, m, 0.8)
+
+
 def test_rows_of_one_doc_id_with_different_texts(spark):
     base, other = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     rows = [(1, base + " z"), (2, base), (2, other), (3, other + " z"), (4, base), (None, other)]
