@@ -241,12 +241,14 @@ def test_inverted_lists_and_their_recall(spark, tmp_path):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [1.0])], "id long, v array<double>")
     for metric in ("cosine", "euclidean"):
         ann.build(df, "id", "v", f"{tmp_path}/{metric}", cells=16, metric=metric, sample=1000)
-        found = total = 0
-        for q in range(0, 3000, 300):
+        ann.build(df, "id", "v", f"{tmp_path}/{metric}-pq", cells=16, metric=metric, sample=1000, parts=4)
+        found = quantized = total = 0
+        for q in range(0, 3000, 600):
             want = [r.id for r in df.where("size(v) = 16").withColumn("s", search.similarity(F.col("v"), x[q].tolist(), metric)).orderBy(F.desc("s"), "id").limit(10).collect()]
             got = [r.key for r in ann.search(spark, f"{tmp_path}/{metric}", x[q].tolist(), 10, probes=6).collect()]
-            found, total = found + len(set(got) & set(want)), total + len(want)
-        assert found / total >= 0.9
+            again = [r.key for r in ann.search(spark, f"{tmp_path}/{metric}-pq", x[q].tolist(), 10, probes=6).collect()]
+            found, quantized, total = found + len(set(got) & set(want)), quantized + len(set(again) & set(want)), total + len(want)
+        assert found / total >= 0.9 and quantized / total >= 0.9
         assert [r.key for r in ann.search(spark, f"{tmp_path}/{metric}", x[0].tolist(), 10, probes=16).collect()] == [r.id for r in df.where("size(v) = 16").withColumn("s", search.similarity(F.col("v"), x[0].tolist(), metric)).orderBy(F.desc("s"), "id").limit(10).collect()]
 
 
