@@ -234,8 +234,10 @@ def pseudonymize(docs: DataFrame, key: str, root: str | None = None) -> DataFram
     kept = [c for c in docs.columns if c != "n_mentions"]
     text = docs["text"].cast("string")
     # the columns travel in a struct, so none can clash with those of the join
-    marked = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"), text.alias("text"), F.regexp_extract_all(text, _text(MENTION), F.lit(0)).alias("found"))
-    marked = common.materialize(marked.select("row", F.when(F.size("found") > 0, F.col("text")).alias("text"), F.when(F.size("found") > 0, F.col("found")).alias("found")), root, "marked")
+    others = [docs[c] for c in kept if c != "text"] or [F.lit(0).alias("none")]
+    marked = docs.select(F.struct(*others).alias("row"), text.alias("text"), F.regexp_extract_all(text, _text(MENTION), F.lit(0)).alias("found"))
+    marked = common.materialize(marked.withColumn("found", F.when(F.size("found") > 0, F.col("found"))), root, "marked")
+    back = lambda of: [of.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in kept]
     hit = marked.where("found is not null").select("*", F.xxhash64("text").alias("_x"), F.xxhash64(F.lit(2), "text").alias("_y"))
     found = hit.select("_x", "_y", F.explode(F.array_distinct(F.flatten(F.transform("found", _entities)))).alias("e")).select("_x", "_y", "e.*")
     found = common.materialize(found, root, "found")
@@ -246,15 +248,14 @@ def pseudonymize(docs: DataFrame, key: str, root: str | None = None) -> DataFram
     met = found.select("_x", "_y", "type", "norm").distinct().join(given, ["type", "norm"])
     swaps = met.groupBy("_x", "_y").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("type", F.lit("|"), "norm"), "surrogate"))).alias("_of"), F.bool_or(F.startswith("type", F.lit("name"))).alias("_named"))
     swaps = common.materialize(swaps, root, "swaps")
-    clean = marked.where("found is null").select("row.*").withColumn("n_mentions", F.lit(0).cast("long"))
+    clean = marked.where("found is null").select(*back(F.col("text")), F.lit(0).cast("long").alias("n_mentions"))
     packed = hit.join(swaps, ["_x", "_y"]).select("row", "text", "_of", "_named", "found")
     again = lambda rest: F.when(F.col("_named"), _renamed(rest, _CAPITAL, F.col("_of"))).otherwise(rest)
     pieces = F.split("text", MENTION, -1)
     put = F.zip_with(F.transform("found", lambda v: _rendered(v, F.col("_of"))), F.slice(pieces, 2, F.size("found")), lambda v, rest: F.concat(v, again(rest)))
     whole = F.concat(again(pieces[0]), F.array_join(put, ""))
     some = packed.select("row", whole.alias("whole"), F.size("found").cast("long").alias("n_mentions"))
-    some = some.select(*[F.col("whole").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in kept], "n_mentions")
-    return clean.withColumn("text", F.col("text").cast("string")).union(some)
+    return clean.union(some.select(*back(F.col("whole")), "n_mentions"))
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
