@@ -30,7 +30,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the later copies of runs of lines; one of which nothing is left goes, one that was empty stays."""
-    toxicity.release()  # the stage before has been written
+    toxicity.release(spark)  # the stage before has been written
     cut = linededup.dedup_lines(docs).where("deleted_lines = 0 or length(trim(text)) > 0")
     return _like_documents(cut.withColumn("n_chars", F.when(F.col("deleted_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")))
 

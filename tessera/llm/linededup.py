@@ -87,7 +87,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, root: str | None =
     cuts = common.materialize(cuts.withColumnsRenamed({"doc_id": "_doc", "th": "_th"}), root, "cuts")
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "deleted_lines", "copied_from")]
     # the columns travel in a struct, so none can clash with those of the join
-    packed = docs.select(F.struct(*[docs[c] for c in kept_columns]).alias("row"), docs["doc_id"].cast("long").alias("doc"), docs["text"].cast("string").alias("text"))
+    others = [docs[c] for c in kept_columns if c != "text"]
+    packed = docs.select(F.struct(*others).alias("row"), docs["doc_id"].cast("long").alias("doc"), docs["text"].cast("string").alias("text"))
     met = packed.withColumn("hash", F.xxhash64("text")).join(cuts.hint("merge"), (F.col("doc") == F.col("_doc")) & (F.col("hash") == F.col("_th")), "left")
     split = met.withColumn("lines", F.expr("split(text, '\n', -1)"))
     left = split.withColumn("left", F.expr("if(_cuts is null, lines, filter(lines, (s, i) -> not exists(_cuts, c -> i between c.a and c.b)))"))
