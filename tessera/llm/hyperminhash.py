@@ -2,10 +2,12 @@
 
 A text's shingles are dealt to 128 buckets by the top bits of their hash; a
 bucket's register keeps the least hash in it as the number of its leading zeros
-and 26 bits behind them. Bands of four registers propose pairs; the share of
-equal registers, less what chance collisions of compressed registers add,
-estimates their Jaccard similarity; what isn't clearly below the bound is
-verified on the full shingle sets.
+and 26 bits behind them. Bands of four registers propose pairs; in them an empty
+register stands for the first used one in an order of its own, so that a band
+of a short text is no single shingle, which a frequent passage would give to
+any number of texts. The share of equal registers, less what chance collisions
+of compressed registers add, estimates their Jaccard similarity; what isn't
+clearly below the bound is verified on the full shingle sets.
 
 Texts of equal sets are one node. A band's bucket proposes its members to its
 smallest node first, so a group of copies costs as many pairs as it has
@@ -63,6 +65,24 @@ def compressed(least: np.ndarray, empty: np.ndarray) -> np.ndarray:
     return np.where(empty, 0, (zeros + np.uint64(1)) << np.uint64(MANTISSA) | tail).astype(np.uint32)
 
 
+#: Whom each register asks while it is empty: a row an attempt.
+_ORDERS = np.ascontiguousarray(np.random.default_rng(66).permuted(np.broadcast_to(np.arange(REGISTERS), (REGISTERS, REGISTERS)), axis=1).T)
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Rows of registers, an empty one as the first used one that it meets in its order."""
+    out = regs.copy()
+    left = np.flatnonzero((regs == 0).any(1) & regs.any(1))
+    for order in _ORDERS:
+        if not len(left):
+            break
+        part, own = out[left], regs[left]
+        part = np.where(part == 0, own[:, order], part)
+        out[left] = part
+        left = left[(part == 0).any(1)]
+    return out
+
+
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """How many registers of sets without a common shingle are equal, for sets of n and m shingles.
 
@@ -70,11 +90,18 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     and the same bits behind: the sum, over the cells of hashes that share a
     register, of the chance that both minima fall in it.
     """
-    a, b = np.asarray(n, float)[:, None] / REGISTERS, np.asarray(m, float)[:, None] / REGISTERS
-    z = np.arange(0, 58 - _BITS)
-    lo, cell = 0.5 ** (z + 1), 0.5 ** (z + 1 + MANTISSA)
-    density = lambda x: x * np.exp(-x * lo * 1.4)  # noqa: E731  of the least of x uniform numbers, in the middle of the cells
-    return REGISTERS * (density(a) * density(b) * cell * lo).sum(1)
+    return (_density(n) * _density(m) * _CELLS).sum(1)
+
+
+_LOW = 0.5 ** np.arange(1, 59 - _BITS)
+#: What two densities are weighed by in each cell.
+_CELLS = REGISTERS * _LOW * _LOW * 0.5**MANTISSA
+
+
+def _density(n: np.ndarray) -> np.ndarray:
+    """Of a bucket's least hash of sets of n shingles, in the middle of the cells."""
+    x = np.asarray(n, float)[:, None] / REGISTERS
+    return x * np.exp(-x * _LOW * 1.4)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -121,7 +148,7 @@ def _bands(batches: common.Batches) -> common.Batches:
     for batch in batches:
         for i in range(0, batch.num_rows, 2048):
             part = batch.slice(i, 2048)
-            regs = np.array([np.frombuffer(r, np.uint32) for r in part["registers"].to_pylist()]).reshape(-1, n_bands, BAND)
+            regs = filled(_registers(part["registers"])).reshape(-1, n_bands, BAND)
             keys = mixed((regs.astype(np.uint64) * _MULT).sum(-1, dtype=np.uint64) + np.arange(1, n_bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             on = regs.any(-1)
             nodes = np.broadcast_to(part["node"].to_numpy()[:, None], on.shape)
@@ -159,8 +186,8 @@ def _verified(batches: common.Batches, width: int, num: int, den: int) -> common
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first band that the registers ``a`` share with each row of ``b``, which proposes the pair; -1: none."""
-    same = ((a == b) & (b != 0) | (a == 0) & (b == 0)).reshape(len(b), REGISTERS // BAND, BAND).all(-1) & b.reshape(len(b), REGISTERS // BAND, BAND).any(-1)
+    """The first band that the filled registers ``a`` share with each row of ``b``, which proposes the pair; -1: none."""
+    same = (a == b).reshape(len(b), REGISTERS // BAND, BAND).all(-1) & b.any(-1)[:, None]
     return np.where(same.any(1), same.argmax(1), -1)
 
 
@@ -180,14 +207,70 @@ def _prints(batches: common.Batches, width: int) -> common.Batches:
         yield common.batch_of(schema, [batch["node"], out])
 
 
+class _Sets:
+    """Samples of the sets of a bucket's members, to compare one set with many of them at once."""
+
+    def __init__(self, prints: np.ndarray, n: np.ndarray):
+        self.parts = [np.frombuffer(p, np.uint32) for p in prints]
+        self.levels = np.array([level(int(k)) for k in n])
+        self.names = np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.uint32)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _cut(self, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of members of up to that level what it leaves of their samples, as places in ``names``; each one's start; their lengths."""
+        if top not in self.at:
+            cut = [p[p & np.uint32((1 << top) - 1) == 0] if k <= top else p[:0] for p, k in zip(self.parts, self.levels)]
+            sizes = np.array([len(c) for c in cut])
+            self.at[top] = np.searchsorted(self.names, np.concatenate(cut)), np.concatenate([[0], np.cumsum(sizes)]), sizes
+        return self.at[top]
+
+    def near(self, mine: bytes, n: int, j: np.ndarray, bound: float) -> np.ndarray:
+        """Whether the samples of the members ``j`` and that of a set of n shingles leave the bound possible; up to PRINTS shingles they are the sets."""
+        own, tops, out = np.frombuffer(mine, np.uint32), np.maximum(level(n), self.levels[j]), np.zeros(len(j), bool)
+        for top in np.unique(tops).tolist():
+            places, starts, sizes = self._cut(top)
+            x, at = own[own & np.uint32((1 << top) - 1) == 0], np.flatnonzero(tops == top)
+            mark = np.zeros(len(self.names), bool)
+            mark[np.searchsorted(self.names, x[np.isin(x, self.names)])] = True
+            if 8 * len(at) > len(self.parts):
+                both = np.diff(np.concatenate([[0], np.cumsum(mark[places])])[starts])[j[at]]
+            else:
+                both = np.array([np.count_nonzero(mark[places[starts[k] : starts[k + 1]]]) for k in j[at]])
+            union = np.maximum(1, len(x) + sizes[j[at]] - both)
+            out[at] = both / union >= bound - (MARGIN * np.sqrt(bound * (1 - bound) / union) if top else 0) - 0.01
+        return out
+
+
 def _near(a: bytes, b: bytes, n: int, m: int, bound: float) -> bool:
-    """Whether two samples leave the bound possible; up to PRINTS shingles they are the sets."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    if top := max(level(n), level(m)):
-        x, y = (v[v & np.uint32((1 << top) - 1) == 0] for v in (x, y))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    union = max(1, len(x) + len(y) - both)
-    return both / union >= bound - (MARGIN * math.sqrt(bound * (1 - bound) / union) if top else 0) - 0.01
+    """Whether two samples leave the bound possible."""
+    return bool(_Sets(np.array([b], object), np.array([m])).near(a, n, np.zeros(1, np.int64), bound)[0])
+
+
+def _forest(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which links between the nodes x and y make a spanning forest of the largest e."""
+    names, places = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y, root = places[: len(x)], places[len(x) :], np.arange(len(names))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    kept, order = [], np.argsort(-e, kind="stable")
+    for s in range(0, len(order), 1 << 14):
+        while (root[root] != root).any():
+            root = root[root]
+        part = order[s : s + (1 << 14)]
+        for k in part[root[x[part]] != root[y[part]]].tolist():
+            if (a := top(x[k])) != (b := top(y[k])):
+                root[a] = b
+                kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def _count(x: np.ndarray) -> np.ndarray:
+    """How many of each row's flags are set."""
+    return np.bitwise_count(np.ascontiguousarray(x).view(np.uint64)).sum(1, dtype=np.int64)
 
 
 def _between(batches: common.Batches, num: int, den: int, forest: bool) -> common.Batches:
@@ -201,47 +284,47 @@ def _between(batches: common.Batches, num: int, den: int, forest: bool) -> commo
     at = None
 
     def close() -> pa.RecordBatch | None:
-        rows = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        rows = {k: np.concatenate([h[k] for h in held]) for k in held[0]} if len(held) > 1 else held[0]
         asks, has = rows["ask"].astype(bool), ~rows["ask"].astype(bool)
         if not asks.any() or not has.any():
             return None
         q, c = {k: v[asks] for k, v in rows.items()}, {k: v[has] for k, v in rows.items()}
+        regs, used_c, weighed = c["registers"], c["registers"] != 0, (_density(c["n"]) * _CELLS).T
+        sets: _Sets | None = None
         found = []
-        for i in range(len(q["node"])):
+        for i, density in enumerate(_density(q["n"])):
             ok = (q["component"][i] != c["component"]) & (q["node"][i] != c["node"])
             ok &= den * np.minimum(q["n"][i], c["n"]) >= num * np.maximum(q["n"][i], c["n"])
             if not len(j := np.flatnonzero(ok)):
                 continue
-            a = np.broadcast_to(q["registers"][i], (len(j), REGISTERS))
-            n, m = np.full(len(j), q["n"][i]), c["n"][j]
-            e = estimate(a, c["registers"][j], n, m)
-            ok = e >= margin(((a | c["registers"][j]) != 0).sum(1), n, m, num / den)
-            ok[ok] = _first_shared(q["registers"][i], c["registers"][j[ok]]) == q["band"][i]
-            if "prints" in q:
-                ok[ok] = [_near(q["prints"][i], c["prints"][x], int(q["n"][i]), int(c["n"][x]), num / den) for x in j[ok]]
-            found += [(-e[k], int(q["node"][i]), int(c["node"][j[k]]), int(q["component"][i]), int(c["component"][j[k]])) for k in np.flatnonzero(ok)]
-        if forest:
-            root: dict[int, int] = {}
-
-            def top(x: int) -> int:
-                while root.get(x, x) != x:
-                    x = root[x]
-                return x
-
-            kept = []
-            for _, a, b, x, y in sorted(found):
-                if (x := top(x)) != (y := top(y)):
-                    root[x] = y
-                    kept.append((a, b))
-        else:
-            kept = [f[1:3] for f in found]
-        if not kept:
+            used_q = q["registers"][i] != 0
+            equal = _count((regs[j] == q["registers"][i]) & used_q)
+            used, by_chance = _count(used_c[j] | used_q), (density @ weighed)[j]
+            e = np.maximum(equal - by_chance, 0) / np.maximum(used - by_chance, 1e-9)
+            near = e >= margin(used, np.full(len(j), q["n"][i]), c["n"][j], num / den)
+            j, e = j[near], e[near]
+            if not len(j):
+                continue
+            first = _first_shared(q["filled"][i], c["filled"][j]) == q["band"][i]
+            j, e = j[first], e[first]
+            if "prints" in c and len(j):
+                sets = sets or _Sets(c["prints"], c["n"])
+                near = sets.near(q["prints"][i], int(q["n"][i]), j, num / den)
+                j, e = j[near], e[near]
+            if len(j):
+                found.append((e, np.full(len(j), i), j))
+        if not found:
             return None
-        kept = np.sort(np.array(kept, np.int64), axis=1)
+        e, i, j = (np.concatenate(x) for x in zip(*found))
+        if forest:
+            kept = _forest(e, q["component"][i], c["component"][j])
+            i, j = i[kept], j[kept]
+        kept = np.sort(np.stack([q["node"][i], c["node"][j]], axis=1), axis=1)
         return common.batch_of(schema, [kept[:, 0], kept[:, 1]])
 
     for batch in batches:
         cols = {k: batch[k].to_numpy(zero_copy_only=False) for k in ("node", "component", "n", "ask", "band")} | {"registers": _registers(batch["registers"])}
+        cols["filled"] = filled(cols["registers"])
         if "prints" in batch.schema.names:
             cols["prints"] = batch["prints"].to_numpy(zero_copy_only=False)
         keys = np.stack([batch["key"].to_numpy(), batch["block"].to_numpy().astype(np.int64)])
@@ -286,7 +369,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, d
     nodes = nodes.groupBy(F.col("doc_id").alias("node")).agg(F.min(F.struct("th", F.col("n_shingles").alias("n"), "registers")).alias("s")).select("node", "s.*")
     nodes = common.materialize(nodes, root, "nodes")
 
-    bands = nodes.select("node", "registers").mapInArrow(_bands, "key long, band int, node long")
+    # a set of n links with others only if n / (n + 1) reaches the bound
+    bands = nodes.where(F.col("n") * (den - num) >= num).select("node", "registers").mapInArrow(_bands, "key long, band int, node long")
     shared = bands.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other"), F.count(F.lit(1)).alias("members")).where("center <> other").select("key", "center", "members")
     shared = common.materialize(shared, root, "shared")
     held = common.materialize(bands.join(shared, "key").select("key", "band", "node", "center", "members"), root, "held")

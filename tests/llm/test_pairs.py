@@ -111,6 +111,72 @@ def test_hyperminhash_against_brute_force(spark, hard_docs, monkeypatch, block):
     assert len({want[d] for d in range(1000, 1060)}) < 60
 
 
+def sketched(texts, width=4):
+    import pyarrow as pa
+
+    n = len(texts)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts), pa.array([0] * n, pa.int64())], names=["doc_id", "text", "th"])
+    return next(hyperminhash._sketch(iter([rows]), width))
+
+
+def buckets(texts):
+    import pyarrow as pa
+
+    batch = sketched(texts)
+    rows = pa.RecordBatch.from_arrays([batch["doc_id"], batch["registers"]], names=["node", "registers"])
+    keys = np.concatenate([b["key"].to_numpy() for b in hyperminhash._bands(iter([rows]))])
+    return np.unique(keys, return_counts=True)[1]
+
+
+def test_a_frequent_passage_of_short_texts_makes_no_bucket_of_all_of_them():
+    rng = random.Random(7)
+    texts = [" ".join(["some", "words", "that", "many", "texts", "share"] + [f"w{rng.randrange(10**6)}" for _ in range(20)]) for _ in range(1500)]
+    assert buckets(texts).max() < 30
+
+
+def test_short_texts_at_the_bound_share_a_band():
+    rng = random.Random(8)
+    for n in (4, 8, 12, 20, 40, 90):  # one of n shingles, one of as many and some more
+        both = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(n + 3)) for _ in range(200)]
+        more = [t + "".join(f" x{rng.randrange(10**9)}" for _ in range(n // 4)) for t in both]
+        regs = [hyperminhash.filled(hyperminhash._registers(sketched(t)["registers"])) for t in (both, more)]
+        assert all(hyperminhash._first_shared(a, b[None])[0] >= 0 for a, b in zip(*regs))
+
+
+@pytest.mark.parametrize("top", [0, 2])
+def test_samples_compared_at_once(top):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 32, 500 << top, dtype=np.uint32)
+    sets = [np.unique(np.concatenate([rng.choice(base, k << top, False), rng.integers(0, 1 << 32, (500 - k) << top, dtype=np.uint32)])) for k in range(380, 500, 3)]
+    sets += [s[: len(s) * 9 // 10] for s in sets[::5]]
+    n = np.array([len(s) for s in sets])
+    cut = np.array([s[s & np.uint32((1 << hyperminhash.level(len(s))) - 1) == 0].tobytes() for s in sets], object)
+    for some in (np.arange(len(sets)), np.array([3, 1])):
+        got = hyperminhash._Sets(cut, n).near(cut[0], int(n[0]), some, 0.8)
+        for j, ok in zip(some, got):
+            level = max(hyperminhash.level(int(n[0])), hyperminhash.level(int(n[j])))
+            x, y = ({int(v) for v in sets[k] if int(v) % (1 << level) == 0} for k in (0, j))
+            slack = hyperminhash.MARGIN * math.sqrt(0.16 / len(x | y)) if level else 0
+            assert ok == (len(x & y) / len(x | y) >= 0.8 - slack - 0.01)
+
+
+def test_forest_takes_the_best_links():
+    rng = np.random.default_rng(5)
+    e, x, y = rng.random(3000), rng.integers(0, 200, 3000), rng.integers(0, 200, 3000)
+    kept = hyperminhash._forest(e, x, y)
+    top, want = {k: k for k in range(200)}, []
+    for k in np.argsort(-e):
+        a, b = x[k], y[k]
+        while top[a] != a:
+            a = top[a]
+        while top[b] != b:
+            b = top[b]
+        if a != b:
+            top[a] = b
+            want.append(k)
+    assert sorted(kept.tolist()) == sorted(want)
+
+
 def test_near_copies_of_long_texts_are_not_lost(spark):
     rng = random.Random(6)
     rows, want = [], []
