@@ -1,40 +1,53 @@
 """Near-duplicate vectors by counting collisions of one-dimensional projections.
 
-Unit vectors are projected on fixed random directions. Two vectors collide on a
-projection if one lies in the window centred at the other; the window is a
+Vectors first meet as the sides that they take of 256 fixed random directions,
+32 bytes each: two collide on a direction if they lie on the same side, and a
+pair that collides often enough is a candidate. All classes are dealt to at most
+GROUPS blocks, and a task gets the sides of two blocks, so what is shipped grows
+with the number of vectors only, while the work is that of all pairs, at some
+two nanoseconds each.
+
+Vectors themselves are shipped only where candidates connect them. Within such a
+group they are compared by counting collisions of one-dimensional projections:
+two collide if one lies in the window centred at the other; the window is a
 multiple of the spread that projections of a pair at the similarity bound have.
-A pair is verified by its cosine if it collides often enough: the needed count
-is the largest that a pair at the bound reaches with the wanted recall.
+A pair is verified by its cosine if it collides often enough. Both needed counts
+are the largest that a pair at the bound reaches with the wanted recall.
 
-The first projection is sorted over all vectors; runs of equal length of it are
+A block of a group is sorted by its first projection; runs of equal length are
 tiles with bounding boxes on every projection. Two tiles meet only if their
 boxes allow enough collisions and no projection keeps them further apart than
 any pair at the bound can be; within two tiles the windows of a strip of query
-vectors are counted at once, in bytes. What boxes exclude depends on the data:
-groups lie apart, vectors without any structure in many dimensions do not, and
-then the work is that of all pairs, at a few nanoseconds each.
+vectors are counted at once, in bytes.
 
-Equal vectors are one representative with a weight. A pair of tiles yields
-counts of links and a spanning forest, never the links themselves.
+Equal vectors are one representative with a weight. A pair of blocks yields a
+spanning forest of candidates, or counts of links and a spanning forest, never
+the pairs themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components, forest
-from .vectors import usable
+from .vectors import finite
 
 COSINE, PROJECTIONS, RECALL, SPREAD = 0.9, 32, 0.9999, 2.5
 TILE_ROWS = 4096
+#: Directions whose sides are compared; those of the first word alone exclude most pairs.
+SIDES, _WORD = 256, 64
+#: Blocks that are dealt at most, of all vectors and of a group: a row is shipped so often, and a block grows beyond TILE_ROWS.
+GROUPS = 8
+#: Candidates that are held before they are reduced to a forest.
+_HELD = 1 << 20
 #: Query vectors whose windows are counted together: their counts fit in a core's cache.
 _STRIP = 64
 #: Steps of a rounded projection in a window; all projections lie within a byte.
@@ -43,12 +56,16 @@ _STEPS = 12
 
 def needed(projections: int = PROJECTIONS, spread: float = SPREAD, recall: float = RECALL) -> int:
     """How many windows of ``spread`` deviations a pair at the bound hits with probability ``recall``."""
-    p = math.erf(spread / math.sqrt(2))
+    return hits(projections, math.erf(spread / math.sqrt(2)), recall)
+
+
+def hits(projections: int, p: float, recall: float) -> int:
+    """How many of so many collisions, of a chance of p each, happen with probability ``recall``."""
     above = 0.0
-    for hits in range(projections, -1, -1):
-        above += math.comb(projections, hits) * p**hits * (1 - p) ** (projections - hits)
+    for n in range(projections, -1, -1):
+        above += math.comb(projections, n) * p**n * (1 - p) ** (projections - n)
         if above >= recall:
-            return hits
+            return n
     return 0
 
 
@@ -57,19 +74,25 @@ def directions(dim: int, projections: int = PROJECTIONS) -> np.ndarray:
     return d / np.linalg.norm(d, axis=0)
 
 
+def _unit(v: np.ndarray) -> np.ndarray | None:
+    top = np.abs(v).max()
+    if top == 0:
+        return None
+    unit = v / top + 0.0
+    return unit / np.linalg.norm(unit)
+
+
 def _keyed(batches: common.Batches) -> common.Batches:
-    schema = pa.schema([("id", pa.int64()), ("dim", pa.int32()), ("key", pa.binary()), ("first", pa.float64()), ("unit", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("vh", pa.int64()), ("dim", pa.int32()), ("key", pa.binary()), ("sides", pa.binary())])
     for batch in batches:
-        rows = []
-        for i, v in zip(batch["id"].to_pylist(), batch["vec"].to_pylist()):
-            x = np.array(v, np.float64)
-            top = np.abs(x).max()
-            if top == 0:
-                continue
-            unit = x / top
-            unit = unit / np.linalg.norm(unit)
-            rows.append((i, len(x), hashlib.blake2b(unit.tobytes(), digest_size=16).digest(), float(unit @ directions_of(len(x))[:, 0]), unit.tobytes()))
-        yield common.batch_of(schema, list(zip(*rows)) or [[]] * 5)
+        by_dim: dict[int, list] = {}
+        for i, h, v in zip(batch["id"].to_pylist(), batch["vh"].to_pylist(), batch["vec"]):
+            if (unit := _unit(v.values.to_numpy(zero_copy_only=False).astype(np.float64))) is not None:
+                by_dim.setdefault(len(unit), []).append((i, h, unit))
+        for dim, rows in by_dim.items():
+            ids, hashes, units = zip(*rows)
+            sides = np.packbits(np.stack(units) @ sides_of(dim) > 0, axis=1)
+            yield common.batch_of(schema, [ids, hashes, [dim] * len(ids), [hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in units], [x.tobytes() for x in sides]])
 
 
 _KNOWN: dict[int, np.ndarray] = {}
@@ -81,15 +104,103 @@ def directions_of(dim: int) -> np.ndarray:
     return _KNOWN[dim]
 
 
-TILES = "tile long, dim int, lo array<double>, hi array<double>, ids binary, weights binary, units binary"
+_ACROSS: dict[int, np.ndarray] = {}
+
+
+def sides_of(dim: int) -> np.ndarray:
+    if dim not in _ACROSS:
+        _ACROSS[dim] = np.random.default_rng([8, dim, SIDES]).standard_normal((dim, SIDES))
+    return _ACROSS[dim]
+
+
+def apart_at_most(cosine: float, recall: float) -> tuple[int, int]:
+    """On how many of the first word's directions and of all a pair may lie on different sides and be a candidate; either loses at most half of 1 - ``recall``."""
+    p = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return tuple(n - hits(n, p, 1 - (1 - recall) / 2) for n in (_WORD, SIDES))
+
 
+def candidates(a: np.ndarray, b: np.ndarray, most: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the sides ``a`` and ``b`` (a row of words each) that differ in few enough directions, part by part."""
+    strip, wide = 16, 4096
+    first = np.ascontiguousarray(b[:, 0])
+    for t in range(0, len(b), wide):
+        other = first[None, t : t + wide]
+        differ = np.empty((strip, other.shape[1]), np.uint64)
+        count, near = np.empty(differ.shape, np.uint8), np.empty(differ.shape, bool)
+        for s in range(0, len(a), strip):
+            mine = a[s : s + strip, :1]
+            k = len(mine)
+            np.bitwise_xor(mine, other, out=differ[:k])
+            np.bitwise_count(differ[:k], out=count[:k])
+            np.less_equal(count[:k], most[0], out=near[:k])
+            i, j = np.divmod(np.flatnonzero(near[:k].ravel()), other.shape[1])
+            if len(i):
+                ok = np.bitwise_count(a[s + i] ^ b[t + j]).sum(1, dtype=np.int64) <= most[1]
+                if ok.any():
+                    yield s + i[ok], t + j[ok]
 
-def _tile(rows: pd.DataFrame) -> pd.DataFrame:
-    dim = int(rows["dim"].iloc[0])
-    units = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(-1, dim)
-    p = units @ directions_of(dim)
-    ids, weights = rows["id"].to_numpy(np.int64), rows["weight"].to_numpy(np.int64)
-    return pd.DataFrame({"tile": [rows["tile"].iloc[0]], "dim": [dim], "lo": [p.min(0)], "hi": [p.max(0)], "ids": [ids.tobytes()], "weights": [weights.tobytes()], "units": [units.tobytes()]})
+
+DEALT = pa.schema([("dim", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("own", pa.int32()), ("ids", pa.binary()), ("sides", pa.binary())])
+
+
+def _dealt(batches: common.Batches) -> common.Batches:
+    """A batch's rows by block, once for each pair of blocks that theirs belongs to."""
+    for batch in batches:
+        dims, blocks, own = (batch[c].to_numpy() for c in ("dim", "blocks", "block"))
+        ids, sides = batch["rep"].to_numpy(), np.frombuffer(b"".join(batch["sides"].to_pylist()), np.uint8).reshape(-1, SIDES // 8)
+        rows = []
+        for dim, n, block in sorted(set(zip(dims.tolist(), blocks.tolist(), own.tolist()))):
+            at = (dims == dim) & (own == block)
+            packed = ids[at].tobytes(), sides[at].tobytes()
+            rows += [(dim, min(block, k), max(block, k), block, *packed) for k in range(n)]
+        yield common.batch_of(DEALT, list(zip(*rows)) or [[]] * 6)
+
+
+def _groups(batches: common.Batches, keys: list[str]) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys``, those of one key at a time."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = np.stack([batch[k].to_numpy().astype(np.int64) for k in keys])
+        edges = [0, *(np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(edges, edges[1:]):
+            if (here := tuple(cols[:, i])) != at and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = here
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near(batches: common.Batches, most: tuple[int, int]) -> common.Batches:
+    """From rows of ``_dealt`` sorted by pair of blocks: a spanning forest of each pair's candidates."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for rows in _groups(batches, ["dim", "lo", "hi"]):
+        lo, hi, own = rows["lo"][0].as_py(), rows["hi"][0].as_py(), rows["own"].to_numpy()
+        side = {}
+        for block in {lo, hi}:
+            part = rows.filter(pa.array(own == block))
+            side[block] = np.frombuffer(b"".join(part["ids"].to_pylist()), np.int64), np.frombuffer(b"".join(part["sides"].to_pylist()), np.uint64).reshape(-1, SIDES // 64)
+        if len(side) == 2:
+            ids, base = np.concatenate([side[lo][0], side[hi][0]]), len(side[lo][0])
+        elif lo != hi:
+            continue
+        else:
+            ids, base = side[lo][0], 0
+        label, x, y, held = np.arange(len(ids)), [], [], 0
+        for i, j in candidates(side[lo][1], side[hi][1], most):
+            x.append(i)
+            y.append(j + base)
+            held += len(i)
+            if held > _HELD:
+                label = forest(len(ids), np.concatenate([np.arange(len(ids)), *x]), np.concatenate([label, *y]))
+                x, y, held = [], [], 0
+        label = forest(len(ids), np.concatenate([np.arange(len(ids)), *x]), np.concatenate([label, *y]))
+        on = ids != ids[label]
+        yield common.batch_of(schema, [ids[on], ids[label][on]])
 
 
 FOUND = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
@@ -122,22 +233,41 @@ def links_between(a: np.ndarray, b: np.ndarray, cosine: float, projections: np.n
     return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
 
 
-def _meet(batches: common.Batches, cosine: float, spread: float, least: int) -> common.Batches:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            r = {c: batch[c][row].as_py() for c in batch.schema.names}
-            ids_a, ids_b = (np.frombuffer(r[k], np.int64) for k in ("ids", "b_ids"))
-            w_a, w_b = (np.frombuffer(r[k], np.int64) for k in ("weights", "b_weights"))
-            a, b = (np.frombuffer(r[k], np.float64).reshape(-1, r["dim"]) for k in ("units", "b_units"))
-            i, j = links_between(a, b, cosine, directions_of(r["dim"]), spread, least)
-            if same := r["tile"] == r["b_tile"]:
-                i, j = i[i != j], j[i != j]  # both ways round
-            n_a = np.bincount(i, w_b[j], len(a)).astype(np.int64)
-            n_b = np.zeros(len(b), np.int64) if same else np.bincount(j, w_a[i], len(b)).astype(np.int64)
-            ids, counts = (ids_a, n_a) if same else (np.concatenate([ids_a, ids_b]), np.concatenate([n_a, n_b]))
-            to = ids[forest(len(ids), i, j if same else j + len(a))]
-            on = counts > 0
-            yield common.batch_of(FOUND, [ids[on], counts[on], to[on]])
+def _tiles(units: np.ndarray, rows: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of so many rows in the order of the first projection, and their boxes."""
+    p = units @ directions_of(units.shape[1])
+    order = np.argsort(p[:, 0], kind="stable")
+    return [(at, p[at].min(0), p[at].max(0)) for at in (order[k : k + rows] for k in range(0, len(order), rows))]
+
+
+def _meet(batches: common.Batches, cosine: float, spread: float, least: int, tile_rows: int) -> common.Batches:
+    """From rows sorted by group and pair of blocks: counts of links and a spanning forest of them."""
+    apart = math.sqrt(2 * (1 - cosine)) + 1e-6
+    for rows in _groups(batches, ["component", "dim", "lo", "hi"]):
+        dim, lo, hi = (rows[c][0].as_py() for c in ("dim", "lo", "hi"))
+        ids, hashes, own = (rows[c].to_numpy() for c in ("id", "vh", "own"))
+        once = np.sort(np.unique(np.stack([ids, hashes], axis=1), axis=0, return_index=True)[1])  # repeated rows
+        ids, own, weights = ids[once], own[once], rows["weight"].to_numpy()[once]
+        units = np.stack([_unit(v.values.to_numpy(zero_copy_only=False).astype(np.float64)) for v in rows["vec"].take(pa.array(once))])
+        same, window = lo == hi, spread * math.sqrt(2 * (1 - cosine) / dim) * (1 + 2 / _STEPS)
+        places = [np.flatnonzero(own == k) for k in (lo, hi)]
+        sides = [[(at[t], low, high) for t, low, high in _tiles(units[at], tile_rows)] for at in places]
+        counts, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for k, (a, a_low, a_high) in enumerate(sides[0]):
+            for b, b_low, b_high in sides[1][k:] if same else sides[1]:
+                gaps = np.maximum(a_low - b_high, b_low - a_high)
+                if (gaps <= window).sum() < least or (gaps > apart).any():
+                    continue
+                i, j = links_between(units[a], units[b], cosine, directions_of(dim), spread, least)
+                i, j = a[i], b[j]
+                if one := len(a) == len(b) and a[0] == b[0]:
+                    i, j = i[i != j], j[i != j]  # both ways round
+                counts += np.bincount(i, weights[j], len(ids)).astype(np.int64)
+                if not one:
+                    counts += np.bincount(j, weights[i], len(ids)).astype(np.int64)
+                label = forest(len(ids), np.concatenate([np.arange(len(ids)), i]), np.concatenate([label, j]))
+        on = counts > 0
+        yield common.batch_of(FOUND, [ids[on], counts[on], ids[label][on]])
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", tile_rows: int = TILE_ROWS, spread: float = SPREAD, recall: float = RECALL) -> DataFrame:
@@ -153,35 +283,31 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     """
     spark = vectors.sparkSession
     root = common.shared_dir(spark)
-    least = needed(PROJECTIONS, spread, recall)
-    keyed = usable(vectors, id_col, vec_col).mapInArrow(_keyed, "id long, dim int, key binary, first double, unit binary")
+    # either way of counting loses at most half of what may be lost
+    half = 1 - (1 - recall) / 2
+    least, most = needed(PROJECTIONS, spread, half), apart_at_most(cosine, half)
+    rows = finite(vectors, id_col, vec_col).withColumn("vh", F.xxhash64("vec"))
+    keyed = rows.mapInArrow(_keyed, "id long, vh long, dim int, key binary, sides binary").dropDuplicates(["id", "vh", "key", "dim"])
     keyed = common.materialize(keyed, root, "keyed")
-    classes = keyed.groupBy("key", "dim").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    reps = keyed.join(classes.select("key", "dim", F.col("rep").alias("id"), "weight"), ["key", "dim", "id"]).select("id", "dim", "first", "unit", "weight")
-    reps = common.materialize(reps, root, "reps")
-    # the first projection sorted; every tile_rows of it in a row are a tile, however many partitions there are
-    sorted_ = reps.repartitionByRange("dim", "first").sortWithinPartitions("dim", "first").withColumn("at", F.monotonically_increasing_id())
-    sorted_ = common.materialize(sorted_, root, "sorted").withColumn("part", F.shiftright("at", 33))
-    counts = sorted(tuple(r) for r in sorted_.groupBy("part").count().collect())  # a row a partition
-    starts = [(p, sum(n for _, n in counts[:k])) for k, (p, _) in enumerate(counts)]
-    offsets = spark.createDataFrame(starts, "part long, start long")
-    place = F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)
-    tiles = sorted_.join(F.broadcast(offsets), "part").withColumn("tile", F.floor(place / tile_rows)).select("tile", "id", "dim", "unit", "weight")
-    tiles = common.materialize(tiles.groupBy("tile", "dim").applyInPandas(_tile, TILES), root, "tiles")
-    boxes = tiles.select("tile", "dim", "lo", "hi")
-    window, apart = f"{spread} * sqrt(2 * (1 - {cosine}D) / dim) * {1 + 2 / _STEPS}", f"sqrt(2 * (1 - {cosine}D)) + 1e-6"
-    wide = boxes.withColumn("cell", F.explode(F.expr(f"sequence(cast(floor(lo[0] / ({apart})) as long) - 1, cast(floor(hi[0] / ({apart})) as long) + 1)")))
-    other = boxes.select(F.col("tile").alias("b_tile"), "dim", F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.explode(F.expr(f"sequence(cast(floor(lo[0] / ({apart})) as long), cast(floor(hi[0] / ({apart})) as long))")).alias("cell"))
-    gaps = "zip_with(zip_with(lo, b_hi, (x, y) -> x - y), zip_with(b_lo, hi, (x, y) -> x - y), (x, y) -> greatest(x, y))"
-    pairs = wide.join(other, ["dim", "cell"]).where("tile <= b_tile").withColumn("gaps", F.expr(gaps))
-    pairs = pairs.where(F.expr(f"size(filter(gaps, g -> g <= {window})) >= {least} and forall(gaps, g -> g <= {apart})")).select("tile", "b_tile", "dim").distinct()
-    pairs = common.materialize(pairs, root, "pairs")
-    n_pairs = pairs.count()
-    b = tiles.select(F.col("tile").alias("b_tile"), "dim", F.col("ids").alias("b_ids"), F.col("weights").alias("b_weights"), F.col("units").alias("b_units"))
-    met = pairs.join(tiles.select("tile", "dim", "ids", "weights", "units"), ["tile", "dim"]).join(b, ["b_tile", "dim"])
-    met = met.repartition(max(1, min(n_pairs, 10_000)), "tile", "b_tile")
-    found = common.materialize(met.mapInArrow(lambda x: _meet(x, cosine, spread, least), "id long, links long, to long"), root, "found")
-    common.discard(spark, root, "pairs")
+    classes = keyed.groupBy("key", "dim").agg(F.min(F.struct("id", "vh")).alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("sides").alias("sides"))
+    classes = common.materialize(classes.select("key", "dim", F.col("rep.id").alias("rep"), F.col("rep.vh").alias("vh"), "weight", "sides"), root, "reps")
+    blocks = lambda n: F.least(F.lit(GROUPS), F.ceil(F.col(n) / tile_rows)).cast("int")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    per = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", blocks("n").alias("blocks"))
+    n_pairs = per.agg(F.sum(F.expr("blocks * (blocks + 1) / 2"))).first()[0] or 1
+    dealt = classes.join(F.broadcast(per), "dim").select("dim", "blocks", block.alias("block"), "rep", "sides")
+    dealt = dealt.mapInArrow(_dealt, "dim int, lo int, hi int, own int, ids binary, sides binary")
+    dealt = dealt.repartition(max(1, min(int(n_pairs), 10_000)), "dim", "lo", "hi").sortWithinPartitions("dim", "lo", "hi")
+    near = common.materialize(dealt.mapInArrow(lambda x: _near(x, most), "a long, b long"), root, "near")
+    near = components(near, root, "group")
+    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", "n", blocks("n").alias("blocks"))
+    n_rows = sizes.agg(F.sum(F.expr("n * blocks"))).first()[0] or 1
+    members = near.join(sizes, "component").join(classes.select("dim", "rep", "vh", "weight"), F.col("node") == F.col("rep"))
+    members = members.select(F.col("rep").alias("id"), "vh", "dim", "component", "weight", "blocks", block.alias("own"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("lo"), F.greatest("own", k).alias("hi"))))
+    met = rows.join(members, ["id", "vh"]).withColumn("pair", pair).select("component", "dim", "pair.lo", "pair.hi", "own", "id", "vh", "weight", "vec")
+    met = met.repartition(max(12, min(int(n_rows) // 2048, 10_000)), "component", "dim", "lo", "hi").sortWithinPartitions("component", "dim", "lo", "hi")
+    found = common.materialize(met.mapInArrow(lambda x: _meet(x, cosine, spread, least, tile_rows), "id long, links long, to long"), root, "found")
     group = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")), root, "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     each = classes.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")

@@ -321,6 +321,34 @@ def test_planted_pairs_at_the_bound_in_many_dimensions(spark, dim):
     assert {got[i].component_id for i in range(1200, 1500)} == {899} and sum(got[i].component_id == i - 900 for i in range(900, 1200)) >= 297
 
 
+def test_vectors_are_not_shipped_for_each_pair_of_tiles(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((4000, 64))
+    x[3900:] = x[:100] + rng.standard_normal((100, 64)) * 0.02
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return sum(e.totalShuffleWrite() for e in (context.statusStore().executorList(False).apply(k) for k in range(context.statusStore().executorList(False).size())))
+
+    before = shuffled()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vecdedup.near_duplicates(df, tile_rows=100).collect()}
+    assert shuffled() - before < 3 * x.nbytes
+    assert got == {i: (int(i < 100 or i >= 3900), i - 3900 if i >= 3900 else i) for i in range(4000)}
+
+
+def test_sides_of_pairs_at_the_bound():
+    rng = np.random.default_rng(12)
+    x, z = rng.standard_normal((2, 4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    y = 0.9 * x + math.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1)[:, None]
+    words = [np.packbits(v @ vecdedup.sides_of(64) > 0, axis=1).view(np.uint64) for v in (x, y)]
+    found = [np.concatenate(part) for part in zip(*vecdedup.candidates(*words, vecdedup.apart_at_most(0.9, 0.9999)))]
+    assert (found[0] == found[1]).sum() >= 3998 and len(found[0]) < 4010
+
+
 def test_needed_collisions_keep_the_recall():
     least = vecdedup.needed(16, 2.5, 0.9999)
     p = math.erf(2.5 / math.sqrt(2))
