@@ -357,8 +357,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, d
 
     A pair at the bound shares a band with a probability above 1 - 5e-8 if all
     registers are used; of fewer shingles, by simulation, half the bands miss up
-    to 4 in 10,000 such pairs. Equal sets are known by 128 bits of sums of two independent hashes; all other
-    links are confirmed on the words themselves.
+    to 4 in 10,000 such pairs. Equal sets are known by 128 bits of sums of two
+    independent hashes; all other links are confirmed on the words themselves.
     """
     spark = docs.sparkSession
     root = common.shared_dir(spark)
