@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -88,6 +91,27 @@ def slices(at: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+#: How to drop what operators keep in a Python worker from task to task; whose that is just now.
+KEPT: list[Callable[[], None]] = []
+_USER: list[str] = []
+
+
+def used_by(operator: str) -> None:
+    """Workers outlive their tasks and serve any operator: when another one comes, what the one before it has kept goes."""
+    if _USER != [operator]:
+        _USER[:] = [operator]
+        for drop in KEPT:
+            drop()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, which the C library would keep for this process."""
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 Batches = Iterator[pa.RecordBatch]
 Step = Callable[[Batches], Batches]
 

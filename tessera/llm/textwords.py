@@ -40,6 +40,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict[tuple[int, int], np.ndarray] = {}
+common.KEPT.append(_POWERS.clear)
 
 
 def _powers(base: int, prime: int, n: int) -> np.ndarray:

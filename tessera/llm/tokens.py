@@ -18,6 +18,8 @@ from operator import attrgetter
 
 import numpy as np
 
+from . import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Ends each document.
@@ -208,10 +210,12 @@ def _packed(ids: list[int]) -> bytes:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+common.KEPT.append(_ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:
     """One for each file in a Python worker, as loading takes a moment and the kept words help the next task."""
+    common.used_by("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

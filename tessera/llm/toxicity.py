@@ -91,17 +91,23 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0.0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1 * k), 0.95 * k) if n[k] else 0.75 * k for k in (1, 2, 3)], np.float32)
 
 
+def _first(key: np.ndarray, size: int) -> np.ndarray:
+    """Of each key that occurs, in their order, its first row; keys are below ``size``. A table of fixed size takes less memory than to sort."""
+    at = np.full(size, -1, np.int32)
+    at[key[::-1]] = np.arange(len(key) - 1, -1, -1, dtype=np.int32)  # of equal keys the last to be assigned stays
+    return at[at >= 0]
+
+
 class Order:
     """One order's tables: of each slot and class the discounted share, and over both classes how much it was counted."""
 
-    def __init__(self, slot: np.ndarray, klass: np.ndarray, n: np.ndarray | None, bits: int):
-        """``n``: the counts of distinct slots; without, each row counts once."""
-        counts = np.zeros(2 << bits, np.float32)
+    def __init__(self, key: np.ndarray, n: np.ndarray | None, bits: int):
+        """``key``: twice the slot and the class; ``n``: the counts of distinct keys; without, each row counts once."""
         if n is None:
-            slots, n = np.unique(slot * 2 + klass, return_counts=True)
-            counts[slots] = n
+            counts = np.bincount(key, minlength=2 << bits).astype(np.float32)
         else:
-            counts[slot * 2 + klass] = n
+            counts = np.zeros(2 << bits, np.float32)
+            counts[key] = n
         counts = counts.reshape(-1, 2)
         self.freed = np.ones(2)
         self.both = counts.sum(1) + np.float32(0.5)  # a form that was never seen has half a count
@@ -117,28 +123,37 @@ class Order:
 
 def _of_parent(child: np.ndarray, parent: np.ndarray, both: np.ndarray, bits: int) -> np.ndarray:
     """Of each parent slot what its children were counted, one unseen child included."""
-    each, first = np.unique(child, return_index=True)
-    return (np.bincount(parent[first], both[each], 1 << bits) + 0.5).astype(np.float32)
+    first = _first(child, len(both))
+    return (np.bincount(parent[first], both[child[first]], 1 << bits) + 0.5).astype(np.float32)
 
 
 class Model:
-    """The tables of both classes' models, and the curve."""
+    """The tables of both classes' models, and the curve. Tables are built where they are first used: the driver only sends the counts."""
 
     def __init__(self, rows: dict[str, np.ndarray]):
         """rows: toxic, the slots of each order, and n, the number of documents of that class with the word."""
-        self.rows = rows
-        klass, n, slots = rows["toxic"].astype(np.int64), rows["n"], [rows[c].astype(np.int64) for c in SLOTS]
+        self.rows, self.curve, self.given = rows, np.zeros(3), None
+
+    def __getattr__(self, name: str):
+        if name not in ("orders", "of", "low"):
+            raise AttributeError(name)
+        self._build()
+        return self.__dict__[name]
+
+    def _build(self) -> None:
+        klass, n, slots = self.rows["toxic"].astype(np.int32), self.rows["n"], [self.rows[c].astype(np.int32, copy=False) for c in SLOTS]
         self.orders, self.of = [], []
         for k, (_, bits) in enumerate(ORDERS):
-            self.orders.append(Order(slots[k], klass, n, bits))
-            if k + 1 < len(ORDERS):
-                self.of.append(_of_parent(slots[k], slots[k + 1], self.orders[k].both, ORDERS[k + 1][1]))
-                _, once = np.unique(slots[k] * 2 + klass, return_index=True)  # each form of a class counts once for its beginning
+            child, *slots = slots
+            key = child * 2 + klass
+            self.orders.append(Order(key, n, bits))
+            if slots:
+                self.of.append(_of_parent(child, slots[0], self.orders[k].both, ORDERS[k + 1][1]))
+                once = _first(key, 2 << bits)  # each form of a class counts once for its beginning
                 klass, n, slots = klass[once], None, [s[once] for s in slots]
         last = self.orders[-1]
         shared = last.both / last.both.sum(dtype=np.float64)
         self.low = (last.share + last.freed * shared[:, None]).astype(np.float32)
-        self.curve = np.zeros(3)
 
     def __reduce__(self):
         return _rebuilt, (self.rows, self.curve)  # the counts are a fraction of the tables
@@ -165,13 +180,27 @@ class Model:
         return np.stack([np.concatenate(out[k::2]) for k in (0, 1)], 1) if out else np.zeros((0, 2))
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        x = self.evidence(column)
-        return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ self.curve[1:], -30, 30)))
+        return curved(self.evidence(column), self.curve)
+
+    def sent(self, spark: SparkSession):
+        """The broadcast of the counts: one for the curve's evidence and all scores, so a Python worker builds and keeps the tables once."""
+        if self.given is None:
+            self.given = spark.sparkContext.broadcast(self)
+            _SENT.append(self)
+        return self.given
+
+
+def curved(x: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    """The scores of evidence."""
+    return 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30)))
 
 
 def _rebuilt(rows: dict[str, np.ndarray], curve: np.ndarray) -> Model:
+    common.used_by("toxicity")
     model = Model(rows)
+    model._build()
     model.curve, model.rows = curve, {}  # a worker needs the tables only
+    common.trim()
     return model
 
 
@@ -214,7 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, curve_sample: int = CURVE_SAMPLE) ->
     documents a class, and all others are counted. A row of the curve counts
     for as many labelled documents of its class as it was
     drawn from, so the classes' shares are those of all labels at every size.
-    Without labels of both classes the score is a half for every text.
+    Without labels of both classes the score is a half for every text. The
+    counts stay on the executors for ``score``, until ``release``.
     """
     root = common.shared_dir(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -256,15 +286,13 @@ def _unpacked(key: np.ndarray, low: np.ndarray, n: np.ndarray) -> dict[str, np.n
 
 def _evidence(texts: DataFrame, model: Model) -> list[tuple[int, list[float]]]:
     """Label and evidence of each of the curve's documents."""
-    given = texts.sparkSession.sparkContext.broadcast(model)
+    given = model.sent(texts.sparkSession)
 
     def run(batches: common.Batches) -> common.Batches:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(list(given.value.evidence(batch["text"])), pa.list_(pa.float64()))], names=["toxic", "evidence"])
 
-    found = [(r.toxic, r.evidence) for r in texts.mapInArrow(run, "toxic int, evidence array<double>").collect()]
-    given.destroy()
-    return found
+    return [(r.toxic, r.evidence) for r in texts.mapInArrow(run, "toxic int, evidence array<double>").collect()]
 
 
 def fold(column: str) -> F.Column:
@@ -284,8 +312,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     gives no row. ``release`` gives the model's memory back when the result has
     been written.
     """
-    given = docs.sparkSession.sparkContext.broadcast(model)
-    _GIVEN.append(given)
+    given, curve = model.sent(docs.sparkSession), model.curve  # what was sent may be older than the curve
     kept = [c for c in docs.columns if c != "toxicity_score"]
     at = kept.index("text")
 
@@ -293,22 +320,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, _BACK):
                 part = batch.slice(i, _BACK)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(given.value.scores(part.column(at).cast(pa.string())), pa.float64())], names=[*part.schema.names, "toxicity_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(curved(given.value.evidence(part.column(at).cast(pa.string())), curve), pa.float64())], names=[*part.schema.names, "toxicity_score"])
 
     schema = docs.select(*kept).schema.add("toxicity_score", "double")
     return docs.select(*kept).mapInArrow(run, schema)
 
 
-_GIVEN: list = []
+_SENT: list[Model] = []
 
 
 def release() -> None:
-    """Drop the models that ``score`` has sent to the executors; results that haven't been computed yet can't be any more.
+    """Drop the models that ``fit`` and ``score`` have sent to the executors; results that haven't been computed yet can't be any more.
 
     A Python worker lets go of its copy when it gets its next task or ends.
     """
-    while _GIVEN:
-        _GIVEN.pop().destroy()
+    while _SENT:
+        model = _SENT.pop()
+        model.given.destroy()
+        model.given = None
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

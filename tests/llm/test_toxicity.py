@@ -1,7 +1,9 @@
 import collections
 import functools
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import toxicity
+from tessera.llm import tokens, toxicity
 
 ORDINARY = [a + b for a in ("ka", "lo", "mi", "ne", "ru", "ta", "wo", "zi") for b in ("bar", "den", "fil", "gor", "hum", "jet", "pol", "sin")]
 TOXIC = ["grubface", "grubnose", "grubfoot", "grubhead"]
@@ -138,3 +140,37 @@ def test_all_eligible_labelled_documents_are_counted(spark):
     n = {int(t): int(n) for t, w, n in zip(rows["toxic"], rows["slot0"], rows["n"]) if w == word}
     eligible = [i for i in range(36_000) if zlib.crc32(str(i).encode()) % 5 not in (0, toxicity.CURVE_FOLD)]
     assert n == {1: sum(i % 50 == 0 for i in eligible), 0: sum(i % 50 != 0 for i in eligible)} and n[0] > 20_000
+
+
+def test_a_worker_builds_the_model_in_little_memory_and_drops_what_others_kept():
+    n, bits = 1_000_000, toxicity.ORDERS[0][1]
+    rng = np.random.default_rng(1)
+    key = rng.choice(2 << bits, n, replace=False)
+    slots = [key >> 1, *(rng.integers(0, 1 << b, 1 << bits)[key >> 1] for _, b in toxicity.ORDERS[1:])]
+    model = toxicity.Model({"toxic": (key & 1).astype(np.int8), "n": rng.integers(1, 9, n).astype(np.int32)} | {c: s.astype(np.int32) for c, s in zip(toxicity.SLOTS, slots)})
+    sent = pickle.dumps(model)
+    assert len(sent) < 25 * n  # counts without tables
+    tokens.encoder(tokens.public_path("word_bpe_49k.json")).encode(["some words"])
+    tracemalloc.start()
+    try:
+        got = pickle.loads(sent)
+        now, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert not tokens._ENCODERS and not got.rows
+    tables = sum(x.nbytes for o in got.orders for x in (o.share, o.both)) + sum(x.nbytes for x in got.of) + got.low.nbytes
+    assert now < tables + (1 << 20) and most < tables + 66 * n
+
+
+def test_the_model_is_sent_once_until_it_is_released(spark, corpus):
+    toxicity.release()
+    docs, labels = corpus
+    model = toxicity.fit(docs, labels)
+    given = model.given
+    first = toxicity.score(docs, model).collect()
+    assert model.given is given and toxicity._SENT == [model] and "orders" not in vars(model)
+    toxicity.release()
+    assert model.given is None and not toxicity._SENT
+    assert toxicity.score(docs, model).collect() == first
+    assert [r.toxicity_score for r in first] == model.scores(pa.array([r.text for r in first])).tolist()
+    toxicity.release()
