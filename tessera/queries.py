@@ -157,7 +157,7 @@ def _sql(text: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        return spark.sql(text)
+        return sql.run(spark, text)
 
     return run
 

@@ -107,6 +107,38 @@ def test_sql_statements(spark, tmp_path):
     assert sql.foreign_keys(c).count() == 1 and run("DROP TABLE book") == [("DROP",)] and run("TRUNCATE TABLE book") == [(2,)]  # the deleted one, too
 
 
+def test_not_in_is_joined_by_key_and_minds_nulls(spark):
+    import duckdb
+
+    known = "(VALUES (1, 5), (2, NULL), (2, 6), (NULL, 7), (4, 8)) AS v(a, x)"
+    for name, rows in (("kt", known), ("ks", "(VALUES (2, 1), (9, 1), (5, 2)) AS v(b, c)"), ("kn", "(VALUES (2, 1), (NULL, 2)) AS v(b, c)"), ("ke", "(SELECT 1 AS b, 1 AS c WHERE 1 = 0)")):
+        duckdb.sql(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM {rows}")
+        spark.sql(f"SELECT * FROM {rows}").createOrReplaceTempView(name)
+    seen = 0
+    for where in (
+        "a NOT IN (SELECT b FROM {s})", "x > 5 AND a NOT IN (SELECT b FROM {s} WHERE c = 1)", "(x = 5 OR a + 1 NOT IN (SELECT b FROM {s})) AND x < 8", "a NOT IN (SELECT a FROM kt WHERE x NOT IN (SELECT b FROM {s}))", "x NOT IN (SELECT a FROM kt)",
+        "CASE WHEN a = 1 THEN x ELSE a END NOT IN (SELECT b FROM {s} /* ) */ -- NOT IN (\n)", "a NOT IN (WITH w AS (SELECT b FROM {s} WHERE c = 2) SELECT b FROM w) AND 'NOT IN (SELECT' <> ')'", "a NOT IN (SELECT b FROM {s} WHERE c = a)", "a NOT IN (SELECT b FROM {s}) OR x NOT IN (SELECT b FROM {s})",
+        "NOT a NOT IN (SELECT b FROM {s})", "NOT (x = 5 OR a NOT IN (SELECT b FROM {s}))", "(a, x) NOT IN (SELECT b, c FROM {s})", "a NOT IN (SELECT b FROM {s} ORDER BY b NULLS LAST LIMIT 1)", "a NOT IN (1, 5)",
+    ):
+        for s in ("ks", "kn", "ke"):
+            text = f"SELECT a, x FROM kt WHERE {where.format(s=s)} ORDER BY a, x"
+            seen += sql.keyed(text) != text
+            assert sorted(map(str, (tuple(r) for r in sql.run(spark, text).collect()))) == sorted(map(str, duckdb.sql(text).fetchall())), text
+    assert seen == 10 * 3  # several columns are tried, and taken as they were
+    for text in ("SELECT count_if(a IS NOT NULL) FROM kt WHERE (a IN (SELECT b FROM kn)) IS NULL", "SELECT * FROM kt JOIN ks ON a NOT IN (SELECT b FROM kn)", "SELECT 1 WHERE (1 NOT IN (SELECT b FROM kn)) IS NULL", "SELECT 1 NOT IN (SELECT 2"):
+        assert sql.keyed(text) == text
+    plan = sql.run(spark, "SELECT id FROM range(9) WHERE id NOT IN (SELECT id + 1 FROM range(5))")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "Broadcast" not in plan
+
+
+def test_sql_deletes_by_not_in(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/sql")
+    sql.execute(c, "CREATE TABLE item (id bigint PRIMARY KEY, kind text)")
+    sql.execute(c, "INSERT INTO item (id, kind) VALUES (1, 'a'), (2, 'b'), (3, 'c')")
+    spark.sql("SELECT * FROM VALUES (1), (3) AS v(k)").createOrReplaceTempView("kept")
+    assert [r.id for r in sql.execute(c, "DELETE FROM item WHERE kind <> 'z' AND id NOT IN (SELECT k FROM kept) RETURNING id").collect()] == [2]
+
+
 def test_schemas_patches_and_indexes(spark, tmp_path):
     c = Catalog(spark, f"file://{tmp_path}")
     assert schema.declare(c, 'type Pub { name: String! @index(unique: true)\n books: [Vol] } type Vol { title: String, pub: Pub, hits: Int @crdt(type: pcounter) at: DateTime @default(value: "UTC_NOW") xs: [Int!] @size(n: 1) }', c.root) == ["Pub", "Vol"]
