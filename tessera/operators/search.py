@@ -6,12 +6,18 @@ import hashlib
 import hmac
 import math
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Most bytes of rows that are handed to Python at once.
+BATCH_BYTES, _BATCH = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -110,17 +116,43 @@ def bm25(df: DataFrame, fields: list[str], query: str, alias: str, by: str | Non
     return df.withColumn(alias, score).drop("__stats", *[f"__bm{i}" for i in range(len(fields))])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of a row (key, words), and one of the empty term, which no query asks for, that holds its length."""
+    for b in batches:
+        words, size = b["words"], pc.list_value_length(b["words"])
+        of = pa.table({"row": pc.list_parent_indices(words), "term": pc.list_flatten(words)}).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+        every = pa.array(range(len(b)), of["row"].type)
+        rows = pa.chunked_array([*of["row"].chunks, every])
+        term = pa.chunked_array([*of["term"].chunks, pa.repeat("", len(b)).cast(of["term"].type)])
+        tf = pa.chunked_array([*of["count_all"].cast(pa.int32()).chunks, pa.repeat(pa.scalar(0, pa.int32()), len(b))])
+        yield from pa.table({"term": term.cast(pa.string()), "key": b["key"].take(rows), "tf": tf, "dl": size.take(rows).cast(pa.int32())}).combine_chunks().to_batches()
+
+
+def postings(df: DataFrame, key: str, field: str, language: str | None = None, parts: int = 64) -> DataFrame:
+    """The rows of ``build_postings`` as they are written: placed by their part, in the order of their terms."""
+    words = df.where(F.col(field).isNotNull()).select(F.col(key).alias("key"), terms(F.col(field).cast("string"), language).alias("words"))
+    each = words.mapInArrow(_counted, StructType([StructField("term", StringType()), StructField("key", words.schema["key"].dataType), StructField("tf", IntegerType()), StructField("dl", IntegerType())]))
+    return each.withColumn("part", _part(F.col("term"), parts)).repartition(parts, "part", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("part", "term")
+
+
+def _part(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+
+
 def build_postings(df: DataFrame, key: str, field: str, path: str, language: str | None = None, parts: int = 64) -> None:
     """A full-text index below ``path``: a row for each term of a row (term, key, tf, dl), in ``parts`` folders by the term's hash, and the totals.
 
     A query reads the folders of its terms only, and in them, as rows are
-    sorted by term, the row groups that hold them.
+    sorted by term, the row groups that hold them. A row's terms are counted
+    where the row is, so its words are split once and its counts shuffled once;
+    the totals are those of the empty term's rows.
     """
-    words = df.where(F.col(field).isNotNull()).select(F.col(key).alias("key"), terms(F.col(field).cast("string"), language).alias("words"))
-    each = words.select("key", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "key").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
-    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
-    each.withColumn("part", part).repartition(parts, "part", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    totals = words.agg(F.count(F.lit(1)).alias("rows"), F.avg(F.size("words")).alias("mean"))
+    spark = df.sparkSession
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    postings(df, key, field, language, parts).write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    rows = spark.read.schema("term string, dl int, part int").parquet(f"{path}/postings").where((F.col("part") == _part(F.lit(""), parts)) & (F.col("term") == ""))
+    totals = rows.agg(F.count(F.lit(1)).alias("rows"), F.avg("dl").alias("mean"))
     totals.select("*", F.lit(language).cast("string").alias("language"), F.lit(parts).alias("parts")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 

@@ -266,6 +266,18 @@ def test_postings_give_the_scores_of_a_scan(shop, tmp_path, spark):
     assert search.bm25_indexed(spark, f"{tmp_path}/p", "!").count() == 0
 
 
+def test_postings_are_counted_in_place_and_shuffled_once(spark, tmp_path):
+    rows = [("a", "Red red, fox"), ("b", ""), ("c", None), ("d", "fox " * 5 + "hen"), ("e", "\u00c9t\u00e9 \u00e9t\u00e9 7 7")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    plan = search.postings(df, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    search.build_postings(df, "id", "text", f"{tmp_path}/p", parts=4)
+    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/p/postings").where("term <> ''").select("term", "key", "tf", "dl").collect()}
+    assert got == {("red", "a", 2, 3), ("fox", "a", 1, 3), ("fox", "d", 5, 6), ("hen", "d", 1, 6), ("\u00e9t\u00e9", "e", 2, 4), ("7", "e", 2, 4)}
+    assert tuple(spark.read.parquet(f"{tmp_path}/p/totals").first()) == (4, 13 / 4, None, 4)
+    assert {r.key: r.score for r in search.bm25_indexed(spark, f"{tmp_path}/p", "fox").collect()}.keys() == {"a", "d"}
+
+
 def test_inverted_lists_and_their_recall(spark, tmp_path):
     rng = np.random.default_rng(4)
     centers = rng.standard_normal((20, 16)) * 3
